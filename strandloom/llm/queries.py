@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from strandloom.llm.decontaminate import op10_fm_index
+from strandloom.llm.packing import op4_best_fit_packing
 
 
 def queries() -> dict:
     return {
+        "op4_best_fit_packing": op4_best_fit_packing,
         "op10_fm_index": op10_fm_index,
     }
 
