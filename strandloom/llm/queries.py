@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from strandloom.llm.decontaminate import op10_fm_index
 from strandloom.llm.packing import op4_best_fit_packing
+from strandloom.llm.substring_dedup import op9_aho_corasick
+from strandloom.llm.topk import OP6_SQL, op6_maxscore
+from strandloom.llm.toxicity import op3_noisy_channel
 
 
 def queries() -> dict:
     return {
+        "op3_noisy_channel": op3_noisy_channel,
+        "op6_maxscore": op6_maxscore,
+        "op9_aho_corasick": op9_aho_corasick,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op10_fm_index": op10_fm_index,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_maxscore": OP6_SQL,
+    }
