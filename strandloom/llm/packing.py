@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ GROUPS = 64  # of equal cardinality for the large lengths
 SMALL_SHARE = 8  # lengths under capacity / SMALL_SHARE are small
 RANK_ROWS = 20_000
 _BLANK = re.compile(r"[ \t\n\x0b\x0c\r]+")
-_CACHE_MOST = 600_000
+_CACHE_MOST = 800_000
 
 
 class WordIds(dict):
@@ -33,16 +34,44 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
 
     def learn(self, words: set[str]) -> None:
+        """Adds the words: letters and a tail of ASCII punctuation are two pieces to the tokenizer, others are encoded whole."""
         new = [w for w in words if w not in self]
         if len(self) + len(new) > _CACHE_MOST:
             self.clear()
             new = list(words)
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+        parts, whole = [], []
+        for w in new:
+            stem = w.rstrip(string.punctuation)
+            low = stem.lower()
+            if stem.isalpha() and low.isalpha() and "\u03a3" not in stem:  # a final sigma would depend on its place
+                parts.append((w, low, w[len(stem) :]))
+            else:
+                whole.append(w)
+        whole += {tail for _, _, tail in parts if tail and tail not in self}
+        for i in range(0, len(whole), 20_000):
+            some = whole[i : i + 20_000]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self[w] = np.array(e.ids, "<u4").tobytes()
+        stems = [s for s in {low for _, low, _ in parts} if s not in self]
+        for i in range(0, len(stems), 2_000):
+            # every word of letters ends with just one end-of-word token
+            some = stems[i : i + 2_000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            data, cuts = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            for w, x, y in zip(some, [0, *cuts[:-1]], cuts, strict=True):
+                self[w] = data[x:y]
+        for w, low, tail in parts:
+            self[w] = self[low] + self[tail] if tail else self[low]
+
+
+def _split(text: str) -> list[str]:
+    """Words between white space; the separators U+001C to U+001F are white space to Python but not to the tokenizer."""
+    return _BLANK.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -57,7 +86,7 @@ def _pieces(path: str, capacity: int, end_id: int):
             ids, all_texts = batch.column(0), texts(batch)
             rows, piece, start, length, crc = [], [], [], [], []
             for at in range(0, len(all_texts), 256):
-                words = [_BLANK.split(t) if t else [] for t in all_texts[at : at + 256]]
+                words = [_split(t) if t else [] for t in all_texts[at : at + 256]]
                 cache.learn({w for ws in words for w in ws})
                 for i, ws in enumerate(words):
                     data = b"".join(map(cache.__getitem__, ws)) + end
