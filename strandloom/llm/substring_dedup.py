@@ -37,26 +37,51 @@ def _sampled(window: int, phrase: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [anchors(_HASH.array(plain_words(t)), window, phrase) for t in batch.column(1).to_pylist()]
-            keys = batch.column(0).to_numpy()
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             flat = np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(keys, sizes))], ["anchor", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(batch.column(0).to_numpy(), sizes))], ["anchor", "doc_id"])
 
     return run
 
 
-def _automaton(sources: list[tuple[str, list[int]]], phrase: int):
-    """Automaton of the confirmed phrases of some source documents: each as its words between blanks."""
-    found = ahocorasick.Automaton()
-    for text, own in sources:
-        words = plain_words(text)
-        g = grams(_HASH.array(words), phrase)
-        for i in np.flatnonzero(np.isin(g, np.array(own, np.int64).view(np.uint64))).tolist():
-            p = b" ".join(words[i : i + phrase]).decode()
-            found.add_word(f" {p} ", len(p) + 2)
-    if len(found):
-        found.make_automaton()
-    return found
+_PART_SQL = "shard long, salt long, salts long, phrase string, doc_id long, digest long, offset int, excerpt string"
+_PART = pa.schema([("shard", pa.int64()), ("salt", pa.int64()), ("salts", pa.int64()), ("phrase", pa.string()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("offset", pa.int32()), ("excerpt", pa.string())])
+
+
+def _parts(window: int, phrase: int):
+    """Of a document and its confirmed phrases: the phrases it is the source of, and for each shard the stretches of words
+    that windows around the shard's phrases span."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            ids, digests, found, links, wide = (batch.column(i).to_pylist() for i in range(5))
+            for d, digest, text, own, to in zip(ids, digests, found, links, wide, strict=True):
+                words = plain_words(text)
+                g = grams(_HASH.array(words), phrase).view(np.int64)
+                if not len(g) or not own:
+                    continue
+                table = np.array([(x["anchor"], x["shard"], x["own"]) for x in own], np.int64)
+                table = table[np.argsort(table[:, 0])]
+                at = np.minimum(np.searchsorted(table[:, 0], g), len(table) - 1)
+                hit = np.flatnonzero(table[at, 0] == g)
+                shard = table[at[hit], 1]
+                salts = {x["shard"]: x["salts"] for x in to or ()}
+                told = set()
+                for p, s in zip(hit[table[at[hit], 2] > 0].tolist(), shard[table[at[hit], 2] > 0].tolist(), strict=True):
+                    if (k := int(g[p])) not in told:
+                        told.add(k)
+                        rows.append((s, None, salts.get(s, 1), b" ".join(words[p : p + phrase]).decode(), None, None, None, None))
+                for s in np.unique(shard).tolist():
+                    low = np.maximum(hit[shard == s] - (window - phrase), 0)
+                    high = np.minimum(hit[shard == s] + window, len(words))
+                    cut = np.flatnonzero(low[1:] > high[:-1]) + 1
+                    n = salts.get(s, 1)
+                    for x, y in zip(low[np.concatenate([[0], cut])].tolist(), high[np.concatenate([cut - 1, [len(high) - 1]])].tolist(), strict=True):
+                        rows.append((s, digest % n, n, None, d, digest, x, b" ".join(words[x:y]).decode()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_PART)], schema=_PART)
+
+    return run
 
 
 def _located(found, words: list[bytes], window: int, phrase: int) -> np.ndarray:
@@ -78,27 +103,31 @@ def _located(found, words: list[bytes], window: int, phrase: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(reach[:n]) > 0)
 
 
-def _ranges(cover: np.ndarray) -> list[dict]:
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], cover.view(np.int8), [0]])))
+def _ranges(cover: np.ndarray, offset: int = 0) -> list[dict]:
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], cover.view(np.int8), [0]]))) + offset
     return [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-_FOUND = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", _SPAN), ("text_kept", pa.string()), ("shard", pa.int64()), ("salt", pa.int64()), ("passage", pa.int64()), ("first", pa.int64())])
-_FOUND_SQL = "kind int, key long, doc_id long, n_words long, spans array<struct<start:int,end:int>>, text_kept string, shard long, salt long, passage long, first long"
+_FOUND = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("spans", _SPAN), ("shard", pa.int64()), ("salt", pa.int64()), ("passage", pa.int64()), ("first", pa.int64())])
+_FOUND_SQL = "kind int, doc_id long, digest long, spans array<struct<start:int,end:int>>, shard long, salt long, passage long, first long"
 
 
 def _stream(window: int, phrase: int, known: bool):
-    """One shard's group: its phrases (and with known=True first documents of passages) against its documents.
+    """One group of a shard: its automaton (and with known=True first documents of passages) against its documents.
 
-    Rows out: kind 0, a document that is done; 1, spans of a document that other shards hold too; 2, of a shard in several
-    groups, each passage with this group's first document.
+    Rows out: kind 1, words of a document to remove; 2, of a shard in several groups, each passage with this group's first
+    document.
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        sources = [(t, o) for t, o in zip(left["text"].to_pylist(), left["own"].to_pylist(), strict=True) if t is not None]
-        found = _automaton(sources, phrase)
-        words = [plain_words(t) for t in right["text"].to_pylist()]
+        found = ahocorasick.Automaton()
+        for p in left["phrase"].to_pylist():
+            if p is not None:
+                found.add_word(f" {p} ", len(p) + 2)
+        if len(found):
+            found.make_automaton()
+        words = [plain_words(t) for t in right["excerpt"].to_pylist()]
         ids = right["doc_id"].to_numpy()
         starts = [_located(found, w, window, phrase) for w in words]
         hashes = [grams(_HASH.array(w), window)[s] if len(s) else np.empty(0, np.uint64) for w, s in zip(words, starts, strict=True)]
@@ -110,112 +139,96 @@ def _stream(window: int, phrase: int, known: bool):
         passage, where = np.unique(flat, return_inverse=True)
         first = np.full(len(passage), np.iinfo(np.int64).max)
         np.minimum.at(first, where, doc)
-        out = {n: [] for n in _FOUND.names}
-
-        def put(**row):
-            for n in out:
-                out[n].append(row.get(n))
-
-        many = bool(len(right)) and right["salts"][0].as_py() > 1
-        if many and not known:
-            shard, salt = right["shard"][0].as_py(), right["salt"][0].as_py()
+        if len(right) and right["salts"][0].as_py() > 1 and not known:
             k = len(passage)
-            table = {"kind": pa.array([2] * k, pa.int32()), "shard": pa.array([shard] * k, pa.int64()), "salt": pa.array([salt] * k, pa.int64()), "passage": pa.array(passage), "first": pa.array(first)}
+            table = {"kind": pa.array([2] * k, pa.int32()), "shard": pa.array([right["shard"][0].as_py()] * k, pa.int64()), "salt": pa.array([right["salt"][0].as_py()] * k, pa.int64()), "passage": pa.array(passage), "first": pa.array(first)}
             return pa.table([table.get(f.name, pa.nulls(k, f.type)) for f in _FOUND], _FOUND)
-        at = 0
-        keys, shards = right["key"].to_pylist(), right["shards"].to_pylist()
+        rows, at = [], 0
+        digests, offsets = right["digest"].to_pylist(), right["offset"].to_pylist()
         for i, w in enumerate(words):
             late = starts[i][first[where[at : at + len(starts[i])]] < ids[i]]
             at += len(starts[i])
-            cover = np.zeros(len(w) + 1, np.int32)
-            np.add.at(cover, late, 1)
-            np.add.at(cover, late + window, -1)
-            cover = np.cumsum(cover[:-1]) > 0
-            if shards[i] == 1:
-                put(kind=0, key=keys[i], doc_id=int(ids[i]), n_words=len(w), spans=_ranges(cover), text_kept=_kept(w, cover))
-            else:
-                put(kind=1, key=keys[i], spans=_ranges(cover))
-        return pa.table({f.name: pa.array(out[f.name], f.type) for f in _FOUND}, _FOUND)
+            if len(late):
+                cover = np.zeros(len(w) + 1, np.int32)
+                np.add.at(cover, late, 1)
+                np.add.at(cover, late + window, -1)
+                rows.append((int(ids[i]), digests[i], _ranges(np.cumsum(cover[:-1]) > 0, offsets[i])))
+        k = len(rows)
+        table = {"kind": pa.array([1] * k, pa.int32()), **{n: pa.array([r[i] for r in rows], _FOUND.field(n).type) for i, n in enumerate(("doc_id", "digest", "spans"))}}
+        return pa.table([table.get(f.name, pa.nulls(k, f.type)) for f in _FOUND], _FOUND)
 
     return run
 
 
-def _kept(words: list[bytes], cover: np.ndarray) -> str:
-    return b" ".join([w for w, c in zip(words, cover.tolist(), strict=True) if not c] if cover.any() else words).decode()
-
-
-def _finish(with_spans: bool):
-    """Rows (key, doc_id, text[, spans of several shards]) to finished documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [plain_words(t) for t in batch.column(1).to_pylist()]
-            spans = batch.column(2).to_pylist() if with_spans else [None] * len(words)
-            merged, kept = [], []
-            for w, s in zip(words, spans, strict=True):
-                cover = np.zeros(len(w), bool)
-                for x in s or ():
-                    cover[x["start"] : x["end"]] = True
-                merged.append(_ranges(cover))
-                kept.append(_kept(w, cover))
-            cols = [batch.column(0).cast(pa.int64()), pa.array([len(w) for w in words], pa.int64()), pa.array(merged, _SPAN), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "spans", "text_kept"])
-
-    return run
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, spans or null) to finished documents."""
+    for batch in batches:
+        words = [plain_words(t) for t in batch.column(1).to_pylist()]
+        merged, kept = [], []
+        for w, s in zip(words, batch.column(2).to_pylist(), strict=True):
+            cover = np.zeros(len(w), bool)
+            for x in s or ():
+                cover[x["start"] : x["end"]] = True
+            merged.append(_ranges(cover) if s else [])
+            kept.append(b" ".join([x for x, c in zip(w, cover.tolist(), strict=True) if not c] if s else w).decode())
+        cols = [batch.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array(merged, _SPAN), pa.array(kept, pa.string())]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "spans", "text_kept"])
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, group_docs: int = GROUP_DOCS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """Removes words covered by a window of `window` words that also starts in a document with a smaller doc_id.
 
     1. Of each window its least phrase (by hash) is sampled; a phrase that two documents share is confirmed as recurring.
-    2. Phrases are dealt to shards by the document they are taken from; a document goes to the shards of its phrases,
-       and a shard with many documents is cut into groups that each get its phrases.
-    3. Each group compiles an automaton of its phrases, streams its documents through it, and at every occurrence
+    2. Phrases are dealt to shards by the document they are taken from; a document's stretches around a shard's phrases go
+       to that shard, and a shard with many documents is cut into groups that each get its phrases.
+    3. Each group compiles an automaton of its phrases, streams its stretches through it, and at every occurrence
        compares whole windows (64-bit hashes of all their words) for the first document that has them.
 
-    A document without a confirmed phrase holds no repeated window and keeps its words. Returns a row for each row of docs
-    (doc_id, text): doc_id, n_words, spans (removed word ranges, end exclusive), text_kept (kept words joined by one blank).
-    Null and empty texts have no words and an empty text_kept; equal doc_ids do not precede each other; repeated rows
-    are all returned; doc_id must be an integer and not null; other columns are ignored.
+    A window without a confirmed phrase is not repeated, so words outside the stretches stay. Returns a row for each row of
+    docs (doc_id, text): doc_id, n_words, spans (removed word ranges, end exclusive), text_kept (kept words joined by one
+    blank). Null and empty texts have no words and an empty text_kept; equal doc_ids do not precede each other; repeated
+    rows are all returned; doc_id must be an integer and not null; other columns are ignored.
     """
-    spark = docs.sparkSession
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sampled = keyed.select("key", "text").mapInArrow(_sampled(window, phrase), "anchor long, key long")
-    recurring = sampled.groupBy("anchor").agg(F.min("key").alias("source"), F.max("key").alias("other")).where("source < other").drop("other")
+    own_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sampled = own_docs.mapInArrow(_sampled(window, phrase), "anchor long, doc_id long")
+    recurring = sampled.groupBy("anchor").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("other")).where("source < other").drop("other")
     shards = max(64, docs.count() // group_docs)
-    links = sampled.join(recurring, "anchor").withColumn("shard", F.pmod(F.xxhash64("source"), F.lit(shards)))
-    own = F.when(F.col("key") == F.col("source"), F.struct("shard", "anchor"))
-    routes = saved(links.groupBy("key").agg(F.collect_set("shard").alias("to"), F.collect_set(own).alias("own")), "routes")
-    n_routes = routes.count()
-    keys = routes.select("key")
-    small = n_routes <= broadcast_keys
-    few = keyed.join(F.broadcast(keys), "key", "left_semi") if small else keyed
-    load = routes.select(F.explode("to").alias("shard")).groupBy("shard").agg(F.ceil(F.count("*") / group_docs).alias("salts"))
-    routed = saved(few.join(routes, "key"), "routed")
-    sent = routed.select("key", "doc_id", "text", F.size("to").alias("shards"), F.explode("to").alias("shard"), "own").join(load, "shard")
-    right = sent.select("shard", F.pmod(F.xxhash64("key"), "salts").alias("salt"), "salts", "key", "doc_id", "text", "shards")
-    mine = F.transform(F.filter("own", lambda x: x["shard"] == F.col("shard")), lambda x: x["anchor"])
-    left = sent.select("shard", "salts", "text", mine.alias("own")).where(F.size("own") > 0)
-    left = left.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "salts", "text", "own", F.lit(None).cast("long").alias("passage"), F.lit(None).cast("long").alias("first"))
-
-    def streamed(sources: DataFrame, documents: DataFrame, known: bool) -> DataFrame:
-        sources = sources.select(*[F.col(c).alias(c) for c in sources.columns])  # columns of its own beside the documents'
-        return sources.groupBy("shard", "salt").cogroup(documents.groupBy("shard", "salt")).applyInArrow(_stream(window, phrase, known), _FOUND_SQL)
+    links = sampled.join(recurring, "anchor").select("doc_id", F.struct("anchor", F.pmod(F.xxhash64("source"), F.lit(shards)).alias("shard"), (F.col("source") == F.col("doc_id")).alias("own")).alias("link"))
+    routes = saved(links.groupBy("doc_id").agg(F.collect_set("link").alias("links")), "routes")
+    to = routes.select("doc_id", F.explode(F.array_distinct("links.shard")).alias("shard"))
+    load = to.groupBy("shard").agg(F.ceil(F.count("*") / group_docs).alias("salts")).where("salts > 1")
+    wide = to.join(load, "shard").groupBy("doc_id").agg(F.collect_list(F.struct("shard", "salts")).alias("wide"))
+
+    def only(keys: DataFrame, n: int, how: str) -> DataFrame:
+        return own_docs.join(F.broadcast(keys) if n <= broadcast_keys else keys, "doc_id", how)
+
+    keys = routes.select("doc_id")
+    few = only(keys, routes.count(), "left_semi").select("doc_id", F.xxhash64("text").alias("digest"), "text")
+    few = few.join(routes.join(wide, "doc_id", "left"), "doc_id").select("doc_id", "digest", "text", "links", "wide")
+    parts = saved(few.mapInArrow(_parts(window, phrase), _PART_SQL), "parts")
+    right = parts.where("excerpt is not null").select("shard", "salt", "salts", "doc_id", "digest", "offset", "excerpt")
+    blank = F.lit(None).cast("long")
+    left = parts.where("phrase is not null").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "salts", "phrase", blank.alias("passage"), blank.alias("first"))
+
+    def streamed(phrases: DataFrame, documents: DataFrame, known: bool) -> DataFrame:
+        phrases = phrases.select(*[F.col(c).alias(c) for c in phrases.columns])  # columns of its own beside the documents'
+        return phrases.groupBy("shard", "salt").cogroup(documents.groupBy("shard", "salt")).applyInArrow(_stream(window, phrase, known), _FOUND_SQL)
 
     first = saved(streamed(left, right, False), "passages")
     # a shard that was cut into groups: the first document of each passage over all of them goes back to where it matters
     told = first.where("kind = 2").select("shard", "salt", "passage", "first")
     overall = told.groupBy("shard", "passage").agg(F.min("first").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     back = told.join(overall, ["shard", "passage"]).where("least < first")
-    back = back.select("shard", "salt", F.lit(2).cast("long").alias("salts"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("array<long>").alias("own"), "passage", F.col("least").alias("first"))
-    second = saved(streamed(left.where("salts > 1").unionByName(back), right.where("salts > 1"), True), "passages")
-    both = first.where("kind < 2").unionByName(second.where("kind < 2"))
-    done = both.where("kind = 0").select("doc_id", "n_words", "spans", "text_kept")
-    spans = both.where("kind = 1").groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    rest = routed.where(F.size("to") > 1).select("key", "doc_id", "text").join(spans, "key").select("doc_id", "text", "spans")
+    back = back.select("shard", "salt", F.lit(2).cast("long").alias("salts"), F.lit(None).cast("string").alias("phrase"), "passage", F.col("least").alias("first"))
+    second = streamed(left.where("salts > 1").unionByName(back), right.where("salts > 1"), True)
+    spans = first.where("kind = 1").unionByName(second.where("kind = 1")).groupBy("doc_id", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = saved(spans, "spans")
+    marked = spans.select("doc_id").distinct()
+    n = spans.count()
+    changed = only(marked, n, "left_semi").withColumn("digest", F.xxhash64("text")).join(spans, ["doc_id", "digest"], "left")
+    plain = only(marked, n, "left_anti").select("doc_id", "text", F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"))
     schema = "doc_id long, n_words long, spans array<struct<start:int,end:int>>, text_kept string"
-    plain = keyed.join(F.broadcast(keys) if small else keys, "key", "left_anti").select("doc_id", "text")
-    return done.unionByName(rest.mapInArrow(_finish(True), schema)).unionByName(plain.mapInArrow(_finish(False), schema))
+    return changed.select("doc_id", "text", "spans").mapInArrow(_finish, schema).unionByName(plain.mapInArrow(_finish, schema))
 
 
 def op9_aho_corasick(spark, sf_dir: str) -> DataFrame:
