@@ -1,0 +1,48 @@
+"""Connecting near things that share bucket keys, without ever emitting all pairs of a bucket."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from strandloom.llm.common import components, saved
+
+Near = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
+
+
+def connect(members: DataFrame, payload: list[str], near: Near, check: Callable[[DataFrame], DataFrame] | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Groups of ids that pairs of one bucket connect: (edges (a, b), ids of buckets left open).
+
+    members: distinct (key, id, *payload). A pair of a bucket is an edge if near(payload of a, payload of b) and, where
+    given, check keeps it among pairs (a, b).
+
+    Round one compares each member with its bucket's least id only, so its pairs grow with the members. Round two looks at
+    buckets that still hold several groups: every member outside the least id's group is compared with all members of other
+    groups, so no edge between groups is lost, and buckets within one group cost nothing. With a limit, buckets of more
+    than `limit` members that hold several groups are left open: their ids come back for a finer split. Without one the
+    second value is None.
+    """
+    spare = [F.col(c) for c in payload]
+    own, other = (lambda c: F.col(c)), (lambda c: F.col(f"{c}_b"))
+    load = members.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    # a key of its own on this side: both sides are dealt anew, and a hot bucket can be split between tasks
+    full = saved(members.join(load.select((F.col("key") + 0).alias("key"), "pivot", "n"), "key"), "buckets")
+    first = full.where("id = pivot").select((F.col("key") + 0).alias("key"), F.col("id").alias("id_b"), *[F.col(c).alias(f"{c}_b") for c in payload])
+    star = full.where("id <> pivot").join(first, "key").where(near(own, other)).select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
+    edges = saved(check(star) if check else star, "links")
+    groups = components(edges)
+    named = full.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "pivot", *spare, F.coalesce("root", "id").alias("group"))
+    named = saved(named, "buckets")
+    mixed = named.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.min(F.when(F.col("id") == F.col("pivot"), F.col("group"))).alias("main")).where("low <> high")
+    mixed = saved(named.join(mixed.select((F.col("key") + 0).alias("key"), "main"), "key"), "mixed")
+    open_ids = mixed.where(F.col("n") > limit).select("id").distinct() if limit else None
+    left = mixed.where(F.col("n") <= limit) if limit else mixed
+    rest = left.where(F.col("group") != F.col("main"))
+    right = left.select((F.col("key") + 0).alias("key"), F.col("id").alias("id_b"), F.col("group").alias("group_b"), "main", *[F.col(c).alias(f"{c}_b") for c in payload])
+    once = (F.col("group_b") == F.col("main")) | (F.col("id") < F.col("id_b"))
+    pairs = rest.drop("main").join(right, "key").where((F.col("group") != F.col("group_b")) & once & near(own, other))
+    pairs = pairs.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
+    more = saved(check(pairs) if check else pairs, "links")
+    return edges.unionByName(more), open_ids

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from strandloom.llm.chat_format import OP5_SQL, op5_perspective_rotation
 from strandloom.llm.decontaminate import op10_fm_index
+from strandloom.llm.jaccard_join import op1_chosen_path
+from strandloom.llm.license_scan import OP7_SQL, op7_license_dice
+from strandloom.llm.line_dedup import op2_fuzzy_lines
 from strandloom.llm.packing import op4_best_fit_packing
+from strandloom.llm.secret_scan import op8_entropy_secrets
 from strandloom.llm.substring_dedup import op9_aho_corasick
 from strandloom.llm.topk import OP6_SQL, op6_maxscore
 from strandloom.llm.toxicity import op3_noisy_channel
@@ -11,15 +16,22 @@ from strandloom.llm.toxicity import op3_noisy_channel
 
 def queries() -> dict:
     return {
+        "op1_chosen_path": op1_chosen_path,
+        "op2_fuzzy_lines": op2_fuzzy_lines,
         "op3_noisy_channel": op3_noisy_channel,
+        "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_perspective_rotation": op5_perspective_rotation,
         "op6_maxscore": op6_maxscore,
+        "op7_license_dice": op7_license_dice,
+        "op8_entropy_secrets": op8_entropy_secrets,
         "op9_aho_corasick": op9_aho_corasick,
-        "op4_best_fit_packing": op4_best_fit_packing,
         "op10_fm_index": op10_fm_index,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_perspective_rotation": OP5_SQL,
         "op6_maxscore": OP6_SQL,
+        "op7_license_dice": OP7_SQL,
     }
