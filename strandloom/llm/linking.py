@@ -26,19 +26,19 @@ def connect(members: DataFrame, payload: list[str], near: Near, check: Callable[
     """
     spare = [F.col(c) for c in payload]
     own, other = (lambda c: F.col(c)), (lambda c: F.col(f"{c}_b"))
-    load = members.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    load = members.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("bucket_n")).where("bucket_n > 1")
     # a key of its own on this side: both sides are dealt anew, and a hot bucket can be split between tasks
-    full = saved(members.join(load.select((F.col("key") + 0).alias("key"), "pivot", "n"), "key"), "buckets")
+    full = saved(members.join(load.select((F.col("key") + 0).alias("key"), "pivot", "bucket_n"), "key"), "buckets")
     first = full.where("id = pivot").select((F.col("key") + 0).alias("key"), F.col("id").alias("id_b"), *[F.col(c).alias(f"{c}_b") for c in payload])
     star = full.where("id <> pivot").join(first, "key").where(near(own, other)).select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
     edges = saved(check(star) if check else star, "links")
     groups = components(edges)
-    named = full.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "pivot", *spare, F.coalesce("root", "id").alias("group"))
+    named = full.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "bucket_n", "pivot", *spare, F.coalesce("root", "id").alias("group"))
     named = saved(named, "buckets")
     mixed = named.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.min(F.when(F.col("id") == F.col("pivot"), F.col("group"))).alias("main")).where("low <> high")
     mixed = saved(named.join(mixed.select((F.col("key") + 0).alias("key"), "main"), "key"), "mixed")
-    open_ids = mixed.where(F.col("n") > limit).select("id").distinct() if limit else None
-    left = mixed.where(F.col("n") <= limit) if limit else mixed
+    open_ids = mixed.where(F.col("bucket_n") > limit).select("id").distinct() if limit else None
+    left = mixed.where(F.col("bucket_n") <= limit) if limit else mixed
     rest = left.where(F.col("group") != F.col("main"))
     right = left.select((F.col("key") + 0).alias("key"), F.col("id").alias("id_b"), F.col("group").alias("group_b"), "main", *[F.col(c).alias(f"{c}_b") for c in payload])
     once = (F.col("group_b") == F.col("main")) | (F.col("id") < F.col("id_b"))
