@@ -248,6 +248,39 @@ def _merged(docs: DataFrame, parts: list[DataFrame], clean: bool) -> DataFrame:
     return docs.select("doc_id", "text").join(out, "doc_id").withColumn("text_clean", cutter("text", "spans")).drop("text")
 
 
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """docs with all their columns, texts without the spans that contamination() finds; with several blocks of benchmark
+    items each pass cuts what the one before has left."""
+    size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // block_chars))
+    at = docs.columns.index("text")
+
+    def cutter(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            phrases = Phrases(sent.value, window)
+            for batch in batches:
+                found = batch.column(at).to_pylist()
+                words, first = [fold_words(t) for t in found], 0
+                while first < len(found):
+                    last, n = first, 0
+                    while last < len(found) and (n < shard_words or last == first):
+                        n += len(words[last]) + 1
+                        last += 1
+                    hits = phrases.hits(words[first:last])
+                    part = batch.slice(first, last - first)
+                    clean = pa.array([cut(t, spans_of(h)) for t, (h, _) in zip(found[first:last], hits, strict=True)], pa.string())
+                    yield pa.RecordBatch.from_arrays([clean if i == at else c for i, c in enumerate(part.columns)], part.schema.names)
+                    first = last
+
+        return run
+
+    for block in range(blocks):
+        own = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else benchmark
+        rows = [tuple(r) for r in own.select("item_id", "text").collect()]  # at most about block_chars characters
+        docs = docs.mapInArrow(cutter(docs.sparkSession.sparkContext.broadcast(rows)), docs.schema)
+    return docs
+
+
 def op10_fm_index(spark, sf_dir: str) -> DataFrame:
     """Contract query: hits of benchmark windows in every whole document."""
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))

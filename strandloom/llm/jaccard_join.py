@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import WordHash, components, fold_words, grams, mix, saved
+from strandloom.llm.common import WordHash, components, drop, fold_words, grams, mix, saved
 from strandloom.llm.linking import connect
 
 WORDS = 5
@@ -65,9 +65,10 @@ def paths(x: np.ndarray, depth: int, runs: int, similarity: float, seed: int = 0
                 v = (x ^ path) * np.uint64(0x9E3779B97F4A7C15)
                 v ^= v >> np.uint64(29)
                 v *= np.uint64(0xBF58476D1CE4E5B9)
-                for i in np.flatnonzero(v < limit).tolist():
+                chosen = np.flatnonzero(v < limit)
+                for i, child in zip(chosen.tolist(), mix(path + x[chosen] * np.uint64(0x94D049BB133111EB)), strict=True):
                     if i not in used:
-                        new.append((mix(np.array([path + x[i] * np.uint64(0x94D049BB133111EB)], np.uint64))[0], (*used, i)))
+                        new.append((child, (*used, i)))
             nodes = new
         out += [path for path, _ in nodes]
     return np.unique(np.array(out, np.uint64))
@@ -201,7 +202,6 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIM
 
     keyed = sets.join(reps.select((F.col("id") + 0).alias("id"), "rep"), "id").where("doc_id = rep").dropDuplicates(["id"])
     edges, open_ids = connect(keyed.select(F.explode("keys").alias("key"), "id", *payload), payload, near, limit=limit)
-    open_ids = saved(open_ids, "open")
 
     def texts_of(ids: DataFrame) -> DataFrame:
         """(id, text) of the sets' first documents."""
@@ -215,7 +215,8 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIM
         deep = texts_of(open_ids).mapInArrow(_deeper(words, DEEP, runs_for(DEEP, recall), similarity), "id long, keys array<long>")
         deep = saved(deep.select("id", F.explode("keys").alias("key")).distinct().join(reps.select("id", *payload), "id"), "deep")
         edges = edges.unionByName(connect(deep, payload, near)[0])
-    groups = components(edges)
+        drop(deep)
+    groups = saved(components(edges), "groups")
     size = groups.groupBy("root").agg(F.count("*").alias("members"))
     named = groups.join(size.select((F.col("root") + 0).alias("root"), "members"), "root").withColumnRenamed("node", "id")
     blocks = F.ceil(F.col("members") / block)
@@ -228,6 +229,7 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     classes = components(found.where("a is not null").select("a", "b")).withColumnRenamed("node", "id")
     info = reps.join(links, "id", "left").join(classes, "id", "left").select("id", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "id").alias("root"))
     info = saved(info, "classes")
+    drop(groups, found)
     first = info.groupBy("root").agg(F.min("rep").alias("class_id"))
     info = info.join(first.select((F.col("root") + 0).alias("root"), "class_id"), "root").select((F.col("id") + 0).alias("id"), "class_id", F.col("rep").alias("copy_id"), (F.col("links") + F.col("copies") - 1).alias("n_links"))
     with_set = sets.select("doc_id", "id").join(info, "id").select("doc_id", "class_id", "copy_id", "n_links")

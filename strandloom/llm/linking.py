@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import components, saved
+from strandloom.llm.common import components, drop, saved
 
 Near = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
@@ -32,17 +32,19 @@ def connect(members: DataFrame, payload: list[str], near: Near, check: Callable[
     first = full.where("id = pivot").select((F.col("key") + 0).alias("key"), F.col("id").alias("id_b"), *[F.col(c).alias(f"{c}_b") for c in payload])
     star = full.where("id <> pivot").join(first, "key").where(near(own, other)).select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
     edges = saved(check(star) if check else star, "links")
-    groups = components(edges)
+    groups = saved(components(edges), "groups")
     named = full.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "bucket_n", "pivot", *spare, F.coalesce("root", "id").alias("group"))
     named = saved(named, "buckets")
+    drop(groups)
     mixed = named.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.min(F.when(F.col("id") == F.col("pivot"), F.col("group"))).alias("main")).where("low <> high")
     mixed = saved(named.join(mixed.select((F.col("key") + 0).alias("key"), "main"), "key"), "mixed")
-    open_ids = mixed.where(F.col("bucket_n") > limit).select("id").distinct() if limit else None
+    open_ids = saved(mixed.where(F.col("bucket_n") > limit).select("id").distinct(), "open") if limit else None
     left = mixed.where(F.col("bucket_n") <= limit) if limit else mixed
     rest = left.where(F.col("group") != F.col("main"))
     right = left.select((F.col("key") + 0).alias("key"), F.col("id").alias("id_b"), F.col("group").alias("group_b"), "main", *[F.col(c).alias(f"{c}_b") for c in payload])
     once = (F.col("group_b") == F.col("main")) | (F.col("id") < F.col("id_b"))
     pairs = rest.drop("main").join(right, "key").where((F.col("group") != F.col("group_b")) & once & near(own, other))
     pairs = pairs.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
-    more = saved(check(pairs) if check else pairs, "links")
-    return edges.unionByName(more), open_ids
+    out = saved(edges.unionByName(check(pairs) if check else pairs), "links")
+    drop(full, named, mixed, edges)
+    return out, open_ids

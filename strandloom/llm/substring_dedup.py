@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import WordHash, grams, plain_words, saved
+from strandloom.llm.common import WordHash, drop, grams, plain_words, saved
 
 WINDOW = 13
 PHRASE = 5  # words of a sampled phrase
@@ -223,6 +223,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     second = streamed(left.where("salts > 1").unionByName(back), right.where("salts > 1"), True)
     spans = first.where("kind = 1").unionByName(second.where("kind = 1")).groupBy("doc_id", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     spans = saved(spans, "spans")
+    drop(routes, parts, first)
     marked = spans.select("doc_id").distinct()
     n = spans.count()
     changed = only(marked, n, "left_semi").withColumn("digest", F.xxhash64("text")).join(spans, ["doc_id", "digest"], "left")

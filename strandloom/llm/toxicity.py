@@ -304,6 +304,20 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep_text: bool = Fals
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is under the threshold."""
+    sent, lexicon, at = _Sent(docs.sparkSession, model.cost), _Sent(docs.sparkSession, model.lexicon), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = Weights(_restorer(sent), lexicon.value)
+        for batch in batches:
+            x = np.array([_evidence(weights, t) for t in batch.column(at).to_pylist()]).reshape(batch.num_rows, 3)
+            score = 1 / (1 + np.exp(-np.clip(model.fit[0] + x @ model.fit[1:], -30, 30)))
+            yield batch.filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_noisy_channel(spark, sf_dir: str) -> DataFrame:
     """Contract query: a score and a prediction for every document."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
