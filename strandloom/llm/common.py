@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import tempfile
 import uuid
 
@@ -58,22 +57,6 @@ def plain_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").split() if text else []
 
 
-class WordHash(dict):
-    """Caches a 64-bit hash for each word; forgets all when it has grown to `most` words."""
-
-    def __init__(self, most: int = 400_000):
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64: spreads the bits of 64-bit integers."""
     x = x ^ (x >> np.uint64(30))
@@ -83,6 +66,55 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, *range(9, 14)]] = True
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))  # a 64-bit number for each byte
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+_UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_SLICE = 1 << 20
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    if len(_POWERS[0]) < n:
+        for i, base in enumerate((_BASE, _UNBASE)):
+            p = np.full(max(n, 1 << 16), base, np.uint64)
+            p[0] = 1
+            _POWERS[i] = np.multiply.accumulate(p)
+    return _POWERS
+
+
+def hash_words(data: bytes) -> np.ndarray:
+    """64-bit hash of each run of bytes between blanks (U+0020, U+0009 to U+000D).
+
+    A polynomial over the bytes' numbers: prefix sums give every word's in one pass; texts are read in slices that end at a
+    blank, so memory does not grow with the text.
+    """
+    found, at = [], 0
+    while at < len(data):
+        end = at + _SLICE
+        if end < len(data):
+            while end < len(data) and not _BLANK[data[end]]:
+                end += 1
+        part = np.frombuffer(data[at:end], np.uint8)
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], _BLANK[part], [True]]).view(np.int8)))
+        start, stop = edge[::2], edge[1::2]
+        power, inverse = _powers(len(part) + 1)
+        prefix = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTES[part] * power[: len(part)], out=prefix[1:])
+        found.append(mix((prefix[stop] - prefix[start]) * inverse[start] + (stop - start).astype(np.uint64)))
+        at = end
+    return np.concatenate(found) if found else np.empty(0, np.uint64)
+
+
+def fold_bytes(text: str | None) -> bytes:
+    return text.encode("utf-8", "replace").translate(_FOLD) if text else b""
+
+
+def plain_bytes(text: str | None) -> bytes:
+    return text.encode("utf-8", "replace") if text else b""
+
+
 def grams(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each k consecutive word hashes: one per start."""
     n = len(h) - k + 1

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import WordHash, components, drop, fold_words, grams, mix, saved
+from strandloom.llm.common import components, drop, fold_bytes, grams, hash_words, mix, saved
 from strandloom.llm.linking import connect
 
 WORDS = 5
@@ -24,13 +24,11 @@ SKETCH = 128  # bits; the sketch passes a pair at SIMILARITY but for about 1 in
 SLACK = 4  # standard deviations
 BROADCAST_KEYS = 1_000_000
 
-_HASH = WordHash()
-
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the runs of `words` words; a shorter text is one shingle, one without words has none."""
-    w = fold_words(text)
-    return np.unique(grams(_HASH.array(w), min(words, len(w)))) if w else np.empty(0, np.uint64)
+    h = hash_words(fold_bytes(text))
+    return np.unique(grams(h, min(words, len(h)))) if len(h) else np.empty(0, np.uint64)
 
 
 def set_id(x: np.ndarray) -> int | None:

@@ -11,15 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import WordHash, drop, grams, plain_words, saved
+from strandloom.llm.common import drop, grams, hash_words, plain_bytes, plain_words, saved
 
 WINDOW = 13
 PHRASE = 5  # words of a sampled phrase
 GROUP_DOCS = 96  # documents that one automaton's group streams
 BROADCAST_KEYS = 1_000_000  # ids of at most so many documents (16 MB) are sent to all tasks; more are joined by a shuffle
 
-_HASH = WordHash()
-
 
 def anchors(h: np.ndarray, window: int, phrase: int) -> np.ndarray:
     """Distinct hashes of the phrases that are the least in some window: equal windows always share one."""
@@ -36,7 +34,7 @@ def anchors(h: np.ndarray, window: int, phrase: int) -> np.ndarray:
 def _sampled(window: int, phrase: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [anchors(_HASH.array(plain_words(t)), window, phrase) for t in batch.column(1).to_pylist()]
+            found = [anchors(hash_words(plain_bytes(t)), window, phrase) for t in batch.column(1).to_pylist()]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             flat = np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(batch.column(0).to_numpy(), sizes))], ["anchor", "doc_id"])
@@ -44,52 +42,53 @@ def _sampled(window: int, phrase: int):
     return run
 
 
-_PART_SQL = "shard long, salt long, salts long, phrase string, doc_id long, digest long, offset int, excerpt string"
-_PART = pa.schema([("shard", pa.int64()), ("salt", pa.int64()), ("salts", pa.int64()), ("phrase", pa.string()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("offset", pa.int32()), ("excerpt", pa.string())])
+_PART_SQL = "shard long, salt long, salts long, doc_id long, digest long, offset int, excerpt string, at array<int>"
+_PART = pa.schema([("shard", pa.int64()), ("salt", pa.int64()), ("salts", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("offset", pa.int32()), ("excerpt", pa.string()), ("at", pa.list_(pa.int32()))])
 
 
 def _parts(window: int, phrase: int):
-    """Of a document and its confirmed phrases: the phrases it is the source of, and for each shard the stretches of words
-    that windows around the shard's phrases span."""
+    """Of a document and its confirmed phrases: for each shard the stretches of words that windows around the shard's phrases
+    span, and where in them the phrases are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            ids, digests, found, links, wide = (batch.column(i).to_pylist() for i in range(5))
-            for d, digest, text, own, to in zip(ids, digests, found, links, wide, strict=True):
-                words = plain_words(text)
-                g = grams(_HASH.array(words), phrase).view(np.int64)
-                if not len(g) or not own:
+            ids, digests, found = (batch.column(i).to_pylist() for i in range(3))
+            links, wide = batch.column(3), batch.column(4).to_pylist()
+            flat, ends = links.flatten(), links.offsets.to_numpy() - links.offsets[0].as_py()
+            names, dealt = flat.field("anchor").to_numpy(), flat.field("shard").to_numpy()
+            for i, (d, digest, text, to) in enumerate(zip(ids, digests, found, wide, strict=True)):
+                data = plain_bytes(text)
+                g = grams(hash_words(data), phrase).view(np.int64)
+                table, own = names[ends[i] : ends[i + 1]], dealt[ends[i] : ends[i + 1]]
+                if not len(g) or not len(table):
                     continue
-                table = np.array([(x["anchor"], x["shard"], x["own"]) for x in own], np.int64)
-                table = table[np.argsort(table[:, 0])]
-                at = np.minimum(np.searchsorted(table[:, 0], g), len(table) - 1)
-                hit = np.flatnonzero(table[at, 0] == g)
-                shard = table[at[hit], 1]
+                by = np.argsort(table)
+                table, own = table[by], own[by]
+                at = np.minimum(np.searchsorted(table, g), len(table) - 1)
+                hit = np.flatnonzero(table[at] == g)
+                shard = own[at[hit]]
                 salts = {x["shard"]: x["salts"] for x in to or ()}
-                told = set()
-                for p, s in zip(hit[table[at[hit], 2] > 0].tolist(), shard[table[at[hit], 2] > 0].tolist(), strict=True):
-                    if (k := int(g[p])) not in told:
-                        told.add(k)
-                        rows.append((s, None, salts.get(s, 1), b" ".join(words[p : p + phrase]).decode(), None, None, None, None))
+                words = data.split()
                 for s in np.unique(shard).tolist():
-                    low = np.maximum(hit[shard == s] - (window - phrase), 0)
-                    high = np.minimum(hit[shard == s] + window, len(words))
-                    cut = np.flatnonzero(low[1:] > high[:-1]) + 1
+                    own_hits = hit[shard == s]
+                    low = np.maximum(own_hits - (window - phrase), 0)
+                    high = np.minimum(own_hits + window, len(words))
+                    cut = [0, *(np.flatnonzero(low[1:] > high[:-1]) + 1).tolist(), len(low)]
                     n = salts.get(s, 1)
-                    for x, y in zip(low[np.concatenate([[0], cut])].tolist(), high[np.concatenate([cut - 1, [len(high) - 1]])].tolist(), strict=True):
-                        rows.append((s, digest % n, n, None, d, digest, x, b" ".join(words[x:y]).decode()))
+                    for x, y in zip(cut, cut[1:], strict=False):
+                        first = int(low[x])
+                        rows.append((s, digest % n, n, d, digest, first, b" ".join(words[first : int(high[y - 1])]).decode(), own_hits[x:y] - first))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_PART)], schema=_PART)
 
     return run
 
 
-def _located(found, words: list[bytes], window: int, phrase: int) -> np.ndarray:
+def _located(found, line: str, n_words: int, window: int, phrase: int) -> np.ndarray:
     """Starts of the windows that hold an occurrence of some phrase."""
-    n = len(words) - window + 1
+    n = n_words - window + 1
     if n <= 0 or not len(found):
         return np.empty(0, np.int64)
-    line = b" ".join(words).decode()
     at = np.array([end - size + 1 for end, size in found.iter(f" {line} ")], np.int64)
     if not len(at):
         return at
@@ -114,28 +113,31 @@ _FOUND_SQL = "kind int, doc_id long, digest long, spans array<struct<start:int,e
 
 
 def _stream(window: int, phrase: int, known: bool):
-    """One group of a shard: its automaton (and with known=True first documents of passages) against its documents.
+    """One group of a shard: the automaton of the phrases that its stretches confirm, against all its stretches; with
+    known=True the other side tells the first documents of passages that other groups have.
 
     Rows out: kind 1, words of a document to remove; 2, of a shard in several groups, each passage with this group's first
     document.
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        lines, ids = right["excerpt"].to_pylist(), right["doc_id"].to_numpy()
+        phrases = set()
+        for line, at in zip(lines, right["at"].to_pylist(), strict=True):
+            words = line.split(" ")
+            phrases.update(" ".join(words[p : p + phrase]) for p in at)
         found = ahocorasick.Automaton()
-        for p in left["phrase"].to_pylist():
-            if p is not None:
-                found.add_word(f" {p} ", len(p) + 2)
-        if len(found):
+        for p in phrases:
+            found.add_word(f" {p} ", len(p) + 2)
+        if phrases:
             found.make_automaton()
-        words = [plain_words(t) for t in right["excerpt"].to_pylist()]
-        ids = right["doc_id"].to_numpy()
-        starts = [_located(found, w, window, phrase) for w in words]
-        hashes = [grams(_HASH.array(w), window)[s] if len(s) else np.empty(0, np.uint64) for w, s in zip(words, starts, strict=True)]
+        words = [hash_words(t.encode()) for t in lines]
+        starts = [_located(found, t, len(w), window, phrase) for t, w in zip(lines, words, strict=True)]
+        hashes = [grams(w, window)[s] if len(s) else np.empty(0, np.uint64) for w, s in zip(words, starts, strict=True)]
         flat, doc = np.concatenate([*hashes, np.empty(0, np.uint64)]).view(np.int64), np.repeat(ids, [len(s) for s in starts])
         if known:
-            pairs = [(a, b) for a, b in zip(left["passage"].to_pylist(), left["first"].to_pylist(), strict=True) if a is not None]
-            flat = np.concatenate([flat, np.array([a for a, _ in pairs], np.int64)])
-            doc = np.concatenate([doc, np.array([b for _, b in pairs], np.int64)])
+            flat = np.concatenate([flat, left["passage"].to_numpy()])
+            doc = np.concatenate([doc, left["first"].to_numpy()])
         passage, where = np.unique(flat, return_inverse=True)
         first = np.full(len(passage), np.iinfo(np.int64).max)
         np.minimum.at(first, where, doc)
@@ -179,9 +181,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     """Removes words covered by a window of `window` words that also starts in a document with a smaller doc_id.
 
     1. Of each window its least phrase (by hash) is sampled; a phrase that two documents share is confirmed as recurring.
-    2. Phrases are dealt to shards by the document they are taken from; a document's stretches around a shard's phrases go
-       to that shard, and a shard with many documents is cut into groups that each get its phrases.
-    3. Each group compiles an automaton of its phrases, streams its stretches through it, and at every occurrence
+    2. Phrases are dealt to shards by the first document that has them; a document's stretches around a shard's phrases go to
+       that shard, and a shard with many documents is cut into groups.
+    3. Each group compiles an automaton of its stretches' phrases, streams all stretches through it, and at every occurrence
        compares whole windows (64-bit hashes of all their words) for the first document that has them.
 
     A window without a confirmed phrase is not repeated, so words outside the stretches stay. Returns a row for each row of
@@ -190,11 +192,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     rows are all returned; doc_id must be an integer and not null; other columns are ignored.
     """
     own_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sampled = own_docs.mapInArrow(_sampled(window, phrase), "anchor long, doc_id long")
+    sampled = saved(own_docs.mapInArrow(_sampled(window, phrase), "anchor long, doc_id long"), "anchors")
     recurring = sampled.groupBy("anchor").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("other")).where("source < other").drop("other")
     shards = max(64, docs.count() // group_docs)
-    links = sampled.join(recurring, "anchor").select("doc_id", F.struct("anchor", F.pmod(F.xxhash64("source"), F.lit(shards)).alias("shard"), (F.col("source") == F.col("doc_id")).alias("own")).alias("link"))
+    # a key of its own on this side: both sides are dealt anew, and a hot phrase can be split between tasks
+    recurring = recurring.select((F.col("anchor") + 0).alias("anchor"), "source")
+    links = sampled.join(recurring, "anchor").select("doc_id", F.struct("anchor", F.pmod(F.xxhash64("source"), F.lit(shards)).alias("shard")).alias("link"))
     routes = saved(links.groupBy("doc_id").agg(F.collect_set("link").alias("links")), "routes")
+    drop(sampled)
     to = routes.select("doc_id", F.explode(F.array_distinct("links.shard")).alias("shard"))
     load = to.groupBy("shard").agg(F.ceil(F.count("*") / group_docs).alias("salts")).where("salts > 1")
     wide = to.join(load, "shard").groupBy("doc_id").agg(F.collect_list(F.struct("shard", "salts")).alias("wide"))
@@ -206,21 +211,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     few = only(keys, routes.count(), "left_semi").select("doc_id", F.xxhash64("text").alias("digest"), "text")
     few = few.join(routes.join(wide, "doc_id", "left"), "doc_id").select("doc_id", "digest", "text", "links", "wide")
     parts = saved(few.mapInArrow(_parts(window, phrase), _PART_SQL), "parts")
-    right = parts.where("excerpt is not null").select("shard", "salt", "salts", "doc_id", "digest", "offset", "excerpt")
-    blank = F.lit(None).cast("long")
-    left = parts.where("phrase is not null").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "salts", "phrase", blank.alias("passage"), blank.alias("first"))
 
-    def streamed(phrases: DataFrame, documents: DataFrame, known: bool) -> DataFrame:
-        phrases = phrases.select(*[F.col(c).alias(c) for c in phrases.columns])  # columns of its own beside the documents'
-        return phrases.groupBy("shard", "salt").cogroup(documents.groupBy("shard", "salt")).applyInArrow(_stream(window, phrase, known), _FOUND_SQL)
+    def streamed(documents: DataFrame, told: DataFrame | None) -> DataFrame:
+        known = told is not None
+        blank = documents.select("shard", "salt", F.lit(0).cast("long").alias("passage"), F.lit(0).cast("long").alias("first")).where(F.lit(False))
+        told = (told if known else blank).select(*[F.col(c).alias(c) for c in ("shard", "salt", "passage", "first")])
+        return told.groupBy("shard", "salt").cogroup(documents.groupBy("shard", "salt")).applyInArrow(_stream(window, phrase, known), _FOUND_SQL)
 
-    first = saved(streamed(left, right, False), "passages")
+    first = saved(streamed(parts, None), "passages")
     # a shard that was cut into groups: the first document of each passage over all of them goes back to where it matters
     told = first.where("kind = 2").select("shard", "salt", "passage", "first")
     overall = told.groupBy("shard", "passage").agg(F.min("first").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    back = told.join(overall, ["shard", "passage"]).where("least < first")
-    back = back.select("shard", "salt", F.lit(2).cast("long").alias("salts"), F.lit(None).cast("string").alias("phrase"), "passage", F.col("least").alias("first"))
-    second = streamed(left.where("salts > 1").unionByName(back), right.where("salts > 1"), True)
+    back = told.join(overall, ["shard", "passage"]).where("least < first").select("shard", "salt", "passage", F.col("least").alias("first"))
+    second = streamed(parts.where("salts > 1"), back)
     spans = first.where("kind = 1").unionByName(second.where("kind = 1")).groupBy("doc_id", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     spans = saved(spans, "spans")
     drop(routes, parts, first)
