@@ -49,7 +49,10 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
 
 
 class FMIndex:
-    """Backward search by wavelet-matrix ranks; every SAMPLE_EVERY-th text position is kept to locate rows."""
+    """Backward search by wavelet-matrix ranks; every SAMPLE_EVERY-th text position is kept to locate rows.
+
+    The text must end with its only 0, so that steps back keep the order of rows.
+    """
 
     def __init__(self, s: np.ndarray, size: int):
         order = suffix_array(s)
@@ -105,13 +108,13 @@ class FMIndex:
 
 
 class Phrases:
-    """Windows of benchmark items as rows of word numbers (from 1), one matrix for each length."""
+    """Windows of benchmark items as rows of word numbers (from 2; 1 is any other word), one matrix for each length."""
 
     def __init__(self, items: list[tuple], window: int):
         self.words: dict[bytes, int] = {}
         found: dict[int, dict[tuple, set]] = {}
         for item, text in items:
-            ids = [self.words.setdefault(w, len(self.words) + 1) for w in fold_words(text)]
+            ids = [self.words.setdefault(w, len(self.words) + 2) for w in fold_words(text)]
             k = min(window, len(ids))
             for i in range(len(ids) - k + 1 if k else 0):
                 found.setdefault(k, {}).setdefault(tuple(ids[i : i + k]), set()).add(item)
@@ -124,13 +127,12 @@ class Phrases:
             return out
         get = self.words.get
         lengths = [len(d) for d in docs]
-        # a word of no phrase and a document's end are 0; of a run of them one is kept
-        ids = np.fromiter((get(w, 0) for d in docs for w in (*d, b"")), np.int32, sum(lengths) + len(docs))
-        ids[np.cumsum(np.array(lengths) + 1) - 1] = 0
-        keep = np.flatnonzero((ids != 0) | (np.concatenate([[1], ids[:-1]]) != 0))
-        if not len(keep) or not ids.any():
+        # a word of no phrase and a document's end are 1; of a run of them one is kept; a 0 ends the text
+        ids = np.fromiter((get(w, 1) for d in docs for w in (*d, b"")), np.int32, sum(lengths) + len(docs))
+        keep = np.flatnonzero((ids != 1) | (np.concatenate([[0], ids[:-1]]) != 1))
+        if (ids == 1).all():
             return out
-        index = FMIndex(np.concatenate([ids[keep], [0]]) if ids[keep[-1]] else ids[keep], len(self.words) + 1)
+        index = FMIndex(np.concatenate([ids[keep], [0]]), len(self.words) + 2)
         starts = np.concatenate([[0], np.cumsum(np.array(lengths) + 1)])
         for k, patterns, items in self.by_length:
             which, low, high = index.search(patterns)
