@@ -16,8 +16,8 @@ NEGATIVE_PK = {"Cterm": 2.15, "D": 3.71, "E": 4.15, "C": 8.14, "Y": 10.10}
 AMIDE_CTERM_PK = 15.0
 #: Consensus hydrophobicity scale of Eisenberg.
 EISENBERG = {
-    "A": 0.25, "C": 0.04, "D": -0.72, "E": -0.62, "F": 0.61, "G": 0.16, "H": -0.40, "I": 0.73, "K": -1.10, "L": 0.53,
-    "M": 0.26, "N": -0.64, "P": -0.07, "Q": -0.69, "R": -1.76, "S": -0.26, "T": -0.18, "V": 0.54, "W": 0.37, "Y": 0.02,
+    "A": 0.62, "C": 0.29, "D": -0.9, "E": -0.74, "F": 1.2, "G": 0.48, "H": -0.4, "I": 1.4, "K": -1.5, "L": 1.1,
+    "M": 0.64, "N": -0.78, "P": 0.12, "Q": -0.85, "R": -2.5, "S": -0.18, "T": -0.05, "V": 1.1, "W": 0.81, "Y": 0.26,
 }
 #: Three groups of residues for each property.
 PROPERTY_GROUPS = {
