@@ -8,7 +8,7 @@ from strandloom.llm.jaccard_join import op1_chosen_path
 from strandloom.llm.license_scan import OP7_SQL, op7_license_dice
 from strandloom.llm.line_dedup import op2_fuzzy_lines
 from strandloom.llm.packing import op4_best_fit_packing
-from strandloom.llm.secret_scan import op8_entropy_secrets
+from strandloom.llm.secret_scan import OP8_SQL, op8_entropy_secrets
 from strandloom.llm.substring_dedup import op9_aho_corasick
 from strandloom.llm.topk import OP6_SQL, op6_maxscore
 from strandloom.llm.toxicity import op3_noisy_channel
@@ -34,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_perspective_rotation": OP5_SQL,
         "op6_maxscore": OP6_SQL,
         "op7_license_dice": OP7_SQL,
+        "op8_entropy_secrets": OP8_SQL,
     }

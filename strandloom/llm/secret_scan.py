@@ -110,3 +110,29 @@ def op8_entropy_secrets(spark, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["ord"] < 3)
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+def _sql() -> str:
+    """The same by other means: candidates without look-around, every window's entropy afresh."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    runs = (("entropy_hex", "[0-9A-Fa-f]{20,}", "[A-Fa-f]", CLASSES[0][2]), ("entropy_base64", "[A-Za-z0-9+/_-]{20,}={0,2}", "[A-Za-z]", CLASSES[1][2]))
+    kinds = [("assign", ASSIGN, 2), ("access", ACCESS, 0), ("hex", HEX, 0), *((name, p, 0) for name, p, _, _ in runs)]
+    found = " UNION ALL ".join(f"SELECT doc_id, {i} AS ord, '{name}' AS kind, string_split_regex(t, {quote(p)}) AS g, regexp_extract_all(t, {quote(p)}, 0) AS m, regexp_extract_all(t, {quote(p)}, {group}) AS s FROM d" for i, (name, p, group) in enumerate(kinds))
+    most = {i + 3: (math.log2(WINDOW) - limit) * WINDOW + 1e-9 for i, (_, _, _, limit) in enumerate(runs)}
+    wanted = " OR ".join(f"(ord = {i + 3} AND regexp_matches(c, '[0-9]') AND regexp_matches(c, '{letter}') AND NOT regexp_matches(lower(c), '{ALLOW}'))" for i, (_, _, letter, _) in enumerate(runs))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), k AS ({found}),
+x AS (SELECT doc_id, ord, kind, g, m, s, unnest(range(1, len(m) + 1)) AS i FROM k),
+y AS (SELECT doc_id, ord, kind, (list_sum(list_transform(g[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda p: length(p))), 0))::bigint AS start, length(m[i]) AS n, s[i] AS c FROM x),
+w AS (SELECT doc_id, ord, kind, start, c, unnest(range(1, n - {WINDOW - 2})) AS j FROM y WHERE {wanted}),
+h AS (SELECT doc_id, ord, kind, start, j FROM (SELECT *, list_sum(list_transform(list_distinct(string_split(substr(c, j, {WINDOW}), '')), lambda ch: ({WINDOW} - length(replace(substr(c, j, {WINDOW}), ch, ''))) * log2({WINDOW}::double - length(replace(substr(c, j, {WINDOW}), ch, ''))))) AS total FROM w)
+      WHERE total <= CASE ord WHEN 3 THEN {most[3]!r} ELSE {most[4]!r} END),
+a AS (SELECT doc_id, ord, kind, start, start + n AS stop FROM y WHERE (ord = 0 AND length(c) >= {ASSIGN_LEAST}) OR ord IN (1, 2)
+      UNION ALL SELECT doc_id, ord, kind, start + min(j) - 1, start + max(j) - 1 + {WINDOW} FROM h GROUP BY doc_id, ord, kind, start),
+z AS (SELECT doc_id, count(*) FILTER (WHERE ord = 0) AS n_assign, count(*) FILTER (WHERE ord = 1) AS n_access, count(*) FILTER (WHERE ord = 2) AS n_hex,
+      string_agg(kind || ':' || start::varchar || ':' || stop::varchar, ',' ORDER BY start, ord) FILTER (WHERE ord < 3) AS base, string_agg(kind || ':' || start::varchar || ':' || stop::varchar, ',' ORDER BY start, ord) AS spans FROM a GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0)::bigint AS n_assign, coalesce(n_access, 0)::bigint AS n_access, coalesce(n_hex, 0)::bigint AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN z USING (doc_id)
+"""
+
+
+OP8_SQL = _sql()
