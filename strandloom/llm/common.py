@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that end a word for the benchmark rule; A-Z becomes a-z, other ASCII but 0-9 and a-z becomes a blank.
@@ -147,11 +147,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        last, e = e, saved(small.where("u <> v").distinct(), "edges")
+        # edges that have stopped changing are stars; their sum is taken as they are written
+        seen = Observation()
+        new = small.where("u <> v").distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+        last, e = e, saved(new, "edges")
         drop(last)
-        # edges that have stopped changing are stars
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        if (now := (seen.get["n"], seen.get["sum"])) == before or not now[0]:
             break
         before = now
     else:

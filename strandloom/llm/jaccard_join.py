@@ -199,7 +199,7 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIM
         return (bits <= most) & (F.least(a("size"), b("size")) >= similarity * F.greatest(a("size"), b("size")))
 
     keyed = sets.join(reps.select((F.col("id") + 0).alias("id"), "rep"), "id").where("doc_id = rep").dropDuplicates(["id"])
-    edges, open_ids = connect(keyed.select(F.explode("keys").alias("key"), "id", *payload), payload, near, limit=limit)
+    edges, open_ids = connect(keyed.select(F.explode("keys").alias("key"), "id"), reps.select("id", *payload), near, limit=limit)
 
     def texts_of(ids: DataFrame) -> DataFrame:
         """(id, text) of the sets' first documents."""
@@ -211,8 +211,8 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIM
 
     if open_ids.take(1):
         deep = texts_of(open_ids).mapInArrow(_deeper(words, DEEP, runs_for(DEEP, recall), similarity), "id long, keys array<long>")
-        deep = saved(deep.select("id", F.explode("keys").alias("key")).distinct().join(reps.select("id", *payload), "id"), "deep")
-        edges = edges.unionByName(connect(deep, payload, near)[0])
+        deep = saved(deep.select("id", F.explode("keys").alias("key")).distinct(), "deep")
+        edges = edges.unionByName(connect(deep, reps.select("id", *payload), near)[0])
         drop(deep)
     groups = saved(components(edges), "groups")
     size = groups.groupBy("root").agg(F.count("*").alias("members"))

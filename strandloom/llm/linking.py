@@ -12,10 +12,10 @@ from strandloom.llm.common import components, drop, saved
 Near = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
 
-def connect(members: DataFrame, payload: list[str], near: Near, check: Callable[[DataFrame], DataFrame] | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+def connect(members: DataFrame, payloads: DataFrame, near: Near, check: Callable[[DataFrame], DataFrame] | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Groups of ids that pairs of one bucket connect: (edges (a, b), ids of buckets left open).
 
-    members: distinct (key, id, *payload). A pair of a bucket is an edge if near(payload of a, payload of b) and, where
+    members: distinct (key, id); payloads: (id, ...), what near() compares. A pair of a bucket is an edge if near(payload of a, payload of b) and, where
     given, check keeps it among pairs (a, b).
 
     Round one compares each member with its bucket's least id only, so its pairs grow with the members. Round two looks at
@@ -24,11 +24,13 @@ def connect(members: DataFrame, payload: list[str], near: Near, check: Callable[
     than `limit` members that hold several groups are left open: their ids come back for a finer split. Without one the
     second value is None.
     """
+    payload = [c for c in payloads.columns if c != "id"]
     spare = [F.col(c) for c in payload]
     own, other = (lambda c: F.col(c)), (lambda c: F.col(f"{c}_b"))
     load = members.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("bucket_n")).where("bucket_n > 1")
     # a key of its own on this side: both sides are dealt anew, and a hot bucket can be split between tasks
-    full = saved(members.join(load.select((F.col("key") + 0).alias("key"), "pivot", "bucket_n"), "key"), "buckets")
+    full = members.join(load.select((F.col("key") + 0).alias("key"), "pivot", "bucket_n"), "key")
+    full = saved(full.join(payloads, "id"), "buckets")  # what is compared comes along only where there is something to compare
     first = full.where("id = pivot").select((F.col("key") + 0).alias("key"), F.col("id").alias("id_b"), *[F.col(c).alias(f"{c}_b") for c in payload])
     star = full.where("id <> pivot").join(first, "key").where(near(own, other)).select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
     edges = saved(check(star) if check else star, "links")

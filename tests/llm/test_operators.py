@@ -125,10 +125,14 @@ def test_line_dedup(odd_docs, odd_table, no_docs):
 
 
 def test_simhash_counts_every_word(spark):
-    text = "ab " * 200 + "cd " * 150
-    rows = line_dedup.signed_lines(spark.createDataFrame([(1, text), (2, "ab ab cd"), (3, "ab " * 40_000)], "doc_id long, text string")).collect()
-    sims = {r.doc_id: r.sim for r in rows}
-    assert sims[1] == sims[2] == sims[3] and {r.n for r in rows} == {350, 3, 40_000}
+    many = " ".join(f"{i:05d}" for i in range(35_000))
+    texts = ["ab ab cd", "cd ab", "longer ab words", "words longer", " ".join(f"{i:05d}" for i in range(300)), many]
+    rows = line_dedup.signed_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert rows[0].sim == rows[1].sim and rows[2].sim == rows[3].sim and [r.n for r in rows] == [3, 2, 3, 2, 300, 35_000]
+    for r, words in zip(rows[2:], (["longer", "words"], ["words", "longer"], texts[4].split(), many.split()), strict=True):
+        hashes = np.array([x[0] for x in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w")).collect()])
+        votes = [(2 * ((hashes >> b) & 1).sum() > len(words)) << b for b in range(64)]
+        assert sum(int(v) for v in votes) & (2**64 - 1) == r.sim & (2**64 - 1)
 
 
 def test_packing(spark, odd_docs, odd_table, no_docs):
