@@ -54,35 +54,38 @@ def paths(x: np.ndarray, depth: int, runs: int, similarity: float, seed: int = 0
         return np.empty(0, np.uint64)
     share = min(1.0, 1 / (similarity * len(x)))
     limit = np.uint64(min(2**64 - 1, int(share * 2**64)))
-    out = []
-    for run in range(runs):
-        nodes = [(mix(np.array([seed * 1_000_003 + run + 1], np.uint64))[0], ())]
-        for _ in range(depth):
-            new = []
-            for path, used in nodes:
-                v = (x ^ path) * np.uint64(0x9E3779B97F4A7C15)
-                v ^= v >> np.uint64(29)
-                v *= np.uint64(0xBF58476D1CE4E5B9)
-                chosen = np.flatnonzero(v < limit)
-                for i, child in zip(chosen.tolist(), mix(path + x[chosen] * np.uint64(0x94D049BB133111EB)), strict=True):
-                    if i not in used:
-                        new.append((child, (*used, i)))
-            nodes = new
-        out += [path for path, _ in nodes]
-    return np.unique(np.array(out, np.uint64))
-
-
-_MULTIPLIERS = mix(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
+    node = mix(np.arange(seed * 1_000_003 + 1, seed * 1_000_003 + runs + 1, dtype=np.uint64))
+    used = np.empty((len(node), 0), np.int64)
+    step = max(1, 1_000_000 // len(x))  # nodes whose tokens are hashed together
+    for _ in range(depth):
+        new, seen = [], []
+        for i in range(0, len(node), step):
+            v = (x[None, :] ^ node[i : i + step, None]) * np.uint64(0x9E3779B97F4A7C15)
+            v ^= v >> np.uint64(29)
+            v *= np.uint64(0xBF58476D1CE4E5B9)
+            row, token = np.nonzero(v < limit)
+            fresh = ~(used[i + row] == token[:, None]).any(axis=1)
+            row, token = i + row[fresh], token[fresh]
+            new.append(mix(node[row] + x[token] * np.uint64(0x94D049BB133111EB)))
+            seen.append(np.hstack([used[row], token[:, None]]))
+        if not new:
+            break
+        node, used = np.concatenate(new), np.concatenate(seen)
+    return np.unique(node)
+
+
+_MULTIPLIERS = (mix(np.arange(1, SKETCH + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def sketch(x: np.ndarray) -> tuple[int, int]:
-    """A bit of the least hash under each of SKETCH functions, as two longs."""
+    """A bit of the least hash under each of SKETCH functions of 32 bits, as two longs."""
     if not len(x):
         return 0, 0
-    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(x), 2048):
-        np.minimum(least, (x[i : i + 2048, None] * _MULTIPLIERS).min(axis=0), out=least)
-    bits = np.packbits(((least >> np.uint64(33)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+    short = (x >> np.uint64(32)).astype(np.uint32)
+    least = np.full(SKETCH, np.iinfo(np.uint32).max, np.uint32)
+    for i in range(0, len(short), 1024):
+        np.minimum(least, (short[None, i : i + 1024] * _MULTIPLIERS[:, None]).min(axis=1), out=least)
+    bits = np.packbits(((least * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)).view(np.int64)
     return int(bits[0]), int(bits[1])
 
 

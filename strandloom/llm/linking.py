@@ -9,18 +9,21 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.common import components, drop, saved
 
+STARS = 3  # rounds that compare a bucket with one of its members, before what is left is compared whole
+
 Near = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
 
-def connect(members: DataFrame, payloads: DataFrame, near: Near, check: Callable[[DataFrame], DataFrame] | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+def connect(members: DataFrame, payloads: DataFrame, near: Near, check: Callable[[DataFrame], DataFrame] | None = None, limit: int | None = None, stars: int = STARS) -> tuple[DataFrame, DataFrame | None]:
     """Groups of ids that pairs of one bucket connect: (edges (a, b), ids of buckets left open).
 
     members: distinct (key, id); payloads: (id, ...), what near() compares. A pair of a bucket is an edge if near(payload of a, payload of b) and, where
     given, check keeps it among pairs (a, b).
 
-    Round one compares each member with its bucket's least id only, so its pairs grow with the members. Round two looks at
-    buckets that still hold several groups: every member outside the least id's group is compared with all members of other
-    groups, so no edge between groups is lost, and buckets within one group cost nothing. With a limit, buckets of more
+    The first rounds compare each member with one of its bucket only, the least id and then the least of those that are in
+    another group, so their pairs grow with the members. The last looks at buckets that still hold several groups: every member
+    outside the least id's group is compared with all members of other groups, so no edge between groups is lost, and
+    buckets within one group cost nothing. With a limit, buckets of more
     than `limit` members that hold several groups are left open: their ids come back for a finer split. Without one the
     second value is None.
     """
@@ -29,24 +32,33 @@ def connect(members: DataFrame, payloads: DataFrame, near: Near, check: Callable
     own, other = (lambda c: F.col(c)), (lambda c: F.col(f"{c}_b"))
     load = members.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("bucket_n")).where("bucket_n > 1")
     # a key of its own on this side: both sides are dealt anew, and a hot bucket can be split between tasks
-    full = members.join(load.select((F.col("key") + 0).alias("key"), "pivot", "bucket_n"), "key")
-    full = saved(full.join(payloads, "id"), "buckets")  # what is compared comes along only where there is something to compare
-    first = full.where("id = pivot").select((F.col("key") + 0).alias("key"), F.col("id").alias("id_b"), *[F.col(c).alias(f"{c}_b") for c in payload])
-    star = full.where("id <> pivot").join(first, "key").where(near(own, other)).select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
-    edges = saved(check(star) if check else star, "links")
-    groups = saved(components(edges), "groups")
-    named = full.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "bucket_n", "pivot", *spare, F.coalesce("root", "id").alias("group"))
-    named = saved(named, "buckets")
-    drop(groups)
-    mixed = named.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.min(F.when(F.col("id") == F.col("pivot"), F.col("group"))).alias("main")).where("low <> high")
-    mixed = saved(named.join(mixed.select((F.col("key") + 0).alias("key"), "main"), "key"), "mixed")
-    open_ids = saved(mixed.where(F.col("bucket_n") > limit).select("id").distinct(), "open") if limit else None
-    left = mixed.where(F.col("bucket_n") <= limit) if limit else mixed
+    table = members.join(load.select((F.col("key") + 0).alias("key"), "pivot", "bucket_n"), "key")
+    # what is compared comes along only where there is something to compare
+    table = saved(table.join(payloads, "id").withColumn("group", F.col("id")), "buckets")
+    edges = None
+    for _ in range(stars):
+        first = table.where("id = pivot").select((F.col("key") + 0).alias("key"), F.col("id").alias("id_b"), F.col("group").alias("group_b"), *[F.col(c).alias(f"{c}_b") for c in payload])
+        star = table.where("id <> pivot").join(first, "key").where((F.col("group") != F.col("group_b")) & near(own, other)).select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
+        star = check(star) if check else star
+        last, edges = edges, saved(edges.unionByName(star) if edges else star, "links")
+        groups = saved(components(edges), "groups")
+        named = table.drop("group").join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "bucket_n", *spare, F.coalesce("root", "id").alias("group"))
+        named = saved(named, "buckets")
+        # buckets of several groups go on: their next pivot is the least id outside the group of the least of all
+        mixed = named.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.min(F.struct("id", "group")).alias("least")).where("low <> high")
+        mixed = named.join(mixed.select((F.col("key") + 0).alias("key"), F.col("least.group").alias("main")), "key")
+        mixed = saved(mixed, "mixed")
+        pivot = mixed.where("group <> main").groupBy("key").agg(F.min("id").alias("pivot"))
+        drop(table, named, groups, *([last] if last else []))
+        table = saved(mixed.join(pivot.select((F.col("key") + 0).alias("key"), "pivot"), "key"), "buckets")
+        drop(mixed)
+    open_ids = saved(table.where(F.col("bucket_n") > limit).select("id").distinct(), "open") if limit else None
+    left = table.where(F.col("bucket_n") <= limit) if limit else table
     rest = left.where(F.col("group") != F.col("main"))
     right = left.select((F.col("key") + 0).alias("key"), F.col("id").alias("id_b"), F.col("group").alias("group_b"), "main", *[F.col(c).alias(f"{c}_b") for c in payload])
     once = (F.col("group_b") == F.col("main")) | (F.col("id") < F.col("id_b"))
     pairs = rest.drop("main").join(right, "key").where((F.col("group") != F.col("group_b")) & once & near(own, other))
     pairs = pairs.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
     out = saved(edges.unionByName(check(pairs) if check else pairs), "links")
-    drop(full, named, mixed, edges)
+    drop(table, edges)
     return out, open_ids
