@@ -15,7 +15,8 @@ from strandloom.llm.common import drop, grams, hash_words, plain_bytes, plain_wo
 
 WINDOW = 13
 PHRASE = 5  # words of a sampled phrase
-GROUP_DOCS = 96  # documents that one automaton's group streams
+SHARD_DOCS = 48  # documents for each shard; a shard streams stretches of several times as many
+GROUP_DOCS = 256  # documents that one automaton's group streams; a shard with more is cut into groups
 BROADCAST_KEYS = 1_000_000  # ids of at most so many documents (16 MB) are sent to all tasks; more are joined by a shuffle
 
 
@@ -177,7 +178,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "spans", "text_kept"])
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, group_docs: int = GROUP_DOCS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_docs: int = SHARD_DOCS, group_docs: int = GROUP_DOCS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """Removes words covered by a window of `window` words that also starts in a document with a smaller doc_id.
 
     1. Of each window its least phrase (by hash) is sampled; a phrase that two documents share is confirmed as recurring.
@@ -194,7 +195,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     own_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sampled = saved(own_docs.mapInArrow(_sampled(window, phrase), "anchor long, doc_id long"), "anchors")
     recurring = sampled.groupBy("anchor").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("other")).where("source < other").drop("other")
-    shards = max(64, docs.count() // group_docs)
+    shards = max(64, docs.count() // shard_docs)
     # a key of its own on this side: both sides are dealt anew, and a hot phrase can be split between tasks
     recurring = recurring.select((F.col("anchor") + 0).alias("anchor"), "source")
     links = sampled.join(recurring, "anchor").select("doc_id", F.struct("anchor", F.pmod(F.xxhash64("source"), F.lit(shards)).alias("shard")).alias("link"))
