@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DICE = 0.8
+BROADCAST_BIGRAMS = 200_000
 # Licence notices as they are commonly written.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -53,17 +54,17 @@ def scan_licenses(docs: DataFrame, notices: DataFrame | None = None, least: floa
     """Lines and whole texts of docs (doc_id, text) that are a licence notice: Dice of word bigrams of `least` or more.
 
     A unit with n bigrams can reach a template with m only if 2 min(n, m) / (n + m) >= least, so units outside every
-    template's bounds are dropped before their bigrams are looked up in the templates' (an equi-join that is broadcast
-    when the templates are small). Returns doc_id, line (number from 0; -1: the whole text, if it has several lines),
+    template's bounds are dropped before their bigrams are looked up in the templates' (an equi-join; the templates are
+    sent to all tasks if they have at most BROADCAST_BIGRAMS pairs). Returns doc_id, line (number from 0; -1: the whole text, if it has several lines),
     template_id, license, overlap, n_bigrams, n_template, dice: the best template of each unit, ties to the smaller id.
     Null and empty texts give no rows; repeated rows are scanned each; other columns are ignored.
     """
     spark = docs.sparkSession
     t = with_bigrams((notices or templates(spark)).select("template_id", "license", "text"), "text")
     t = t.select("template_id", "license", F.size("bigrams").alias("n_template"), "bigrams")
-    low, high = t.agg(F.min("n_template"), F.max("n_template")).first()
+    low, high, total = t.agg(F.min("n_template"), F.max("n_template"), F.sum("n_template")).first()
     if low is None:
-        low, high = 1, 0
+        low, high, total = 1, 0, 0
     ratio = least / (2 - least)
     rows = docs.where("text is not null").select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
     lines = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line", "unit"))
@@ -73,7 +74,8 @@ def scan_licenses(docs: DataFrame, notices: DataFrame | None = None, least: floa
     units = with_bigrams(lines.unionByName(whole), "unit").where(bounds).select("doc_id", "row", "line", n.alias("n_bigrams"), F.explode("bigrams").alias("bigram"))
     index = t.select("template_id", "license", "n_template", F.explode("bigrams").alias("bigram"))
     a, b = F.col("n_bigrams"), F.col("n_template")
-    hits = units.join(index, "bigram").where(2 * F.least(a, b) >= least * (a + b) - 1e-9)
+    # so few rows that every task may hold them; more are joined by a shuffle
+    hits = units.join(F.broadcast(index) if total <= BROADCAST_BIGRAMS else index, "bigram").where(2 * F.least(a, b) >= least * (a + b) - 1e-9)
     hits = hits.groupBy("doc_id", "row", "line", "n_bigrams", "template_id", "license", "n_template").agg(F.count("*").alias("overlap"))
     hits = hits.withColumn("dice", 2 * F.col("overlap") / (a + b)).where(F.col("dice") >= least)
     best = hits.groupBy("doc_id", "row", "line").agg(F.max(F.struct("dice", (-F.col("template_id")).alias("neg"), "license", "overlap", "n_bigrams", "n_template")).alias("x"))
