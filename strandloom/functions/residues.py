@@ -35,3 +35,15 @@ NUCLEOTIDE_MAPS = {
     "eiip": {"T": 0.1335, "C": 0.1340, "A": 0.1260, "G": 0.0806},
     "atomic": {"T": 66.0, "C": 58.0, "A": 70.0, "G": 78.0},
 }
+#: Twist, tilt, roll, shift, slide and rise of each dinucleotide.
+DINUCLEOTIDES = {
+    "AA": (0.06, 0.5, 0.27, 1.59, 0.11, -0.11), "AC": (1.50, 0.50, 0.80, 0.13, 1.29, 1.04), "AG": (0.78, 0.36, 0.09, 0.68, -0.24, -0.62), "AT": (1.07, 0.22, 0.62, -1.02, 2.51, 1.17),
+    "CA": (-1.38, -1.36, -0.27, -0.86, -0.62, -1.25), "CC": (0.06, 1.08, 0.09, 0.56, -0.82, 0.24), "CG": (-1.66, -1.22, -0.44, -0.82, -0.29, -1.39), "CT": (0.78, 0.36, 0.09, 0.68, -0.24, -0.62),
+    "GA": (-0.08, 0.5, 0.27, 0.13, -0.39, 0.71), "GC": (-0.08, 0.22, 1.33, -0.35, 0.65, 1.59), "GG": (0.06, 1.08, 0.09, 0.56, -0.82, 0.24), "GT": (1.50, 0.50, 0.80, 0.13, 1.29, 1.04),
+    "TA": (-1.23, -2.37, -0.44, -2.24, -1.51, -1.39), "TC": (-0.08, 0.5, 0.27, 0.13, -0.39, 0.71), "TG": (-1.38, -1.36, -0.27, -0.86, -0.62, -1.25), "TT": (0.06, 0.5, 0.27, 1.59, 0.11, -0.11),
+}
+#: Atoms (C, H, N, O, S) of the free amino acids.
+FORMULAS = {
+    "A": (3, 7, 1, 2, 0), "C": (3, 7, 1, 2, 1), "D": (4, 7, 1, 4, 0), "E": (5, 9, 1, 4, 0), "F": (9, 11, 1, 2, 0), "G": (2, 5, 1, 2, 0), "H": (6, 9, 3, 2, 0), "I": (6, 13, 1, 2, 0), "K": (6, 14, 2, 2, 0), "L": (6, 13, 1, 2, 0),
+    "M": (5, 11, 1, 2, 1), "N": (4, 8, 2, 3, 0), "P": (5, 9, 1, 2, 0), "Q": (5, 10, 2, 3, 0), "R": (6, 14, 4, 2, 0), "S": (3, 7, 1, 3, 0), "T": (4, 9, 1, 3, 0), "V": (5, 11, 1, 2, 0), "W": (11, 12, 2, 2, 0), "Y": (9, 11, 1, 3, 0),
+}

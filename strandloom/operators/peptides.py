@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.residues import AMIDE_CTERM_PK, ENERGIES, NEGATIVE_PK, POSITIVE_PK, WEIGHTS
+from strandloom.functions.residues import AMIDE_CTERM_PK, ENERGIES, FORMULAS, NEGATIVE_PK, POSITIVE_PK, WEIGHTS
 
 WATER = 18.015
 AMIDE_LOSS = 0.98
@@ -107,3 +107,56 @@ def scale_autocorrelation(s: DataFrame, scale: dict[str, float], lags: int) -> D
 
 def scale_mean(s: DataFrame, scale: dict[str, float]) -> DataFrame:
     return s.where("length(seq) > 0").select("seq_id", F.round(_sum(scale) / F.length("seq"), 6).alias("value"))
+
+
+def molecular_formula(s: DataFrame, amide: bool = False) -> DataFrame:
+    """(seq_id, formula): atoms of the residues less the water of their bonds; an amide end has NH2 for OH. Atoms that do
+    not occur are left out."""
+    atoms = [sum((residue(c) * n[i] for c, n in FORMULAS.items()), F.lit(0)) for i in range(5)]
+    bonds = F.length("seq") - 1
+    atoms[1], atoms[3] = atoms[1] - 2 * bonds, atoms[3] - bonds
+    if amide:
+        atoms[1], atoms[2], atoms[3] = atoms[1] + 1, atoms[2] + 1, atoms[3] - 1
+    parts = [F.when(n > 0, F.concat(F.lit(a), n.cast("string"))) for a, n in zip("CHNOS", atoms, strict=True)]
+    return s.where("length(seq) > 0").select("seq_id", F.concat_ws(" ", *parts).alias("formula"))
+
+
+def isoelectric_point(s: DataFrame, amide: bool = True) -> DataFrame:
+    """(seq_id, pi): the pH where the charge (three digits) vanishes, by halving 0 to 14 until the bounds are within 1e-4 or
+    the charge is just 0; a fold over each row's residue counts."""
+    counts = {c: residue(c) for c in (*POSITIVE_PK, *NEGATIVE_PK) if len(c) == 1}
+    c = s.where("length(seq) > 0").select("seq_id", *[n.alias(f"n_{k}") for k, n in counts.items()])
+
+    def net(ph: Column) -> Column:
+        out = F.lit(0.0)
+        for k, pk in POSITIVE_PK.items():
+            x = F.pow(F.lit(10.0), F.lit(pk) - ph)
+            out = out + (F.lit(1) if k == "Nterm" else F.col(f"n_{k}")) * x / (x + 1)
+        for k, pk in NEGATIVE_PK.items():
+            x = F.pow(F.lit(10.0), ph - F.lit(AMIDE_CTERM_PK if amide and k == "Cterm" else pk))
+            out = out - (F.lit(1) if k == "Cterm" else F.col(f"n_{k}")) * x / (x + 1)
+        return F.round(out, 3)
+
+    kind = "struct<low:double,high:double,done:boolean>"
+
+    def halve(a: Column, _: Column) -> Column:
+        mid = (a["low"] + a["high"]) / 2
+        q = net(mid)
+        step = F.struct(F.when(q >= 0, mid).otherwise(a["low"]).alias("low"), F.when(q <= 0, mid).otherwise(a["high"]).alias("high"), ((q == 0) | (a["high"] - a["low"] <= 0.0001)).alias("done")).cast(kind)
+        return F.when(a["done"], a).otherwise(step)
+
+    begin = F.struct(F.lit(0.0).alias("low"), F.lit(14.0).alias("high"), F.lit(False).alias("done")).cast(kind)
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(20)), begin, halve)
+    return c.select("seq_id", end.alias("e")).select("seq_id", F.round((F.col("e.low") + F.col("e.high")) / 2, 3).alias("pi"))
+
+
+def hydrophobic_moment(s: DataFrame, scale: dict[str, float], degrees: float = 100.0) -> DataFrame:
+    """(seq_id, moment) over the whole sequence: the length of the sum of scale values turned by an angle for each position,
+    over the number of positions."""
+    import math
+
+    table = F.create_map(*[F.lit(x) for kv in scale.items() for x in kv])
+    angle = math.radians(degrees)
+    v = s.where("length(seq) > 0").select("seq_id", F.transform(F.split("seq", ""), lambda c, i: F.struct((table[c] * F.cos(i * angle)).alias("x"), (table[c] * F.sin(i * angle)).alias("y"))).alias("v"))
+    total = lambda k: F.aggregate("v", F.lit(0.0), lambda a, p: a + p[k])
+    return v.select("seq_id", F.round(F.sqrt(total("x") * total("x") + total("y") * total("y")) / F.size("v"), 6).alias("moment"))

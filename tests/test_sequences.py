@@ -8,6 +8,7 @@ from strandloom.functions.residues import EISENBERG
 from strandloom.operators import evaluation as E
 from strandloom.operators import features as X
 from strandloom.operators import kmers as K
+from strandloom.operators import neighbours as N
 from strandloom.operators import peptides as P
 from strandloom.operators import sequences as S
 from strandloom.operators import signals
@@ -60,6 +61,22 @@ def test_scale_mean(spark):
     assert P.scale_mean(table(spark, "GLFDIVKKVVGALGSL"), EISENBERG).first().value == pytest.approx(0.44875)
 
 
+def test_more_published_properties(spark):
+    # all twenty free acids hold C107 H197 N29 O49 S2; nineteen bonds lose water
+    assert P.molecular_formula(table(spark, "ACDEFGHIKLMNPQRSTVWY")).first().formula == "C107 H159 N29 O30 S2"
+    assert P.molecular_formula(table(spark, "GG"), amide=True).first().formula == "C4 H9 N3 O2"
+    assert P.isoelectric_point(table(spark, "KLFDIKFGHIPQRST")).first().pi == pytest.approx(10.6797, abs=1e-3)
+    assert P.hydrophobic_moment(table(spark, "GLFDIVKKVVGALGSL"), EISENBERG).first().moment == pytest.approx(0.487902, abs=1e-6)
+
+
+def test_smote_levels_labels(spark):
+    rows = spark.createDataFrame([(i, int(i < 4), [float(i), 1.0]) for i in range(14)], "id long, label int, v array<double>")
+    new = N.smote(rows, 3, 1).collect()
+    assert len(new) == 6 and all(r.label == 1 and 0 <= r.v[0] <= 3 for r in new)
+    near = N.nearest(rows.where("id = 0"), rows, 2, block_rows=3).collect()
+    assert sorted((r.other, r.d) for r in near) == [(1, 1.0), (2, 4.0)]
+
+
 def test_folds_are_even(spark):
     rows = spark.range(103).select(F.col("id").alias("seq_id"), (F.col("id") % 3).alias("label"))
     n = S.folds(rows, 5, 42, "label").groupBy("label", "fold").count().collect()
