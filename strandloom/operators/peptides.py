@@ -61,7 +61,7 @@ def global_properties(s: DataFrame, ph: float = 7.4, amide: bool = True) -> Data
         "seq_id", F.length("seq").alias("len"), weight(amide).alias("mw"), charge(ph, amide).alias("charge"), F.round(share("FWY"), 6).alias("aromaticity"),
         F.round(aliphatic(), 6).alias("aliphatic_index"), F.round(boman(), 6).alias("boman_index"), F.round(share("ACFILMV"), 6).alias("hydrophobic_ratio"),
     )
-    return s.select("seq_id").join(p.withColumn("charge_density", F.round(F.col("charge") / F.col("mw"), 8)), "seq_id", "left")
+    return s.select("seq_id").join(p.withColumn("charge_density", F.round(F.col("charge") / F.col("mw"), 10)), "seq_id", "left")
 
 
 def classed(s: DataFrame, groups: tuple[str, ...]) -> DataFrame:

@@ -43,7 +43,7 @@ SQL["global_mw"] = f"WITH {PROTEIN} SELECT seq_id, length(seq)::int AS len, {_MW
 Q["global_charge"] = lambda spark, d: P.global_properties(_protein(spark, d)).where("len > 0").select("seq_id", "charge")
 SQL["global_charge"] = f"WITH {PROTEIN} SELECT seq_id, {_charge(7.4)} AS charge {_L}"
 Q["charge_density"] = lambda spark, d: P.global_properties(_protein(spark, d)).where("len > 0").select("seq_id", "charge_density")
-SQL["charge_density"] = f"WITH {PROTEIN} SELECT seq_id, round({_charge(7.4)} / {_MW}, 8) AS charge_density {_L}"
+SQL["charge_density"] = f"WITH {PROTEIN} SELECT seq_id, round({_charge(7.4)} / {_MW}, 10) AS charge_density {_L}"
 for _name, _sql in (
     ("aromaticity", f"({_n('F')} + {_n('W')} + {_n('Y')}) / length(seq)::double"),
     ("aliphatic_index", f"100 * ({_n('A')} + 2.9::double * {_n('V')} + 3.9::double * ({_n('I')} + {_n('L')})) / length(seq)"),
