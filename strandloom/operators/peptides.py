@@ -24,8 +24,8 @@ def _sum(weights: dict[str, float]) -> Column:
 
 
 def weight(amide: bool = False) -> Column:
-    """Molecular weight: residues less the water of their bonds."""
-    return F.round(_sum(WEIGHTS) - WATER * (F.length("seq") - 1) - (AMIDE_LOSS if amide else 0.0), 2)
+    """Molecular weight: residues less the water of their bonds; three digits, as the weights have, so that nothing is rounded at a tie."""
+    return F.round(_sum(WEIGHTS) - WATER * (F.length("seq") - 1) - (AMIDE_LOSS if amide else 0.0), 3)
 
 
 def charge(ph: float = 7.4, amide: bool = True) -> Column:

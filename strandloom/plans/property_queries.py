@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+from pyspark.sql import functions as F
 
 from strandloom.functions.residues import AMIDE_CTERM_PK, EISENBERG, ENERGIES, NEGATIVE_PK, NUCLEOTIDE_MAPS, POSITIVE_PK, PROPERTY_GROUPS, WEIGHTS
 from strandloom.operators import peptides as P
@@ -36,14 +36,14 @@ def _charge(ph: float) -> str:
     return "round(" + " + ".join(terms) + ", 3)"
 
 
-_MW = f"round({_sum(WEIGHTS)} - 18.015::double * (length(seq) - 1) - 0.98::double, 2)"
+_MW = f"round({_sum(WEIGHTS)} - 18.015::double * (length(seq) - 1) - 0.98::double, 3)"
 _L = "FROM protein WHERE length(seq) > 0"
 Q["global_mw"] = lambda spark, d: P.global_properties(_protein(spark, d)).where("len > 0").select("seq_id", "len", "mw")
 SQL["global_mw"] = f"WITH {PROTEIN} SELECT seq_id, length(seq)::int AS len, {_MW} AS mw {_L}"
 Q["global_charge"] = lambda spark, d: P.global_properties(_protein(spark, d)).where("len > 0").select("seq_id", "charge")
 SQL["global_charge"] = f"WITH {PROTEIN} SELECT seq_id, {_charge(7.4)} AS charge {_L}"
-Q["charge_density"] = lambda spark, d: P.global_properties(_protein(spark, d)).where("len > 0").select("seq_id", "charge_density")
-SQL["charge_density"] = f"WITH {PROTEIN} SELECT seq_id, round({_charge(7.4)} / {_MW}, 10) AS charge_density {_L}"
+Q["charge_density"] = lambda spark, d: P.global_properties(_protein(spark, d)).where("len > 0").select("seq_id", F.round(F.col("charge") * 1000 / F.col("mw"), 6).alias("charge_per_kda"))
+SQL["charge_density"] = f"WITH {PROTEIN} SELECT seq_id, round({_charge(7.4)} * 1000 / {_MW}, 6) AS charge_per_kda {_L}"
 for _name, _sql in (
     ("aromaticity", f"({_n('F')} + {_n('W')} + {_n('Y')}) / length(seq)::double"),
     ("aliphatic_index", f"100 * ({_n('A')} + 2.9::double * {_n('V')} + 3.9::double * ({_n('I')} + {_n('L')})) / length(seq)"),

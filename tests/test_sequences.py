@@ -54,7 +54,7 @@ def test_orf_rule(spark, tmp_path):
     [("charge", "KLAKFGKRSELVALSG", 3.989), ("mw", "IAESFKGHIPL", 1210.43), ("aromaticity", "GLFYWRFFLQRRFLYWW", 0.529412), ("aliphatic_index", "KWLKYLKKLAKLVK", 139.285714), ("boman_index", "GLFDIVKKVVGALGSL", -1.011875), ("hydrophobic_ratio", "VALLYWRTVLLAIII", 0.733333)],
 )
 def test_published_properties(spark, column, seq, want):
-    assert P.global_properties(table(spark, seq)).first()[column] == pytest.approx(want, abs=1e-6)
+    assert P.global_properties(table(spark, seq)).first()[column] == pytest.approx(want, abs=0.005 if column == "mw" else 1e-6)
 
 
 def test_scale_mean(spark):
