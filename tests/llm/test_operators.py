@@ -124,6 +124,39 @@ def test_line_dedup(odd_docs, odd_table, no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
 
+def test_line_dedup_finds_every_edited_line(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    vocabulary = [f"{'word' if i % 3 else 'w'}{i}" for i in range(400)]
+    lines = []
+    for n in (4, 5, 6, 9, 10, 15, 20, 40, 120):
+        for _ in range(4):
+            line = [vocabulary[i] for i in rng.integers(0, 400, n)]
+            lines.append(line)
+            for _ in range(3):
+                new = list(line)
+                for _ in range(int(rng.integers(0, n // 5 + 2))):
+                    at = int(rng.integers(0, len(new)))
+                    new[at : at + int(rng.integers(0, 2))] = [vocabulary[i] for i in rng.integers(0, 400, int(rng.integers(0, 2)))]
+                lines.append(new)
+    lines = [x for x in lines if x]
+    root = list(range(len(lines)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(lines):
+        for j in range(i):
+            if _edits(a, lines[j]) <= 0.2 * max(len(a), len(lines[j])) + 1e-9:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id for r in line_dedup.op2_fuzzy_lines(spark, str(tmp_path)).where("n_removed = 0").collect()}
+    assert got == {find(i) for i in range(len(lines))}
+
+
 def test_simhash_counts_every_word(spark):
     many = " ".join(f"{i:05d}" for i in range(35_000))
     texts = ["ab ab cd", "cd ab", "longer ab words", "words longer", " ".join(f"{i:05d}" for i in range(300)), many]
