@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import drop, grams, hash_words, plain_bytes, plain_words, saved
+from strandloom.llm.common import drop, grams, hash_words, mix, plain_bytes, plain_words, saved
 
 WINDOW = 13
 PHRASE = 5  # words of a sampled phrase
@@ -57,6 +57,9 @@ def _parts(window: int, phrase: int):
             ids, digests, found = (batch.column(i).to_pylist() for i in range(3))
             links, wide = batch.column(3), batch.column(4).to_pylist()
             flat, ends = links.flatten(), links.offsets.to_numpy() - links.offsets[0].as_py()
+            # equal texts and equal doc_ids are dealt to different groups: by doc_id, text and place in the batch
+            draw = batch.column(0).to_numpy().view(np.uint64) + mix(batch.column(1).to_numpy().view(np.uint64) + np.arange(batch.num_rows, dtype=np.uint64))
+            draw = (mix(draw) >> np.uint64(1)).tolist()
             names, dealt = flat.field("anchor").to_numpy(), flat.field("shard").to_numpy()
             for i, (d, digest, text, to) in enumerate(zip(ids, digests, found, wide, strict=True)):
                 data = plain_bytes(text)
@@ -79,7 +82,7 @@ def _parts(window: int, phrase: int):
                     n = salts.get(s, 1)
                     for x, y in zip(cut, cut[1:], strict=False):
                         first = int(low[x])
-                        rows.append((s, digest % n, n, d, digest, first, b" ".join(words[first : int(high[y - 1])]).decode(), own_hits[x:y] - first))
+                        rows.append((s, draw[i] % n, n, d, digest, first, b" ".join(words[first : int(high[y - 1])]).decode(), own_hits[x:y] - first))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_PART)], schema=_PART)
 
     return run
@@ -183,7 +186,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
 
     1. Of each window its least phrase (by hash) is sampled; a phrase that two documents share is confirmed as recurring.
     2. Phrases are dealt to shards by the first document that has them; a document's stretches around a shard's phrases go to
-       that shard, and a shard with many documents is cut into groups.
+       that shard, and a shard with many documents is cut into groups, by doc_id, so that copies of a text spread too.
     3. Each group compiles an automaton of its stretches' phrases, streams all stretches through it, and at every occurrence
        compares whole windows (64-bit hashes of all their words) for the first document that has them.
 
@@ -199,10 +202,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     # a key of its own on this side: both sides are dealt anew, and a hot phrase can be split between tasks
     recurring = recurring.select((F.col("anchor") + 0).alias("anchor"), "source")
     links = sampled.join(recurring, "anchor").select("doc_id", F.struct("anchor", F.pmod(F.xxhash64("source"), F.lit(shards)).alias("shard")).alias("link"))
-    routes = saved(links.groupBy("doc_id").agg(F.collect_set("link").alias("links")), "routes")
+    routes = saved(links.groupBy("doc_id").agg(F.collect_set("link").alias("links"), F.ceil(F.count("*") / F.size(F.collect_set("link"))).alias("rows")), "routes")
     drop(sampled)
-    to = routes.select("doc_id", F.explode(F.array_distinct("links.shard")).alias("shard"))
-    load = to.groupBy("shard").agg(F.ceil(F.count("*") / group_docs).alias("salts")).where("salts > 1")
+    to = routes.select("doc_id", "rows", F.explode(F.array_distinct("links.shard")).alias("shard"))
+    load = to.groupBy("shard").agg(F.ceil(F.sum("rows") / group_docs).alias("salts")).where("salts > 1")
     wide = to.join(load, "shard").groupBy("doc_id").agg(F.collect_list(F.struct("shard", "salts")).alias("wide"))
 
     def only(keys: DataFrame, n: int, how: str) -> DataFrame:
@@ -210,7 +213,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
 
     keys = routes.select("doc_id")
     few = only(keys, routes.count(), "left_semi").select("doc_id", F.xxhash64("text").alias("digest"), "text")
-    few = few.join(routes.join(wide, "doc_id", "left"), "doc_id").select("doc_id", "digest", "text", "links", "wide")
+    few = few.join(routes.drop("rows").join(wide, "doc_id", "left"), "doc_id").select("doc_id", "digest", "text", "links", "wide")
     parts = saved(few.mapInArrow(_parts(window, phrase), _PART_SQL), "parts")
 
     def streamed(documents: DataFrame, told: DataFrame | None) -> DataFrame:

@@ -60,6 +60,26 @@ def test_substring_dedup(odd_docs, odd_table, no_docs):
     assert substring_dedup.remove_repeats(no_docs).count() == 0
 
 
+def test_equal_texts_spread_over_groups(spark, odd_docs, monkeypatch):
+    largest = []
+
+    def seen(df, name="table"):
+        out = common.saved(df, name)
+        if name == "parts":
+            largest.append(max(r["count"] for r in out.groupBy("shard", "salt").count().collect()))
+        return out
+
+    monkeypatch.setattr(substring_dedup, "saved", seen)
+    text = odd_docs[0][1]
+    for rows in ([(d, text) for d in range(300)], [(7, text)] * 300 + [(8, text)]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = substring_dedup.remove_repeats(docs, group_docs=10).collect()
+        want = substring_dedup.brute_force(sorted(set(rows)))
+        assert len(got) == len(rows)
+        assert all(sum(x.end - x.start for x in r.spans) == want[r.doc_id][1] for r in got)
+    assert max(largest) < 40
+
+
 def test_jaccard_classes(spark, odd_docs, odd_table, no_docs):
     docs = spark.createDataFrame(odd_docs, "doc_id long, text string")
     want = jaccard_join.brute_force(odd_docs)
