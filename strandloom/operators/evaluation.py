@@ -48,12 +48,16 @@ def summary(p: DataFrame) -> DataFrame:
 def roc_auc(p: DataFrame) -> DataFrame:
     """One row (auc) of (real 0 or 1, score): the Mann-Whitney statistic over distinct scores, ties at half.
 
-    Counts are summed by score first, so the running sum goes over distinct scores.
+    Counts are summed by score first; the running sum is taken within ranges of scores, after the sums of the ranges before.
     """
     from pyspark.sql import Window
 
     s = p.groupBy("score").agg(F.sum(F.col("real")).alias("pos"), F.sum(1 - F.col("real")).alias("neg"))
-    s = s.select("pos", "neg", (F.sum("neg").over(Window.orderBy("score")) - F.col("neg")).alias("below"))
+    s = s.withColumn("range", F.rint(F.col("score") * 1024))
+    n = s.groupBy("range").agg(F.sum("neg").alias("all"))
+    n = n.select(F.col("range").alias("at"), (F.sum("all").over(Window.orderBy("range")) - F.col("all")).alias("before"))
+    within = F.sum("neg").over(Window.partitionBy("range").orderBy("score")) - F.col("neg")
+    s = s.withColumn("within", within).join(n, F.col("range").eqNullSafe(F.col("at"))).select("pos", "neg", (F.col("before") + F.col("within")).alias("below"))
     return s.agg(F.round(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)) / (F.sum("pos").cast("double") * F.sum("neg")), 6).alias("auc"))
 
 

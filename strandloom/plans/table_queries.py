@@ -244,3 +244,35 @@ def _(spark, d):
     cell = F.concat(F.format_string("%.3f", F.round("o_totalprice") / 1000), F.lit(" ± "), F.format_string("%.3f", F.round(F.col("o_totalprice") / 100) / 1000))
     t = read(spark, d, "orders").select("o_orderkey", cell.alias("cell"))
     return t.select("o_orderkey", F.regexp_extract("cell", "^([0-9.]+)", 1).cast("double").alias("mean"), F.regexp_extract("cell", "± ([0-9.]+)", 1).cast("double").alias("std"))
+
+
+# the queries above that look at features see the first eight components; these see all of them
+
+_WHOLE = {
+    "long_features": lambda x: x.select("id", "feature", F.round("value", 6).alias("value")),
+    "standard_scale": X.standard_scale,
+    "minmax_scale": X.minmax_scale,
+    "impute_mean": lambda x: X.impute_mean(x.withColumn("value", F.when(F.col("id") % 11 != 0, F.col("value")))),
+    "pearson_pairs": X.pearson_pairs,
+    "spearman_pairs": lambda x: X.pearson_pairs(X.average_rank(x)),
+    "importance_rank": lambda x: _importance(x).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature"))),
+    "top_features": lambda x: _importance(x).orderBy(F.desc("importance"), "feature").limit(5),
+    "descriptor_presence": lambda x: x.agg(*[(F.count(F.when(F.col("feature") == f, 1)) > 0).alias(f"has_{f}") for f in ("f1", "f9")]),
+}
+
+
+def _importance(x):
+    return x.groupBy("feature").agg(F.round(F.avg(F.abs("value")), 6).alias("importance"))
+
+
+def _whole(f):
+    return lambda spark, d: f(X.feature_table(spark, d))
+
+
+for _name, _f in _WHOLE.items():
+    Q[f"{_name}_all"] = _whole(_f)
+    SQL[f"{_name}_all"] = SQL[_name].replace("range(0, 8)", "range(0, len(embedding))")
+Q["feature_means_all"] = _whole(lambda x: x.groupBy("label", "feature").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("std")))
+SQL["feature_means_all"] = f"WITH {LONG} SELECT label, feature, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM x GROUP BY label, feature".replace("range(0, 8)", "range(0, len(embedding))")
+Q["roc_auc_exact"] = lambda spark, d: E.roc_auc(_p(spark, d).select((F.col("real") < 5).cast("int").alias("real"), "score"))
+SQL["roc_auc_exact"] = SQL["roc_auc"].replace("round(score, 2) AS score", "score")
