@@ -111,30 +111,34 @@ def _edits(a, b):
     return row[-1]
 
 
-def test_line_dedup(odd_docs, odd_table, no_docs):
-    lines = [r for r in line_dedup.signed_lines(odd_table.select("doc_id", "text").distinct()).collect()]
-    texts = dict(odd_docs)
-    words = lambda r: re.sub(r"[\W_]+", " ", texts[r.doc_id].split("\n")[r.line].lower()).split()
-    assert all(len(words(r)) == r.n for r in lines)
-    root = {r.id: r.id for r in lines}
-    one = {r.id: r for r in lines}
+def _line_words(line):
+    return re.sub(r"[\W_]+", " ", line.lower()).split()
+
+
+def _first_lines(docs):
+    """The rule written out, by edit similarity alone: the (doc_id, line) that stay."""
+    lines = sorted((d, i, _line_words(x)) for d, t in docs if t is not None for i, x in enumerate(t.split("\n")))
+    lines = [x for x in lines if x[2]]
+    root = list(range(len(lines)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    ids = list(one)
-    for i, a in enumerate(ids):
-        for b in ids[i + 1 :]:
-            if bin((one[a].sim ^ one[b].sim) & (2**64 - 1)).count("1") <= 3:
-                x, y = words(one[a]), words(one[b])
-                if _edits(x, y) <= (1 - 0.8) * max(len(x), len(y)):
-                    root[find(a)] = find(b)
-    first: dict = {}
-    for r in sorted(lines, key=lambda r: (r.doc_id, r.line)):
-        first.setdefault(find(r.id), (r.doc_id, r.line))
-    stay = set(first.values()) | {(d, i) for d, t in odd_docs for i in range(len((t or "").split("\n")))} - {(r.doc_id, r.line) for r in lines}
+    for i, (_, _, a) in enumerate(lines):
+        for j in range(i):
+            b = lines[j][2]
+            most = 0.2 * max(len(a), len(b)) + 1e-9
+            if abs(len(a) - len(b)) <= most and find(i) != find(j) and _edits(a, b) <= most:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    gone = {lines[i][:2] for i in range(len(lines)) if root[i] != i}
+    return {(d, i) for d, t in docs for i in range(len((t or "").split("\n")))} - gone
+
+
+def test_line_dedup(odd_docs, odd_table, no_docs):
+    texts, stay = dict(odd_docs), _first_lines(odd_docs)
     for kw in ({}, {"broadcast_keys": 0}):
         got = line_dedup.dedup_lines(odd_table, carry=("key", "score"), **kw).collect()
         assert len(got) == len(odd_docs) + 1
@@ -144,6 +148,17 @@ def test_line_dedup(odd_docs, odd_table, no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
 
+def test_line_dedup_odd_lines(spark):
+    words = [f"{'word' if i % 3 else 'w'}{i}" for i in range(60)]
+    hot = [" ".join([*words[:10], *(f"x{i}{j}" for j in range(10))]) for i in range(30)]  # one phrase in many unlike lines
+    near = [" ".join([*words[20:40], f"y{i}"]) for i in range(30)]  # all alike
+    docs = [(i, "\n".join(x)) for i, x in enumerate(zip(hot, near, strict=True))]
+    docs += [(100, " - \n"), (101, "\n\n"), (102, "w w w w w w"), (103, "w w w w w"), (104, hot[3].upper() + " !\r\n"), (105, hot[4].replace("word1 ", "") + "\n" + hot[4].replace("word1 ", "words "))]
+    stay = _first_lines(docs)
+    got = line_dedup.dedup_lines(spark.createDataFrame([*docs, (None, hot[0])], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == {None: hot[0], **{d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) in stay) for d, t in docs}}
+
+
 def test_line_dedup_finds_every_edited_line(spark, tmp_path):
     rng = np.random.default_rng(11)
     vocabulary = [f"{'word' if i % 3 else 'w'}{i}" for i in range(400)]
@@ -177,15 +192,22 @@ def test_line_dedup_finds_every_edited_line(spark, tmp_path):
     assert got == {find(i) for i in range(len(lines))}
 
 
-def test_simhash_counts_every_word(spark):
-    many = " ".join(f"{i:05d}" for i in range(35_000))
-    texts = ["ab ab cd", "cd ab", "longer ab words", "words longer", " ".join(f"{i:05d}" for i in range(300)), many]
-    rows = line_dedup.signed_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
-    assert rows[0].sim == rows[1].sim and rows[2].sim == rows[3].sim and [r.n for r in rows] == [3, 2, 3, 2, 300, 35_000]
-    for r, words in zip(rows[2:], (["longer", "words"], ["words", "longer"], texts[4].split(), many.split()), strict=True):
-        hashes = np.array([x[0] for x in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w")).collect()])
-        votes = [(2 * ((hashes >> b) & 1).sum() > len(words)) << b for b in range(64)]
-        assert sum(int(v) for v in votes) & (2**64 - 1) == r.sim & (2**64 - 1)
+def test_block_keys_are_simhashes(spark):
+    text = "alpha beta gamma delta\nalpha beta gamma other\n" + " ".join(f"{i:05d}" for i in range(9_000))
+    rows = line_dedup.keyed_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("line").collect()
+    hashes = {w: h for w, h in spark.createDataFrame([(w,) for w in text.split()], "w string").select("w", F.xxhash64("w")).distinct().collect()}
+
+    def block(ws):
+        h = [hashes[w] & -2 | (len(w) >= 5) for w in ws]
+        votes = [sum(x >> b & 1 for x in h) * 2 > len(h) for b in range(64)]
+        value = sum(v << b for b, v in enumerate(votes))
+        return value - (1 << 64) if value >> 63 else value
+
+    split = [x.split() for x in text.split("\n")]
+    assert [r.n for r in rows] == [4, 4, 9_000]
+    assert {block(split[0][i : i + 3]) for i in range(2)} <= set(rows[0]["keys"]) and len(rows[0]["keys"]) == 5
+    assert len(set(rows[0]["keys"]) & set(rows[1]["keys"])) == 3
+    assert 0 < len(rows[2]["keys"]) < 40 and set(rows[2]["keys"]) <= {block(split[2][i : i + 3]) for i in range(8_998)}
 
 
 def test_packing(spark, odd_docs, odd_table, no_docs):
