@@ -10,13 +10,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from strandloom.llm.common import fold_words, texts
+from strandloom.llm.common import fold_words, saved
 
 WINDOW = 10
 SHARD_WORDS = 600_000
 BLOCK_CHARS = 16_000_000  # of benchmark text that one pass searches for
 SAMPLE_EVERY = 16
+BROADCAST_ROWS = 20_000  # texts with hits; more are joined by a shuffle
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
@@ -171,116 +173,108 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     Each task joins its documents to shards of about `shard_words` words, builds an FM-index of each shard (words that
     no window has are one separator), searches all windows backwards at once and locates their occurrences. Windows
-    are sent to the tasks in blocks of at most `block_chars` characters of items; more items mean more passes.
+    are sent to the tasks in blocks of about `block_chars` characters of items, each a pass over the documents as they came;
+    the spans of all passes are merged before anything is counted or cut.
 
     Returns a row for each row of docs: doc_id, n_words, n_hit, items (array of ids that occur, sorted as strings), spans
     (merged word ranges to remove, end exclusive), and with clean=True text_clean, the text without them. Null and
-    empty texts have no words; items without words never occur; repeated rows are judged one by one; an item shorter
-    than the window is one window; other columns are ignored.
+    empty texts have no words; items without words never occur; repeated rows are each returned, also those without a doc_id; an
+    item shorter than the window is one window; other columns are ignored.
     """
+    item = benchmark.schema["item_id"].dataType
+    rows = _with_hits(docs.select("doc_id", "text"), benchmark, window, shard_words, block_chars)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, items array<{item.simpleString()}>, spans {_SPANS_SQL}" + ", text_clean string" * clean
+    kind = pa.list_(to_arrow_type(item))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, items = batch.column(1).to_pylist(), batch.column(3).to_pylist()
+            counts = [len(fold_words(t)) for t in found]
+            spans = [merged(s, n) for s, n in zip(batch.column(2).to_pylist(), counts, strict=True)]
+            hit = [sum(x["end"] - x["start"] for x in s) for s in spans]
+            cols = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), pa.array([sorted(set(x or ()), key=str) for x in items], kind), pa.array(spans, _SPANS)]
+            names = ["doc_id", "n_words", "n_hit", "items", "spans"]
+            if clean:
+                cols.append(pa.array([cut(t, s) for t, s in zip(found, spans, strict=True)], pa.string()))
+                names.append("text_clean")
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    return rows.mapInArrow(run, schema)
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_SPANS_SQL = "array<struct<start:int,end:int>>"
+
+
+def merged(spans: list[dict] | None, n_words: int) -> list[dict]:
+    """Spans of several passes as one sorted, disjoint list."""
+    if not spans:
+        return []
+    hit = np.zeros(n_words, bool)
+    for s in spans:
+        hit[s["start"] : s["end"]] = True
+    return spans_of(hit)
+
+
+def _with_hits(docs: DataFrame, benchmark: DataFrame, window: int, shard_words: int, block_chars: int) -> DataFrame:
+    """docs (all columns, by place) with two more: the spans and items that occur in their texts, null without any."""
     size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_chars))
-    item_type = benchmark.schema["item_id"].dataType.simpleString()
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, n_words long, n_hit long, items array<{item_type}>, spans array<struct<start:int,end:int>>" + ", text_clean string" * clean
-    parts = []
+    item = benchmark.schema["item_id"].dataType
+    key = docs.select("text", F.xxhash64("text").alias("digest"))
+    found = None
     for block in range(blocks):
-        own = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else benchmark
+        own = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else benchmark
         rows = [tuple(r) for r in own.select("item_id", "text").collect()]  # at most about block_chars characters
         sent = docs.sparkSession.sparkContext.broadcast(rows)
-        parts.append(docs.select("doc_id", "text").mapInArrow(_searcher(sent, window, shard_words, clean and blocks == 1), schema if blocks == 1 else schema.replace(", text_clean string", "")))
-    if blocks == 1:
-        return parts[0]
-    return _merged(docs, parts, clean)
-
-
-def _searcher(sent, window: int, shard_words: int, clean: bool):
+        hits = key.mapInArrow(_searcher(sent, to_arrow_type(item), window, shard_words), f"digest long, spans {_SPANS_SQL}, items array<{item.simpleString()}>")
+        found = hits if found is None else found.unionByName(hits)
+    # equal texts have equal hits: one row for each text
+    found = found.groupBy("digest").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.flatten(F.collect_set("items")).alias("items"))
+    found = saved(found, "hits")
+    n = found.count()
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.select("*", F.xxhash64("text")).toDF(*names, "digest")
+    return rows.join(F.broadcast(found) if n <= BROADCAST_ROWS else found, "digest", "left").select(*names, "spans", "items")
+
+
+def _searcher(sent, item: pa.DataType, window: int, shard_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(sent.value, window)
-        ids, kept, words, n, types = [], [], [], 0, None
+        digests, words, n = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            found = phrases.hits(words)
-            spans = [spans_of(h) for h, _ in found]
-            cols = [
-                pa.array(ids, types),
-                pa.array([len(w) for w in words], pa.int64()),
-                pa.array([int(h.sum()) for h, _ in found], pa.int64()),
-                pa.array([sorted(x, key=str) for _, x in found], pa.list_(_item_type(sent.value))),
-                pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-            ]
-            names = ["doc_id", "n_words", "n_hit", "items", "spans"]
-            if clean:
-                cols.append(pa.array([cut(t, s) for t, s in zip(kept, spans, strict=True)], pa.string()))
-                names.append("text_clean")
-            return pa.RecordBatch.from_arrays(cols, names)
+            rows = [(d, spans_of(h), list(x)) for d, (h, x) in zip(digests, phrases.hits(words), strict=True) if x]
+            cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), _SPANS, pa.list_(item)))]
+            return pa.RecordBatch.from_arrays(cols, ["digest", "spans", "items"])
 
         for batch in batches:
-            types = batch.schema.field("doc_id").type
-            for i, t in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
-                ids.append(i)
+            for t, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                digests.append(d)
                 words.append(fold_words(t))
-                kept.append(t if clean else None)
                 n += len(words[-1]) + 1
                 if n >= shard_words:
                     yield flush()
-                    ids, kept, words, n = [], [], [], 0
-        if ids:
+                    digests, words, n = [], [], 0
+        if digests:
             yield flush()
 
     return run
 
 
-def _item_type(items: list[tuple]) -> pa.DataType:
-    return pa.string() if any(isinstance(i, str) for i, _ in items) else pa.int64()
-
-
-def _merged(docs: DataFrame, parts: list[DataFrame], clean: bool) -> DataFrame:
-    """One row for each document id from the rows of several passes."""
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    push = "aggregate(spans, cast(array() as array<struct<start:int,end:int>>), (a, s) -> if(size(a) > 0 and a[size(a) - 1].end >= s.start, concat(slice(a, 1, size(a) - 1), array(named_struct('start', a[size(a) - 1].start, 'end', greatest(a[size(a) - 1].end, s.end)))), concat(a, array(s))))"
-    out = out.withColumn("spans", F.expr(push))
-    out = out.select("doc_id", "n_words", F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.start)").alias("n_hit"), F.expr("transform(array_sort(transform(array_distinct(items), i -> struct(cast(i as string) as s, i as i))), x -> x.i)").alias("items"), "spans")
-    if not clean:
-        return out
-    cutter = F.pandas_udf(lambda t, s: t.combine(s, lambda a, b: cut(a, [] if b is None else [{"start": x["start"], "end": x["end"]} for x in b])), "string")
-    return docs.select("doc_id", "text").join(out, "doc_id").withColumn("text_clean", cutter("text", "spans")).drop("text")
-
-
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """docs with all their columns, texts without the spans that contamination() finds; with several blocks of benchmark
-    items each pass cuts what the one before has left."""
-    size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_chars))
+    """docs with all their columns, texts without the spans that contamination() finds in them; what a cut brings together
+    is not searched again."""
     at = docs.columns.index("text")
 
-    def cutter(sent):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            phrases = Phrases(sent.value, window)
-            for batch in batches:
-                found = batch.column(at).to_pylist()
-                words, first = [fold_words(t) for t in found], 0
-                while first < len(found):
-                    last, n = first, 0
-                    while last < len(found) and (n < shard_words or last == first):
-                        n += len(words[last]) + 1
-                        last += 1
-                    hits = phrases.hits(words[first:last])
-                    part = batch.slice(first, last - first)
-                    clean = pa.array([cut(t, spans_of(h)) for t, (h, _) in zip(found[first:last], hits, strict=True)], pa.string())
-                    yield pa.RecordBatch.from_arrays([clean if i == at else c for i, c in enumerate(part.columns)], part.schema.names)
-                    first = last
-
-        return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, spans = batch.column(at).to_pylist(), batch.column(batch.num_columns - 2).to_pylist()
+            clean = pa.array([cut(t, merged(s, len(fold_words(t)))) if s else t for t, s in zip(found, spans, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([clean if i == at else c for i, c in enumerate(batch.columns[:-2])], docs_columns)
 
-    for block in range(blocks):
-        own = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else benchmark
-        rows = [tuple(r) for r in own.select("item_id", "text").collect()]  # at most about block_chars characters
-        docs = docs.mapInArrow(cutter(docs.sparkSession.sparkContext.broadcast(rows)), docs.schema)
-    return docs
+    docs_columns = docs.columns
+    return _with_hits(docs, benchmark, window, shard_words, block_chars).mapInArrow(run, docs.schema)
 
 
 def op10_fm_index(spark, sf_dir: str) -> DataFrame:
