@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SEGMENT = 64  # turn numbers that one row spans at most
+SEGMENT = 1024  # turn numbers that one row spans at most
 END = "<|end|>\n"
 
 
@@ -16,7 +16,7 @@ def rotate_perspectives(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     turn numbers, so no dialogue is gathered whole in one task; shorter dialogues are one row. Returns conv_id,
     participant, segment (from 0), n_turns, text, and mask: spans of characters (start, end exclusive) to learn from, which
     are the participant's messages with their end marks. A null role is the user "unknown" and no participant; null texts
-    are empty; "<|" within a text becomes "< |" so that it cannot pass for a mark; ties in turn go by role and text, a null
+    are empty; "<|" within a text becomes "< |", and in a role's name "|>" becomes "| >" too, so that neither can pass for a mark; ties in turn go by role and text, a null
     turn is first; repeated rows are repeated messages; conversations without a participant, and null conv_ids, give no rows.
     """
     rows = turns.where("conv_id is not null").select(
@@ -25,7 +25,8 @@ def rotate_perspectives(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     )
     speakers = rows.where(~F.col("nameless") & (F.col("role") != "system")).select("conv_id", F.col("role").alias("participant")).distinct()
     own = (F.col("role") == F.col("participant")) & ~F.col("nameless")
-    head = F.when(own, F.lit("<|assistant|>\n")).when(F.col("role") == "system", F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user:"), F.col("role"), F.lit("|>\n")))
+    named = F.replace(F.replace(F.col("role"), F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >"))
+    head = F.when(own, F.lit("<|assistant|>\n")).when(F.col("role") == "system", F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user:"), named, F.lit("|>\n")))
     views = rows.join(speakers, "conv_id").select(
         "conv_id", "participant", F.greatest(F.floor(F.col("turn") / segment), F.lit(0)).cast("long").alias("segment"),
         F.struct("turn", "role", "text", head.alias("head"), own.alias("own")).alias("m"),
@@ -55,9 +56,9 @@ OP5_SQL = """
 WITH r AS (SELECT conv_id, coalesce(turn, -1)::bigint AS turn, coalesce(role, 'unknown') AS role, role IS NULL AS nameless,
                   replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations WHERE conv_id IS NOT NULL),
 s AS (SELECT DISTINCT conv_id, role AS participant FROM r WHERE NOT nameless AND role <> 'system'),
-v AS (SELECT r.conv_id, participant, greatest(floor(turn / 64.0), 0)::bigint AS segment, turn, role, text, (role = participant AND NOT nameless) AS own,
+v AS (SELECT r.conv_id, participant, greatest(floor(turn / 1024.0), 0)::bigint AS segment, turn, role, text, (role = participant AND NOT nameless) AS own,
              CASE WHEN role = participant AND NOT nameless THEN '<|assistant|>' || chr(10) WHEN role = 'system' THEN '<|system|>' || chr(10)
-                  ELSE '<|user:' || role || '|>' || chr(10) END AS head FROM r JOIN s USING (conv_id)),
+                  ELSE '<|user:' || replace(replace(role, '<|', '< |'), '|>', '| >') || '|>' || chr(10) END AS head FROM r JOIN s USING (conv_id)),
 p AS (SELECT *, length(head) + length(text) + 8 AS n, sum(length(head) + length(text) + 8) OVER w AS upto, row_number() OVER w AS k FROM v
       WINDOW w AS (PARTITION BY conv_id, participant, segment ORDER BY turn, role, text, head, own ROWS UNBOUNDED PRECEDING))
 SELECT conv_id, participant, segment, count(*)::bigint AS n_turns, string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY k) AS text,
