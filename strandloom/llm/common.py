@@ -18,12 +18,15 @@ _FOLD = bytes(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a new one only where none is set."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where none is set, a session on one machine gets a new
+    one; on a cluster it must be set, as executors would each write to a folder of their own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         if got.isDefined():
             return got.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(at)
         spark.conf.set("spark.checkpoint.dir", at)
