@@ -8,21 +8,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import components, drop, fold_bytes, grams, hash_words, mix, saved
-from strandloom.llm.linking import connect
 
 WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.999  # least chance that a pair at just SIMILARITY meets in some bucket
-DEPTH, DEEP = 2, 6  # splits of every set, and of sets in large buckets of unlike ones
-LIMIT = 64  # members of a small bucket
-BLOCK = 128  # sets of a group that are compared together
+DEPTH, DEEP = 2, 4  # splits of every set, and of sets in large buckets of unlike ones
+SMALL_SET = 64  # shingles; smaller sets could run out of tokens in deep splits and keep their large buckets as well
+LIMIT = 1024  # members of a small bucket
+BLOCK = 256  # sets of a group that are compared together
+CHUNK = 4096  # rows of small buckets that one call takes
 SKETCH = 128  # bits; the sketch passes a pair at SIMILARITY but for about 1 in 30,000
 SLACK = 4  # standard deviations
-BROADCAST_KEYS = 1_000_000
+BROADCAST_KEYS = 250_000
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -117,20 +118,61 @@ def _deeper(words: int, depth: int, runs: int, similarity: float):
     return run
 
 
+def _trees(link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (member, least member that links reach) that join what a symmetric matrix of links connects."""
+    n = len(link)
+    root = np.arange(n)
+    while True:
+        new = np.minimum(root, np.where(link, root[None, :], n).min(axis=1))
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    child = np.flatnonzero(root != np.arange(n))
+    return child, root[child]
+
+
+def _parts(*columns: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """An order that brings equal rows of the columns together, and where each run of them begins and ends."""
+    by = np.lexsort(columns)
+    change = np.zeros(max(0, len(by) - 1), bool)
+    for c in columns:
+        change |= c[by][1:] != c[by][:-1]
+    cut = [0, *(np.flatnonzero(change) + 1).tolist(), len(by)] if len(by) else []
+    return by, list(zip(cut, cut[1:], strict=False))
+
+
+def _candidates(most: int, similarity: float):
+    """Buckets compared whole: trees over near sketches of sets that are in different groups so far."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, root, size, side, key = (table[c].to_numpy() for c in ("id", "root", "size", "side", "key"))
+        s0, s1 = (table[c].to_numpy().view(np.uint64) for c in ("s0", "s1"))
+        by, runs = _parts(key)
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for lo, hi in runs:
+            i = by[lo:hi]
+            bits = np.bitwise_count(s0[i, None] ^ s0[None, i]) + np.bitwise_count(s1[i, None] ^ s1[None, i])
+            link = (bits <= most) & (root[i, None] != root[None, i])
+            link &= np.minimum(size[i, None], size[None, i]) >= similarity * np.maximum(size[i, None], size[None, i])
+            if (side[i] != side[i[0]]).any():
+                link &= side[i, None] != side[None, i]
+            if link.any():
+                child, parent = _trees(link)
+                a.append(ids[i[child]])
+                b.append(ids[i[parent]])
+        return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return run
+
+
 _LINKS = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def _compared(words: int, similarity: float):
-    """Exact Jaccard of the pairs of one block, or between two blocks, of a group: links of each set, and tree edges."""
+    """Exact Jaccard of the pairs of one block, or between two blocks, of each group: links of each set, and tree edges."""
 
-    def run(table: pa.Table) -> pa.Table:
-        # a doc_id may stand before several texts: of each set the first text that hashes to its id is its own
-        found, seen = [shingles(t, words) for t in table["text"].to_pylist()], set()
-        keep = [i for i, (k, x) in enumerate(zip(table["id"].to_pylist(), found, strict=True)) if set_id(x) == k and not (k in seen or seen.add(k))]
-        table, sets = table.take(keep), [found[i] for i in keep]
-        if not sets:
-            return _LINKS.empty_table()
-        ids, copies, side = table["id"].to_numpy(), table["copies"].to_numpy(), table["side"].to_numpy()
+    def group(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(sets)
         size = np.array([len(x) for x in sets], np.int64)
         flat = np.concatenate(sets)
@@ -155,54 +197,100 @@ def _compared(words: int, similarity: float):
         np.fill_diagonal(link, False)
         if (side != side[0]).any():
             link &= side[:, None] != side[None, :]
-        total = link.astype(np.int64) @ copies
-        root = np.arange(n)
-        while True:  # least index that links reach
-            new = np.minimum(root, np.where(link, root[None, :], n).min(axis=1))
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
-        tree = np.flatnonzero(root != np.arange(n))
-        k = len(tree)
+        return link.astype(np.int64) @ copies, *_trees(link)
+
+    def run(table: pa.Table) -> pa.Table:
+        # a doc_id may stand before several texts: of each set the first text that hashes to its id is its own
+        found, seen = [shingles(t, words) for t in table["text"].to_pylist()], set()
+        keep = [i for i, (k, x) in enumerate(zip(table["id"].to_pylist(), found, strict=True)) if set_id(x) == k and not (k in seen or seen.add(k))]
+        table, sets = table.take(keep), [found[i] for i in keep]
+        ids, copies, side, root = (table[c].to_numpy() for c in ("id", "copies", "side", "root"))
+        empty = np.empty(0, np.int64)
+        own, links, a, b = [empty], [empty], [empty], [empty]
+        by, runs = _parts(root)
+        for lo, hi in runs:
+            i = by[lo:hi]
+            total, child, parent = group([sets[j] for j in i], copies[i], side[i])
+            own.append(ids[i])
+            links.append(total)
+            a.append(ids[i[child]])
+            b.append(ids[i[parent]])
+        own, links, a, b = map(np.concatenate, (own, links, a, b))
+        n, k = len(own), len(a)
         return pa.table([
-            pa.array(np.concatenate([ids, np.zeros(k, np.int64)]), mask=np.arange(n + k) >= n),
-            pa.array(np.concatenate([total, np.zeros(k, np.int64)])),
-            pa.array(np.concatenate([np.zeros(n, np.int64), ids[tree]]), mask=np.arange(n + k) < n),
-            pa.array(np.concatenate([np.zeros(n, np.int64), ids[root[tree]]]), mask=np.arange(n + k) < n),
+            pa.concat_arrays([pa.array(own), pa.nulls(k, pa.int64())]), pa.array(np.concatenate([links, np.zeros(k, np.int64)])),
+            pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(a)]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(b)]),
         ], schema=_LINKS)
 
     return run
 
 
+def _dealt(rows: DataFrame, group: str, members: Column, block: int, chunk: int) -> DataFrame:
+    """Adds where rows of a group meet: groups of up to `block` members whole, several of them in one call; larger ones in
+    blocks, each pair of blocks (part, x, y) in a call of its own. side is a row's block."""
+    blocks = F.ceil(members / block)
+    few = max(1, rows.count() // chunk)
+    out = rows.withColumns({"blocks": blocks, "side": F.pmod(F.xxhash64("id"), blocks)})
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    part = F.when(F.col("blocks") > 1, F.col(group)).otherwise(F.pmod(F.xxhash64(group), F.lit(few)))
+    return out.withColumns({"part": part, "whole": F.col("blocks") == 1, "x": F.least("side", "other"), "y": F.greatest("side", "other")}).drop("blocks", "other")
+
+
+def connect(members: DataFrame, reps: DataFrame, similarity: float, limit: int, split: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Edges (a, b) of candidates over the buckets of members (key, id): sets whose sketches are near, or trees of such.
+
+    Every member is compared with the least and the greatest of its bucket, so that pairs grow with the members. Buckets that
+    these have left in several groups are compared whole if they have at most `limit` members. Of larger ones the members
+    (key, id) come back as the second value if `split` is set; else they are compared in blocks of `limit`.
+    """
+    most = far_bits(similarity)
+    pivots = members.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p <> q")
+    # a key of its own on this side: both sides are dealt anew, and a hot bucket can be split between tasks
+    shared = saved(members.join(pivots.select((F.col("key") + 0).alias("key"), "p", "q"), "key"), "shared")
+    payload = lambda suffix: reps.select(*[F.col(c).alias(f"{c}{suffix}") for c in ("id", "size", "s0", "s1")])
+    star = shared.select("id", F.explode(F.array("p", "q")).alias("id_b")).where("id <> id_b")
+    star = star.select(F.least("id", "id_b").alias("id"), F.greatest("id", "id_b").alias("id_b")).distinct()
+    bits = F.bit_count(F.col("s0").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("s1_b")))
+    near = (bits <= most) & (F.least("size", "size_b") >= similarity * F.greatest("size", "size_b"))
+    star = star.join(payload(""), "id").join(payload("_b"), "id_b").where(near).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
+    star = saved(star, "links")
+    groups = components(star).withColumnRenamed("node", "id")
+    named = saved(shared.join(groups, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "named")
+    drop(shared)
+    # in a bucket of three the pivots have met all
+    mixed = named.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("m > 3 and low <> high")
+    left = named.join(mixed.select((F.col("key") + 0).alias("key"), "m"), "key").join(reps.select("id", "size", "s0", "s1"), "id")
+    left = saved(left, "left")
+    large = left.where(F.col("m") > limit).select("key", "id") if split else None
+    dealt = _dealt(left.where(F.col("m") <= limit) if split else left, "key", F.col("m"), limit, CHUNK)
+    rest = saved(dealt.groupBy("part", "whole", "x", "y").applyInArrow(_candidates(most, similarity), "a long, b long"), "links")
+    drop(named)
+    return star.unionByName(rest), large
+
+
 def jaccard_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, limit: int = LIMIT, block: int = BLOCK, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """Classes of docs (doc_id, text) whose shingle sets of `words` words have a Jaccard similarity of `similarity` or more.
 
-    1. Texts with the same set are one set. Each set is split twice on sampled tokens, in as many runs as the recall asks.
-    2. In each bucket sets whose sketches are near are candidates; sets in buckets of more than `limit` members that hold
-       unlike sets are split on, to depth DEEP in more runs, and what is large then is still searched whole.
-    3. Groups that candidates connect are compared exactly in blocks of about `block` sets, each pair of blocks a task of
+    1. Texts with the same set are one set. Each set is split on sampled tokens, DEPTH times, in as many runs as the recall asks.
+    2. In each bucket sets whose sketches are near are candidates (see connect). Buckets of more than `limit` members that hold
+       unlike sets are split on, to depth DEEP in more runs; sets of few shingles stay in them as well. What is large then is
+       compared in blocks, so no bucket is left out.
+    3. Groups that candidates connect are compared exactly in blocks of about `block` sets, each pair of blocks a call of
        its own, so every pair within a group is decided and counted but never emitted.
 
     Returns a row for each row of docs: doc_id, class_id (least doc_id of the connected class), copy_id (least doc_id with the
     same set), n_links (other rows that are linked to it, copies included). Texts without words, null included, are classes
-    of their own with no links (class_id and copy_id are their own doc_id); doc_id must not be null; repeated rows are
+    of their own with no links (class_id and copy_id are their own doc_id), and so are rows without a doc_id; repeated rows are
     copies; other columns are ignored. Sets are told apart by a 64-bit hash.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, id long, size long, s0 long, s1 long, keys array<long>"
     described = saved(own.mapInArrow(_described(words, DEPTH, runs_for(DEPTH, recall), similarity), schema), "sets")
-    sets = described.where("id is not null")
-    reps = saved(sets.groupBy("id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("size").alias("size"), F.max("s0").alias("s0"), F.max("s1").alias("s1")), "sets")
-    payload = ["size", "s0", "s1"]
-    most = far_bits(similarity)
-
-    def near(a, b):
-        bits = F.bit_count(a("s0").bitwiseXOR(b("s0"))) + F.bit_count(a("s1").bitwiseXOR(b("s1")))
-        return (bits <= most) & (F.least(a("size"), b("size")) >= similarity * F.greatest(a("size"), b("size")))
-
-    keyed = sets.join(reps.select((F.col("id") + 0).alias("id"), "rep"), "id").where("doc_id = rep").dropDuplicates(["id"])
-    edges, open_ids = connect(keyed.select(F.explode("keys").alias("key"), "id"), reps.select("id", *payload), near, limit=limit)
+    in_classes = F.col("id").isNotNull() & F.col("doc_id").isNotNull()
+    sets = described.where(in_classes)
+    reps = sets.groupBy("id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *[F.max(c).alias(c) for c in ("size", "s0", "s1")], F.first("keys").alias("keys"))
+    reps = saved(reps, "sets")
+    edges, large = connect(reps.select(F.explode("keys").alias("key"), "id"), reps, similarity, limit, split=True)
 
     def texts_of(ids: DataFrame) -> DataFrame:
         """(id, text) of the sets' first documents."""
@@ -212,29 +300,26 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIM
         few = own.join(F.broadcast(keys) if n <= broadcast_keys else keys, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
         return few.join(at, "doc_id").select("id", "text")
 
-    if open_ids.take(1):
-        deep = texts_of(open_ids).mapInArrow(_deeper(words, DEEP, runs_for(DEEP, recall), similarity), "id long, keys array<long>")
-        deep = saved(deep.select("id", F.explode("keys").alias("key")).distinct(), "deep")
-        edges = edges.unionByName(connect(deep, reps.select("id", *payload), near)[0])
-        drop(deep)
+    if large.take(1):
+        deep = texts_of(large.select("id").distinct()).mapInArrow(_deeper(words, DEEP, runs_for(DEEP, recall), similarity), "id long, keys array<long>")
+        few = large.join(reps.where(F.col("size") < SMALL_SET).select("id"), "id").select("key", "id")
+        deep = saved(deep.select(F.explode("keys").alias("key"), "id").unionByName(few).distinct(), "deep")
+        edges = edges.unionByName(connect(deep, reps, similarity, limit, split=False)[0])
     groups = saved(components(edges), "groups")
     size = groups.groupBy("root").agg(F.count("*").alias("members"))
     named = groups.join(size.select((F.col("root") + 0).alias("root"), "members"), "root").withColumnRenamed("node", "id")
-    blocks = F.ceil(F.col("members") / block)
-    dealt = named.select("root", "id", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).alias("side"))
-    dealt = dealt.join(reps.select("id", "copies"), "id").join(texts_of(groups.select(F.col("node").alias("id"))), "id")
-    dealt = dealt.select("root", "id", "copies", "text", "side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("root", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "id", "copies", "text", "side")
-    found = saved(dealt.groupBy("root", "x", "y").applyInArrow(_compared(words, similarity), "id long, links long, a long, b long"), "links")
+    dealt = _dealt(named.join(reps.select("id", "copies"), "id"), "root", F.col("members"), block, 2 * block)
+    dealt = dealt.join(texts_of(groups.select(F.col("node").alias("id"))), "id")
+    found = saved(dealt.groupBy("part", "whole", "x", "y").applyInArrow(_compared(words, similarity), "id long, links long, a long, b long"), "links")
     links = found.where("id is not null").groupBy("id").agg(F.sum("links").alias("links"))
     classes = components(found.where("a is not null").select("a", "b")).withColumnRenamed("node", "id")
     info = reps.join(links, "id", "left").join(classes, "id", "left").select("id", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "id").alias("root"))
     info = saved(info, "classes")
-    drop(groups, found)
+    drop(groups, found, reps)
     first = info.groupBy("root").agg(F.min("rep").alias("class_id"))
     info = info.join(first.select((F.col("root") + 0).alias("root"), "class_id"), "root").select((F.col("id") + 0).alias("id"), "class_id", F.col("rep").alias("copy_id"), (F.col("links") + F.col("copies") - 1).alias("n_links"))
     with_set = sets.select("doc_id", "id").join(info, "id").select("doc_id", "class_id", "copy_id", "n_links")
-    alone = described.where("id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
+    alone = described.where(~in_classes).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
     return with_set.unionByName(alone)
 
 
