@@ -1,4 +1,4 @@
-"""Substring dedup: recurring passages confirmed by sampled phrases, located by sharded Aho-Corasick automata."""
+"""Substring dedup: recurring phrases confirmed by counts, located in all documents by sharded Aho-Corasick automata."""
 
 from __future__ import annotations
 
@@ -15,9 +15,10 @@ from strandloom.llm.common import drop, grams, hash_words, mix, plain_bytes, pla
 
 WINDOW = 13
 PHRASE = 5  # words of a sampled phrase
-SHARD_DOCS = 48  # documents for each shard; a shard streams stretches of several times as many
-GROUP_DOCS = 256  # documents that one automaton's group streams; a shard with more is cut into groups
-BROADCAST_KEYS = 1_000_000  # ids of at most so many documents (16 MB) are sent to all tasks; more are joined by a shuffle
+PART_DOCS = 128  # texts that one automaton streams, about
+SHARD_DOCS = 48  # texts for each shard of passages; a shard compares stretches of several times as many
+GROUP_LINKS = 4096  # phrases in documents that one group of a shard takes, about; a shard with more is cut into groups
+BROADCAST_KEYS = 250_000  # so many texts at most are told to all tasks; more are joined by a shuffle
 
 
 def anchors(h: np.ndarray, window: int, phrase: int) -> np.ndarray:
@@ -43,64 +44,80 @@ def _sampled(window: int, phrase: int):
     return run
 
 
-_PART_SQL = "shard long, salt long, salts long, doc_id long, digest long, offset int, excerpt string, at array<int>"
-_PART = pa.schema([("shard", pa.int64()), ("salt", pa.int64()), ("salts", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("offset", pa.int32()), ("excerpt", pa.string()), ("at", pa.list_(pa.int32()))])
-
-
-def _parts(window: int, phrase: int):
-    """Of a document and its confirmed phrases: for each shard the stretches of words that windows around the shard's phrases
-    span, and where in them the phrases are."""
+def _worded(phrase: int):
+    """The words of wanted phrases, from one text that has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            ids, digests, found = (batch.column(i).to_pylist() for i in range(3))
-            links, wide = batch.column(3), batch.column(4).to_pylist()
-            flat, ends = links.flatten(), links.offsets.to_numpy() - links.offsets[0].as_py()
-            # equal texts and equal doc_ids are dealt to different groups: by doc_id, text and place in the batch
-            draw = batch.column(0).to_numpy().view(np.uint64) + mix(batch.column(1).to_numpy().view(np.uint64) + np.arange(batch.num_rows, dtype=np.uint64))
-            draw = (mix(draw) >> np.uint64(1)).tolist()
-            names, dealt = flat.field("anchor").to_numpy(), flat.field("shard").to_numpy()
-            for i, (d, digest, text, to) in enumerate(zip(ids, digests, found, wide, strict=True)):
-                data = plain_bytes(text)
+            names, found = [], []
+            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data, want = plain_bytes(text), np.array(wanted, np.int64)
                 g = grams(hash_words(data), phrase).view(np.int64)
-                table, own = names[ends[i] : ends[i + 1]], dealt[ends[i] : ends[i + 1]]
-                if not len(g) or not len(table):
+                if not len(g):
                     continue
-                by = np.argsort(table)
-                table, own = table[by], own[by]
-                at = np.minimum(np.searchsorted(table, g), len(table) - 1)
-                hit = np.flatnonzero(table[at] == g)
-                shard = own[at[hit]]
-                salts = {x["shard"]: x["salts"] for x in to or ()}
+                order = np.argsort(g)
+                i = np.minimum(np.searchsorted(g[order], want), len(g) - 1)
+                same = g[order[i]] == want
                 words = data.split()
-                for s in np.unique(shard).tolist():
-                    own_hits = hit[shard == s]
-                    low = np.maximum(own_hits - (window - phrase), 0)
-                    high = np.minimum(own_hits + window, len(words))
-                    cut = [0, *(np.flatnonzero(low[1:] > high[:-1]) + 1).tolist(), len(low)]
-                    n = salts.get(s, 1)
-                    for x, y in zip(cut, cut[1:], strict=False):
-                        first = int(low[x])
-                        rows.append((s, draw[i] % n, n, d, digest, first, b" ".join(words[first : int(high[y - 1])]).decode(), own_hits[x:y] - first))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_PART)], schema=_PART)
+                names += want[same].tolist()
+                found += [b" ".join(words[p : p + phrase]).decode() for p in order[i[same]].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(found, pa.string())], ["anchor", "phrase"])
 
     return run
 
 
-def _located(found, line: str, n_words: int, window: int, phrase: int) -> np.ndarray:
-    """Starts of the windows that hold an occurrence of some phrase."""
+_PART_SQL = "shard long, salt long, salts long, doc_id long, digest long, offset int, excerpt string, at array<int>"
+_PART = pa.schema([("shard", pa.int64()), ("salt", pa.int64()), ("salts", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("offset", pa.int32()), ("excerpt", pa.string()), ("at", pa.list_(pa.int32()))])
+
+
+def _located(window: int, phrase: int):
+    """A part of the documents and the confirmed phrases that occur somewhere in it: one automaton of the phrases, through which
+    every whole text is streamed. Rows out: for each shard of phrases the stretches of words that windows around their occurrences
+    span, and where in them the phrases are."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found, rows = ahocorasick.Automaton(), []
+        for p, s, n in zip(right["phrase"].to_pylist(), right["shard"].to_pylist(), right["salts"].to_pylist(), strict=True):
+            found.add_word(f" {p} ", (len(p) + 2, s, n))
+        if not len(found) or not len(left):
+            return _PART.empty_table()
+        found.make_automaton()
+        ids, digests = left["doc_id"].to_pylist(), left["digest"].to_pylist()
+        draw = left["doc_id"].to_numpy().view(np.uint64) + mix(left["digest"].to_numpy().view(np.uint64))
+        draw = (mix(draw) >> np.uint64(1)).tolist()
+        for d, digest, text, ticket in zip(ids, digests, left["text"].to_pylist(), draw, strict=True):
+            words = plain_words(text)
+            if len(words) < window:
+                continue
+            line = f" {b' '.join(words).decode()} "
+            hits = [(end - size + 1, s, n) for end, (size, s, n) in found.iter(line)]
+            if not hits:
+                continue
+            place, shard, salts = (np.array(x, np.int64) for x in zip(*hits, strict=True))
+            # a phrase begins with the blank before its first word: the blanks' places number the words
+            start = np.searchsorted(np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), np.uint32) == 32), place)
+            for s in np.unique(shard).tolist():
+                own = np.flatnonzero(shard == s)
+                n, at = int(salts[own[0]]), np.unique(start[own])
+                low = np.maximum(at - (window - phrase), 0)
+                high = np.minimum(at + window, len(words))
+                cut = [0, *(np.flatnonzero(low[1:] > high[:-1]) + 1).tolist(), len(low)]
+                for x, y in zip(cut, cut[1:], strict=False):
+                    first = int(low[x])
+                    rows.append((s, ticket % n, n, d, digest, first, b" ".join(words[first : int(high[y - 1])]).decode(), at[x:y] - first))
+        return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_PART)], schema=_PART)
+
+    return run
+
+
+def _starts(at: list[int], n_words: int, window: int, phrase: int) -> np.ndarray:
+    """Starts of the windows of a stretch that hold a phrase at one of its places."""
     n = n_words - window + 1
-    if n <= 0 or not len(found):
+    if n <= 0 or not at:
         return np.empty(0, np.int64)
-    at = np.array([end - size + 1 for end, size in found.iter(f" {line} ")], np.int64)
-    if not len(at):
-        return at
-    # a phrase begins with the blank before its first word: the blanks' places number the words
-    blanks = np.flatnonzero(np.frombuffer(f" {line}".encode("utf-32-le"), np.uint32) == 32)
-    start = np.searchsorted(blanks, np.unique(at))
+    start = np.array(at, np.int64)
     reach = np.zeros(n + 1, np.int64)
-    np.add.at(reach, np.maximum(start - (window - phrase), 0), 1)
+    np.add.at(reach, np.minimum(np.maximum(start - (window - phrase), 0), n), 1)
     last = start + 1
     np.add.at(reach, last[last <= n], -1)
     return np.flatnonzero(np.cumsum(reach[:n]) > 0)
@@ -117,8 +134,8 @@ _FOUND_SQL = "kind int, doc_id long, digest long, spans array<struct<start:int,e
 
 
 def _stream(window: int, phrase: int, known: bool):
-    """One group of a shard: the automaton of the phrases that its stretches confirm, against all its stretches; with
-    known=True the other side tells the first documents of passages that other groups have.
+    """One group of a shard: the first document of each window around its phrases; with known=True the other side tells the
+    first documents of passages that other groups have.
 
     Rows out: kind 1, words of a document to remove; 2, of a shard in several groups, each passage with this group's first
     document.
@@ -126,17 +143,8 @@ def _stream(window: int, phrase: int, known: bool):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         lines, ids = right["excerpt"].to_pylist(), right["doc_id"].to_numpy()
-        phrases = set()
-        for line, at in zip(lines, right["at"].to_pylist(), strict=True):
-            words = line.split(" ")
-            phrases.update(" ".join(words[p : p + phrase]) for p in at)
-        found = ahocorasick.Automaton()
-        for p in phrases:
-            found.add_word(f" {p} ", len(p) + 2)
-        if phrases:
-            found.make_automaton()
         words = [hash_words(t.encode()) for t in lines]
-        starts = [_located(found, t, len(w), window, phrase) for t, w in zip(lines, words, strict=True)]
+        starts = [_starts(at, len(w), window, phrase) for at, w in zip(right["at"].to_pylist(), words, strict=True)]
         hashes = [grams(w, window)[s] if len(s) else np.empty(0, np.uint64) for w, s in zip(words, starts, strict=True)]
         flat, doc = np.concatenate([*hashes, np.empty(0, np.uint64)]).view(np.int64), np.repeat(ids, [len(s) for s in starts])
         if known:
@@ -166,55 +174,73 @@ def _stream(window: int, phrase: int, known: bool):
     return run
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, spans or null) to finished documents."""
-    for batch in batches:
-        words = [plain_words(t) for t in batch.column(1).to_pylist()]
-        merged, kept = [], []
-        for w, s in zip(words, batch.column(2).to_pylist(), strict=True):
-            cover = np.zeros(len(w), bool)
-            for x in s or ():
-                cover[x["start"] : x["end"]] = True
-            merged.append(_ranges(cover) if s else [])
-            kept.append(b" ".join([x for x, c in zip(w, cover.tolist(), strict=True) if not c] if s else w).decode())
-        cols = [batch.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array(merged, _SPAN), pa.array(kept, pa.string())]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "spans", "text_kept"])
+def _finish(window: int):
+    """Rows (doc_id, text, spans or null, whether an earlier document has the same text) to finished documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [plain_words(t) for t in batch.column(1).to_pylist()]
+            merged, kept = [], []
+            for w, s, copy in zip(words, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                cover = np.zeros(len(w), bool)
+                for x in s or ():
+                    cover[x["start"] : x["end"]] = True
+                if copy and len(w) >= window:
+                    cover[:] = True
+                merged.append(_ranges(cover))
+                kept.append(b" ".join([x for x, c in zip(w, cover.tolist(), strict=True) if not c] if merged[-1] else w).decode())
+            cols = [batch.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array(merged, _SPAN), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "spans", "text_kept"])
+
+    return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_docs: int = SHARD_DOCS, group_docs: int = GROUP_DOCS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, part_docs: int = PART_DOCS, shard_docs: int = SHARD_DOCS, group_links: int = GROUP_LINKS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """Removes words covered by a window of `window` words that also starts in a document with a smaller doc_id.
 
-    1. Of each window its least phrase (by hash) is sampled; a phrase that two documents share is confirmed as recurring.
-    2. Phrases are dealt to shards by the first document that has them; a document's stretches around a shard's phrases go to
-       that shard, and a shard with many documents is cut into groups, by doc_id, so that copies of a text spread too.
-    3. Each group compiles an automaton of its stretches' phrases, streams all stretches through it, and at every occurrence
-       compares whole windows (64-bit hashes of all their words) for the first document that has them.
+    1. Of each window its least phrase (by hash) is sampled; a phrase that two documents share is confirmed as recurring. Of
+       equal texts only the first document takes part: the later ones lose all their words, if they have a window.
+    2. The documents are dealt to parts of about `part_docs`, and each confirmed phrase goes to the parts in which it was sampled. Each
+       part compiles an Aho-Corasick automaton of its phrases and streams all its whole texts through it, which locates every occurrence.
+    3. Phrases belong to shards by the first document that has them. The stretches around occurrences go to the phrases' shards,
+       where whole windows (64-bit hashes of all their words) are compared for the first document that has them; a shard with
+       many links is cut into groups by document.
 
     A window without a confirmed phrase is not repeated, so words outside the stretches stay. Returns a row for each row of
     docs (doc_id, text): doc_id, n_words, spans (removed word ranges, end exclusive), text_kept (kept words joined by one
     blank). Null and empty texts have no words and an empty text_kept; equal doc_ids do not precede each other; repeated
-    rows are all returned; doc_id must be an integer and not null; other columns are ignored.
+    rows are all returned; rows without a doc_id keep their words and take part in nothing; a doc_id must be an integer;
+    other columns are ignored.
     """
-    own_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sampled = saved(own_docs.mapInArrow(_sampled(window, phrase), "anchor long, doc_id long"), "anchors")
-    recurring = sampled.groupBy("anchor").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("other")).where("source < other").drop("other")
-    shards = max(64, docs.count() // shard_docs)
+    own_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest"))
+    first = own_docs.where("doc_id is not null and text is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
+    first = saved(first, "texts")
+    n_texts = first.count()
+    told = lambda t, n: F.broadcast(t) if n <= broadcast_keys else t
+    once = own_docs.join(told(first.drop("rows"), n_texts), "digest").where("doc_id = first").select("doc_id", "digest", "text")
+    repeated = own_docs.groupBy("digest", "doc_id").agg(F.count("*").alias("n")).where("n > 1").select("digest").distinct()
+    repeated = saved(repeated, "repeated")
+    n_repeated = repeated.count()
+    if n_repeated:
+        more = once.join(told(repeated, n_repeated), "digest", "left_semi").dropDuplicates(["digest"])
+        once = once.join(told(repeated, n_repeated), "digest", "left_anti").unionByName(more)
+    sampled = saved(once.select("doc_id", "text").mapInArrow(_sampled(window, phrase), "anchor long, doc_id long"), "anchors")
+    recurring = sampled.groupBy("anchor").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("other"), F.count("*").alias("n")).where("source < other")
+    shards = max(64, n_texts // shard_docs)
+    recurring = saved(recurring.select("anchor", "source", "n", F.pmod(F.xxhash64("source"), F.lit(shards)).alias("shard")), "recurring")
+    load = recurring.groupBy("shard").agg(F.ceil(F.sum("n") / group_links).alias("salts"))
+    wanted = recurring.groupBy("source").agg(F.collect_list("anchor").alias("anchors")).withColumnRenamed("source", "doc_id")
+    worded = once.join(wanted, "doc_id").select("text", "anchors").mapInArrow(_worded(phrase), "anchor long, phrase string").dropDuplicates(["anchor"])
+    worded = worded.join(recurring, "anchor").join(F.broadcast(load) if shards <= broadcast_keys else load, "shard")
     # a key of its own on this side: both sides are dealt anew, and a hot phrase can be split between tasks
-    recurring = recurring.select((F.col("anchor") + 0).alias("anchor"), "source")
-    links = sampled.join(recurring, "anchor").select("doc_id", F.struct("anchor", F.pmod(F.xxhash64("source"), F.lit(shards)).alias("shard")).alias("link"))
-    routes = saved(links.groupBy("doc_id").agg(F.collect_set("link").alias("links"), F.ceil(F.count("*") / F.size(F.collect_set("link"))).alias("rows")), "routes")
-    drop(sampled)
-    to = routes.select("doc_id", "rows", F.explode(F.array_distinct("links.shard")).alias("shard"))
-    load = to.groupBy("shard").agg(F.ceil(F.sum("rows") / group_docs).alias("salts")).where("salts > 1")
-    wide = to.join(load, "shard").groupBy("doc_id").agg(F.collect_list(F.struct("shard", "salts")).alias("wide"))
-
-    def only(keys: DataFrame, n: int, how: str) -> DataFrame:
-        return own_docs.join(F.broadcast(keys) if n <= broadcast_keys else keys, "doc_id", how)
-
-    keys = routes.select("doc_id")
-    few = only(keys, routes.count(), "left_semi").select("doc_id", F.xxhash64("text").alias("digest"), "text")
-    few = few.join(routes.drop("rows").join(wide, "doc_id", "left"), "doc_id").select("doc_id", "digest", "text", "links", "wide")
-    parts = saved(few.mapInArrow(_parts(window, phrase), _PART_SQL), "parts")
+    worded = saved(worded.select((F.col("anchor") + 0).alias("anchor"), "phrase", "shard", "salts"), "phrases")
+    parts = max(8, n_texts // part_docs)
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part")
+    there = sampled.join(worded, "anchor").select(part, "phrase", "shard", "salts")
+    texts = once.select(part, "doc_id", "digest", "text")
+    stretches = texts.groupBy("part").cogroup(there.groupBy("part")).applyInArrow(_located(window, phrase), _PART_SQL)
+    stretches = saved(stretches, "parts")
+    drop(sampled, recurring, worded)
 
     def streamed(documents: DataFrame, told: DataFrame | None) -> DataFrame:
         known = told is not None
@@ -222,21 +248,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
         told = (told if known else blank).select(*[F.col(c).alias(c) for c in ("shard", "salt", "passage", "first")])
         return told.groupBy("shard", "salt").cogroup(documents.groupBy("shard", "salt")).applyInArrow(_stream(window, phrase, known), _FOUND_SQL)
 
-    first = saved(streamed(parts, None), "passages")
+    seen = saved(streamed(stretches, None), "passages")
     # a shard that was cut into groups: the first document of each passage over all of them goes back to where it matters
-    told = first.where("kind = 2").select("shard", "salt", "passage", "first")
-    overall = told.groupBy("shard", "passage").agg(F.min("first").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    back = told.join(overall, ["shard", "passage"]).where("least < first").select("shard", "salt", "passage", F.col("least").alias("first"))
-    second = streamed(parts.where("salts > 1"), back)
-    spans = first.where("kind = 1").unionByName(second.where("kind = 1")).groupBy("doc_id", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    spans = saved(spans, "spans")
-    drop(routes, parts, first)
-    marked = spans.select("doc_id").distinct()
-    n = spans.count()
-    changed = only(marked, n, "left_semi").withColumn("digest", F.xxhash64("text")).join(spans, ["doc_id", "digest"], "left")
-    plain = only(marked, n, "left_anti").select("doc_id", "text", F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"))
-    schema = "doc_id long, n_words long, spans array<struct<start:int,end:int>>, text_kept string"
-    return changed.select("doc_id", "text", "spans").mapInArrow(_finish, schema).unionByName(plain.mapInArrow(_finish, schema))
+    passages = seen.where("kind = 2").select("shard", "salt", "passage", "first")
+    overall = passages.groupBy("shard", "passage").agg(F.min("first").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    back = passages.join(overall, ["shard", "passage"]).where("least < first").select("shard", "salt", "passage", F.col("least").alias("first"))
+    second = streamed(stretches.where("salts > 1"), back)
+    spans = seen.where("kind = 1").unionByName(second.where("kind = 1")).groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    # what is known of each text that is not kept as it is
+    marked = first.where("rows > 1").select("digest", "first").join(spans, "digest", "full_outer")
+    marked = saved(marked, "spans")
+    drop(stretches, seen, repeated)
+    n = marked.count()
+    whole = own_docs.join(told(marked, n), "digest", "left")
+    whole = whole.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.col("spans")).alias("spans"), F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("copy"))
+    return whole.mapInArrow(_finish(window), "doc_id long, n_words long, spans array<struct<start:int,end:int>>, text_kept string")
 
 
 def op9_aho_corasick(spark, sf_dir: str) -> DataFrame:
