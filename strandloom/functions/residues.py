@@ -47,3 +47,38 @@ FORMULAS = {
     "A": (3, 7, 1, 2, 0), "C": (3, 7, 1, 2, 1), "D": (4, 7, 1, 4, 0), "E": (5, 9, 1, 4, 0), "F": (9, 11, 1, 2, 0), "G": (2, 5, 1, 2, 0), "H": (6, 9, 3, 2, 0), "I": (6, 13, 1, 2, 0), "K": (6, 14, 2, 2, 0), "L": (6, 13, 1, 2, 0),
     "M": (5, 11, 1, 2, 1), "N": (4, 8, 2, 3, 0), "P": (5, 9, 1, 2, 0), "Q": (5, 10, 2, 3, 0), "R": (6, 14, 4, 2, 0), "S": (3, 7, 1, 3, 0), "T": (4, 9, 1, 3, 0), "V": (5, 11, 1, 2, 0), "W": (11, 12, 2, 2, 0), "Y": (9, 11, 1, 3, 0),
 }
+#: Coding preference of bases: how unevenly a base is spread over the three codon places, and its share. Each base has the
+#: probabilities for the steps from the largest down, and a weight.
+CODING_POSITION = {
+    "steps": [1.9, 1.8, 1.7, 1.6, 1.5, 1.4, 1.3, 1.2, 1.1, 0.0],
+    "table": {
+        "A": ((0.94, 0.68, 0.84, 0.93, 0.58, 0.68, 0.45, 0.34, 0.20, 0.22), 0.26),
+        "C": ((0.80, 0.70, 0.70, 0.81, 0.66, 0.48, 0.51, 0.33, 0.30, 0.23), 0.18),
+        "G": ((0.90, 0.88, 0.74, 0.64, 0.53, 0.48, 0.27, 0.16, 0.08, 0.08), 0.31),
+        "T": ((0.97, 0.97, 0.91, 0.68, 0.69, 0.44, 0.54, 0.20, 0.09, 0.09), 0.33),
+    },
+}
+CODING_CONTENT = {
+    "steps": [0.33, 0.31, 0.29, 0.27, 0.25, 0.23, 0.21, 0.17, 0.0],
+    "table": {
+        "A": ((0.28, 0.49, 0.44, 0.55, 0.62, 0.49, 0.67, 0.65, 0.81), 0.11),
+        "C": ((0.82, 0.64, 0.51, 0.64, 0.59, 0.59, 0.43, 0.44, 0.39), 0.12),
+        "G": ((0.40, 0.54, 0.47, 0.64, 0.64, 0.73, 0.41, 0.41, 0.33), 0.15),
+        "T": ((0.28, 0.24, 0.39, 0.40, 0.55, 0.75, 0.56, 0.69, 0.51), 0.14),
+    },
+}
+#: Hydrophobicity, hydrophilicity and side-chain mass of each residue.
+SIDE_CHAINS = {
+    "A": (0.62, -0.5, 15.0), "C": (0.29, -1.0, 47.0), "D": (-0.90, 3.0, 59.0), "E": (-0.74, 3.0, 73.0), "F": (1.19, -2.5, 91.0), "G": (0.48, 0.0, 1.0), "H": (-0.40, -0.5, 82.0), "I": (1.38, -1.8, 57.0), "K": (-1.50, 3.0, 73.0), "L": (1.06, -1.8, 57.0),
+    "M": (0.64, -1.3, 75.0), "N": (-0.78, 0.2, 58.0), "P": (0.12, 0.0, 42.0), "Q": (-0.85, 0.2, 72.0), "R": (-2.53, 3.0, 101.0), "S": (-0.18, 0.3, 31.0), "T": (-0.05, -0.4, 45.0), "V": (1.08, -1.5, 43.0), "W": (0.81, -3.4, 130.0), "Y": (0.26, -2.3, 107.0),
+}
+
+
+def standardised(table: dict[str, tuple[float, ...]]) -> dict[str, tuple[float, ...]]:
+    """Each property less its mean over the residues, by its population deviation."""
+    columns = []
+    for values in zip(*table.values(), strict=True):
+        mean = sum(values) / len(values)
+        deviation = (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5
+        columns.append([(v - mean) / deviation for v in values])
+    return dict(zip(table, zip(*columns, strict=True), strict=True))

@@ -41,6 +41,22 @@ def windows(s: DataFrame, k: int, step: int = 1, gap: int = 0, skip: str = "") -
     return s.withColumn("chars", chars).select("seq_id", "label", F.explode(found).alias("kmer"))
 
 
+def bound(s: DataFrame, *keep: str, **columns: Column) -> DataFrame:
+    """The columns `keep`, and new ones that are worked out once for a row, however often later steps use them: a generator stands
+    between, through which nothing is inlined."""
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return s.select(*keep, F.explode(F.array(row)).alias("x")).select(*keep, *[f"x.{name}" for name in columns])
+
+
+def stretches(s: DataFrame, width: int, step: int, whole: bool = False) -> DataFrame:
+    """(seq_id, label, start, kmer): windows of `width` characters that begin every `step`; the last ones are as short as what is
+    left, or left out with whole=True."""
+    last = F.length("seq") - (width if whole else 1)
+    cut = lambda i: F.struct(i.alias("start"), F.array_join(F.slice("chars", i + 1, width), "").alias("kmer"))
+    rows = s.where(last >= 0).withColumn("chars", F.split("seq", ""))
+    return rows.select("seq_id", "label", F.explode(F.transform(F.sequence(F.lit(0), last, F.lit(step)), cut)).alias("x")).select("seq_id", "label", "x.start", "x.kmer")
+
+
 def kmer_counts(s: DataFrame, k: int, **how) -> DataFrame:
     """(seq_id, kmer, cnt); counted where the windows are made before anything is shuffled."""
     return windows(s, k, **how).groupBy("seq_id", "kmer").agg(F.count("*").alias("cnt"))
@@ -51,9 +67,17 @@ def shares(counts: DataFrame, *by: str) -> DataFrame:
     return counts.withColumn("freq", F.col("cnt") / F.sum("cnt").over(Window.partitionBy("seq_id", *by)))
 
 
+def kmer_shares(s: DataFrame, k: int, step: int = 1, gap: int = 0, skip: str = "") -> DataFrame:
+    """(seq_id, kmer, cnt, freq): the number of windows follows from the length, so one shuffle does."""
+    chars, found = window_array(k, step, gap, skip)
+    rows = bound(s.withColumn("chars", chars), "seq_id", total=F.ceil((F.length("seq") - (k + gap - 1)) / step), found=found)
+    rows = rows.select("seq_id", "total", F.explode("found").alias("kmer"))
+    return rows.groupBy("seq_id", "total", "kmer").agg(F.count("*").alias("cnt")).select("seq_id", "kmer", "cnt", (F.col("cnt") / F.col("total")).alias("freq"))
+
+
 def composition(s: DataFrame, k: int, **how) -> DataFrame:
     """(seq_id, kmer, freq): counts over the number of windows."""
-    return shares(kmer_counts(s, k, **how)).select("seq_id", "kmer", F.round("freq", 6).alias("freq"))
+    return kmer_shares(s, k, **how).select("seq_id", "kmer", F.round("freq", 9).alias("freq"))
 
 
 def upto(s: DataFrame, k: int, each=kmer_counts) -> DataFrame:
@@ -78,7 +102,7 @@ def shannon(s: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     """(seq_id, k, entropy) in bits; null where it is zero; sequences shorter than k have no row."""
     out = None
     for k in ks:
-        p = shares(kmer_counts(s, k))
+        p = kmer_shares(s, k)
         h = F.round(-F.sum(F.col("freq") * F.log2("freq")), 6)
         one = p.groupBy("seq_id").agg(h.alias("h")).select("seq_id", F.lit(k).alias("k"), F.when(F.abs("h") > 0, F.col("h")).alias("entropy"))
         out = one if out is None else out.unionByName(one)
@@ -89,7 +113,7 @@ def tsallis(s: DataFrame, ks: tuple[int, ...], q: float) -> DataFrame:
     """(seq_id, k, entropy): (1 - sum p^q) / (q - 1); null where it is zero."""
     out = None
     for k in ks:
-        p = shares(kmer_counts(s, k))
+        p = kmer_shares(s, k)
         h = F.round((1 - F.sum(F.pow("freq", F.lit(q)))) / (q - 1), 6)
         one = p.groupBy("seq_id").agg(h.alias("h")).select("seq_id", F.lit(k).alias("k"), F.when(F.abs("h") > 0, F.col("h")).alias("entropy"))
         out = one if out is None else out.unionByName(one)
@@ -97,20 +121,31 @@ def tsallis(s: DataFrame, ks: tuple[int, ...], q: float) -> DataFrame:
 
 
 def dipeptide_deviation(s: DataFrame) -> DataFrame:
-    """(seq_id, kmer, dde): deviation of dipeptide shares from what codon counts lead to expect, for those that occur."""
+    """(seq_id, kmer, dde): deviation of all 400 dipeptides' shares from what codon counts lead to expect; an absent one has a share
+    of 0. Sequences of fewer than two residues have no rows."""
     codons = F.create_map(*[F.lit(x) for a, n in CODONS.items() for x in (a, n)])
-    f = shares(kmer_counts(s, 2)).join(s.select("seq_id", F.length("seq").alias("n")), "seq_id")
+    grid = s.where(F.length("seq") >= 2).select("seq_id", F.length("seq").alias("n"), F.explode(F.array(*[F.lit(a + b) for a in CODONS for b in CODONS])).alias("kmer"))
+    f = grid.join(kmer_shares(s, 2), ["seq_id", "kmer"], "left").withColumn("freq", F.coalesce("freq", F.lit(0.0)))
     tm = codons[F.substring("kmer", 1, 1)] / 61.0 * codons[F.substring("kmer", 2, 1)] / 61.0
     return f.select("seq_id", "kmer", F.round((F.col("freq") - tm) / F.sqrt(tm * (1 - tm) / (F.col("n") - 1)), 6).alias("dde"))
 
 
 def spaced_pairs(s: DataFrame, gaps: range) -> DataFrame:
     """(seq_id, gap, pair, freq) of residues with `gap` others between them."""
-    out = None
-    for g in gaps:
-        one = shares(kmer_counts(s, 2, gap=g)).select("seq_id", F.lit(g).alias("gap"), F.col("kmer").alias("pair"), F.round("freq", 6).alias("freq"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return pair_counts(s, gaps).select("seq_id", "gap", "pair", F.round(F.col("cnt") / F.col("total"), 9).alias("freq"))
+
+
+def pair_counts(s: DataFrame, gaps: range) -> DataFrame:
+    """(seq_id, gap, total, pair, cnt) of residues with `gap` others between them; all gaps come out of one scan."""
+    rows = bound(s, "seq_id", chars=F.split("seq", ""), n=F.length("seq"))
+
+    def pairs(g: int) -> Column:
+        m = F.col("n") - 1 - g
+        both = F.zip_with(F.slice("chars", F.lit(1), m), F.slice("chars", F.lit(g + 2), m), lambda a, b: F.struct(F.lit(g).alias("gap"), m.alias("total"), F.concat(a, b).alias("pair")))
+        return F.when(m > 0, both).otherwise(F.array().cast("array<struct<gap:int,total:int,pair:string>>"))
+
+    rows = rows.select("seq_id", F.explode(F.concat(*map(pairs, gaps))).alias("x"))
+    return rows.groupBy("seq_id", "x.gap", "x.total", "x.pair").agg(F.count("*").alias("cnt"))
 
 
 def triad_scores(s: DataFrame) -> DataFrame:
@@ -118,4 +153,4 @@ def triad_scores(s: DataFrame) -> DataFrame:
     c = kmer_counts(grouped(s, SEVEN_GROUPS), 3)
     w = Window.partitionBy("seq_id")
     least = F.when(F.count("*").over(w) == 343, F.min("cnt").over(w)).otherwise(F.lit(0))
-    return c.select("seq_id", "kmer", F.round((F.col("cnt") - least) / F.max("cnt").over(w), 6).alias("score"))
+    return c.select("seq_id", "kmer", F.round((F.col("cnt") - least) / F.max("cnt").over(w), 9).alias("score"))

@@ -10,11 +10,9 @@ from strandloom.functions.residues import DINUCLEOTIDES, EISENBERG, FORMULAS
 from strandloom.operators import correlations as C
 from strandloom.operators import neighbours as N
 from strandloom.operators import peptides as P
-from strandloom.operators.features import feature_table
 from strandloom.operators.sequences import read, sequence_table
 from strandloom.plans.property_queries import _n
 from strandloom.plans.sequence_queries import DNA, PROTEIN
-from strandloom.plans.table_queries import LONG
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -41,7 +39,7 @@ SQL["parallel_factors"] = f"WITH {_VALUES.format(4)}, {_THETA.format(3)} SELECT
 Q["pse_dnc"] = lambda spark, d: C.pseudo_composition(_dna(spark, d), DINUCLEOTIDES, 2, 3, 0.05)
 SQL["pse_dnc"] = (
     f"WITH {_VALUES.format(4)}, {_THETA.format(3)}, z AS (SELECT seq_id, 1 + 0.05::double * sum(theta) AS z FROM t GROUP BY seq_id), "
-    "c AS (SELECT seq_id, d, count(*) AS c FROM w GROUP BY seq_id, d), f AS (SELECT seq_id, d AS feature, round(c / (sum(c) OVER (PARTITION BY seq_id))::double, 6) AS value FROM c "
+    "c AS (SELECT seq_id, d, count(*) AS c FROM w GROUP BY seq_id, d), f AS (SELECT seq_id, d AS feature, round(c / (sum(c) OVER (PARTITION BY seq_id))::double, 9) AS value FROM c "
     "UNION ALL SELECT seq_id, 'theta' || lag::varchar, 0.05::double * theta FROM t) SELECT seq_id, feature, round(value / z, 5) AS value FROM f JOIN z USING (seq_id)"
 )
 Q["dac"] = lambda spark, d: C.autocovariance(_dna(spark, d), DINUCLEOTIDES, 2, 2)
@@ -85,6 +83,4 @@ SQL["knn_label_profile"] = (
     "WITH p AS (SELECT a.vec_id AS id, b.vec_id AS other, b.label, round(list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::double - b.embedding[i]::double) * (a.embedding[i]::double - b.embedding[i]::double))), 9) AS d "
     "FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS k FROM p) SELECT id, label, count(*)::bigint AS n FROM r WHERE k <= 10 GROUP BY id, label"
 )
-Q["feature_means"] = lambda spark, d: feature_table(spark, d, 8).groupBy("label", "feature").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("std"))
-SQL["feature_means"] = f"WITH {LONG} SELECT label, feature, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM x GROUP BY label, feature"
 Q["smote"] = lambda spark, d: N.smote(read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v")), 5, 63)

@@ -25,7 +25,7 @@ def _counts(cte: str, source: str, k: int, **kw) -> str:
 
 
 def _composition(cte: str, source: str, k: int, name: str = "kmer", **kw) -> str:
-    return f"{_counts(cte, source, k, **kw)} SELECT seq_id, kmer AS {name}, round(cnt / (sum(cnt) OVER (PARTITION BY seq_id))::double, 6) AS freq FROM c"
+    return f"{_counts(cte, source, k, **kw)} SELECT seq_id, kmer AS {name}, round(cnt / (sum(cnt) OVER (PARTITION BY seq_id))::double, 9) AS freq FROM c"
 
 
 def _grouped(groups: dict[str, str]) -> str:
@@ -200,8 +200,8 @@ def _(spark, d):
 
 Q["kmer_counts"] = lambda spark, d: K.kmer_counts(_dna(spark, d), 3)
 SQL["kmer_counts"] = f"{_counts(DNA, 'dna', 3)} SELECT * FROM c"
-Q["kmer_normalize"] = lambda spark, d: K.shares(K.kmer_counts(_dna(spark, d), 2)).select("seq_id", "kmer", "cnt", F.round("freq", 6).alias("freq"))
-SQL["kmer_normalize"] = f"{_counts(DNA, 'dna', 2)} SELECT seq_id, kmer, cnt, round(cnt / (sum(cnt) OVER (PARTITION BY seq_id))::double, 6) AS freq FROM c"
+Q["kmer_normalize"] = lambda spark, d: K.shares(K.kmer_counts(_dna(spark, d), 2)).select("seq_id", "kmer", "cnt", F.round("freq", 9).alias("freq"))
+SQL["kmer_normalize"] = f"{_counts(DNA, 'dna', 2)} SELECT seq_id, kmer, cnt, round(cnt / (sum(cnt) OVER (PARTITION BY seq_id))::double, 9) AS freq FROM c"
 for _name, _k in (("nac", 1), ("dnc", 2), ("tnc", 3)):
     Q[_name] = lambda spark, d, k=_k: K.composition(_dna(spark, d), k)
     SQL[_name] = _composition(DNA, "dna", _k)
@@ -214,39 +214,39 @@ for _name, _k in (("gaac", 1), ("gdpc", 2), ("gtpc", 3)):
 for _name, _aft in (("kgap_di", 2), ("kgap_tri", 3)):
     Q[_name] = lambda spark, d, k=_aft: K.composition(_dna(spark, d), k + 1, gap=1, skip="_")
     SQL[_name] = _composition(DNA, "dna", _aft, pattern=f"substr(seq, i, 1) || '_' || substr(seq, i + 2, {_aft})", width=_aft + 2)
-Q["kmer_upto"] = lambda spark, d: K.shares(K.upto(_dna(spark, d), 3), "k").select("seq_id", "k", "kmer", F.round("freq", 6).alias("freq"))
-SQL["kmer_upto"] = _upto(DNA, "dna", (1, 2, 3), "SELECT seq_id, {k} AS k, kmer, round(cnt / (sum(cnt) OVER (PARTITION BY seq_id))::double, 6) AS freq FROM c")
+Q["kmer_upto"] = lambda spark, d: K.shares(K.upto(_dna(spark, d), 3), "k").select("seq_id", "k", "kmer", F.round("freq", 9).alias("freq"))
+SQL["kmer_upto"] = _upto(DNA, "dna", (1, 2, 3), "SELECT seq_id, {k} AS k, kmer, round(cnt / (sum(cnt) OVER (PARTITION BY seq_id))::double, 9) AS freq FROM c")
 _RC = "least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA')))"
 Q["canonical_kmers"] = lambda spark, d: K.canonical_counts(_dna(spark, d), 3)
 SQL["canonical_kmers"] = f"WITH {DNA}, {_windows('dna', 3)} SELECT seq_id, {_RC} AS kmer, count(*)::bigint AS cnt FROM w GROUP BY seq_id, {_RC}"
-Q["revc_kmer"] = lambda spark, d: K.shares(K.upto(_dna(spark, d), 3, K.canonical_counts), "k").select("seq_id", "k", "kmer", F.round("freq", 6).alias("freq"))
-SQL["revc_kmer"] = _upto(DNA, "dna", (1, 2, 3), f"SELECT seq_id, {{k}} AS k, rc AS kmer, round(n / (sum(n) OVER (PARTITION BY seq_id))::double, 6) AS freq FROM (SELECT seq_id, {_RC} AS rc, sum(cnt) AS n FROM c GROUP BY seq_id, {_RC})")
+Q["revc_kmer"] = lambda spark, d: K.shares(K.upto(_dna(spark, d), 3, K.canonical_counts), "k").select("seq_id", "k", "kmer", F.round("freq", 9).alias("freq"))
+SQL["revc_kmer"] = _upto(DNA, "dna", (1, 2, 3), f"SELECT seq_id, {{k}} AS k, rc AS kmer, round(n / (sum(n) OVER (PARTITION BY seq_id))::double, 9) AS freq FROM (SELECT seq_id, {_RC} AS rc, sum(cnt) AS n FROM c GROUP BY seq_id, {_RC})")
 Q["corpus_ngrams"] = lambda spark, d: K.windows(_dna(spark, d), 4).groupBy("kmer").agg(F.count("*").alias("cnt"))
 SQL["corpus_ngrams"] = f"WITH {DNA}, {_windows('dna', 4)} SELECT kmer, count(*)::bigint AS cnt FROM w GROUP BY kmer"
-Q["shannon_entropy"] = lambda spark, d: K.shannon(_dna(spark, d), (1, 2, 3))
+Q["shannon_entropy"] = lambda spark, d: K.shannon(_dna(spark, d), (1, 2, 3, 4, 5))
 _H = "SELECT seq_id, {k} AS k, CASE WHEN abs(h) > 0 THEN h END AS entropy FROM (SELECT seq_id, round({h}, 6) AS h FROM (SELECT seq_id, cnt / (sum(cnt) OVER (PARTITION BY seq_id))::double AS p FROM c) GROUP BY seq_id)"
-SQL["shannon_entropy"] = _upto(DNA, "dna", (1, 2, 3), _H.replace("{h}", "-sum(p * log2(p))"))
-Q["tsallis_entropy"] = lambda spark, d: K.tsallis(_dna(spark, d), (1, 2, 3), 2.3)
-SQL["tsallis_entropy"] = _upto(DNA, "dna", (1, 2, 3), _H.replace("{h}", "(1 - sum(pow(p, 2.3::double))) / 1.3::double"))
-Q["stepped_windows"] = lambda spark, d: K.windows(_dna(spark, d), 30, step=30).groupBy("seq_id", F.col("kmer").alias("word")).agg(F.count("*").alias("cnt"))
-SQL["stepped_windows"] = f"WITH {DNA}, {_windows('dna', 30, step=30)} SELECT seq_id, kmer AS word, count(*)::bigint AS cnt FROM w GROUP BY ALL"
-Q["cksaap"] = lambda spark, d: K.spaced_pairs(_protein(spark, d), range(0, 3))
+SQL["shannon_entropy"] = _upto(DNA, "dna", (1, 2, 3, 4, 5), _H.replace("{h}", "-sum(p * log2(p))"))
+Q["tsallis_entropy"] = lambda spark, d: K.tsallis(_dna(spark, d), (1, 2, 3, 4, 5), 2.3)
+SQL["tsallis_entropy"] = _upto(DNA, "dna", (1, 2, 3, 4, 5), _H.replace("{h}", "(1 - sum(pow(p, 2.3::double))) / 1.3::double"))
+Q["stepped_windows"] = lambda spark, d: K.stretches(_dna(spark, d), 30, 30).groupBy("seq_id", F.col("kmer").alias("word")).agg(F.count("*").alias("cnt"))
+SQL["stepped_windows"] = f"WITH {DNA}, w AS (SELECT seq_id, substr(seq, i, 30) AS kmer FROM (SELECT *, unnest(range(1, length(seq) + 1, 30)) AS i FROM dna)) SELECT seq_id, kmer AS word, count(*)::bigint AS cnt FROM w GROUP BY ALL"
+Q["cksaap"] = lambda spark, d: K.spaced_pairs(_protein(spark, d), range(0, 6))
 SQL["cksaap"] = " UNION ALL ".join(
-    f"SELECT * FROM ({_counts(PROTEIN, 'protein', 2, pattern=f'substr(seq, i, 1) || substr(seq, i + {g + 1}, 1)', width=g + 2)} SELECT seq_id, {g} AS gap, kmer AS pair, round(cnt / (sum(cnt) OVER (PARTITION BY seq_id))::double, 6) AS freq FROM c)" for g in range(3)
+    f"SELECT * FROM ({_counts(PROTEIN, 'protein', 2, pattern=f'substr(seq, i, 1) || substr(seq, i + {g + 1}, 1)', width=g + 2)} SELECT seq_id, {g} AS gap, kmer AS pair, round(cnt / (sum(cnt) OVER (PARTITION BY seq_id))::double, 9) AS freq FROM c)" for g in range(6)
 )
 Q["cksaagp"] = lambda spark, d: K.spaced_pairs(K.grouped(_protein(spark, d), K.FIVE_GROUPS), range(0, 6))
 SQL["cksaagp"] = " UNION ALL ".join(
-    f"SELECT * FROM ({_counts(_grouped(K.FIVE_GROUPS), 'g', 2, pattern=f'substr(seq, i, 1) || substr(seq, i + {g + 1}, 1)', width=g + 2)} SELECT seq_id, {g} AS gap, kmer AS pair, round(cnt / (sum(cnt) OVER (PARTITION BY seq_id))::double, 6) AS freq FROM c)" for g in range(6)
+    f"SELECT * FROM ({_counts(_grouped(K.FIVE_GROUPS), 'g', 2, pattern=f'substr(seq, i, 1) || substr(seq, i + {g + 1}, 1)', width=g + 2)} SELECT seq_id, {g} AS gap, kmer AS pair, round(cnt / (sum(cnt) OVER (PARTITION BY seq_id))::double, 9) AS freq FROM c)" for g in range(6)
 )
 Q["dde"] = lambda spark, d: K.dipeptide_deviation(_protein(spark, d))
 _CODON = "CASE {0} " + " ".join(f"WHEN '{a}' THEN {n}" for a, n in K.CODONS.items()) + " END"
 SQL["dde"] = (
-    f"{_counts(PROTEIN, 'protein', 2)}, f AS (SELECT c.seq_id, kmer, cnt / (sum(cnt) OVER (PARTITION BY c.seq_id))::double AS p, length(seq) AS n, "
-    f"({_CODON.format('substr(kmer, 1, 1)')})::double / 61 * ({_CODON.format('substr(kmer, 2, 1)')}) / 61 AS tm FROM c JOIN protein USING (seq_id)) "
+    f"{_counts(PROTEIN, 'protein', 2)}, a AS (SELECT unnest(string_split('{AMINO_ACIDS}', '')) AS a), g AS (SELECT seq_id, length(seq) AS n, x.a || y.a AS kmer, "
+    f"({_CODON.format('x.a')})::double / 61 * ({_CODON.format('y.a')}) / 61 AS tm FROM protein, a x, a y WHERE length(seq) >= 2), f AS (SELECT seq_id, kmer, n, tm, coalesce(cnt, 0) / (n - 1)::double AS p FROM g LEFT JOIN c USING (seq_id, kmer)) "
     "SELECT seq_id, kmer, round((p - tm) / sqrt(tm * (1 - tm) / (n - 1)), 6) AS dde FROM f"
 )
 Q["ctriad"] = lambda spark, d: K.triad_scores(_protein(spark, d))
-SQL["ctriad"] = f"{_counts(_grouped(K.SEVEN_GROUPS), 'g', 3)} SELECT seq_id, kmer, round((cnt - CASE WHEN count(*) OVER s = 343 THEN min(cnt) OVER s ELSE 0 END) / (max(cnt) OVER s)::double, 6) AS score FROM c WINDOW s AS (PARTITION BY seq_id)"
+SQL["ctriad"] = f"{_counts(_grouped(K.SEVEN_GROUPS), 'g', 3)} SELECT seq_id, kmer, round((cnt - CASE WHEN count(*) OVER s = 343 THEN min(cnt) OVER s ELSE 0 END) / (max(cnt) OVER s)::double, 9) AS score FROM c WINDOW s AS (PARTITION BY seq_id)"
 
 
 @query("avg_composition", f"{_counts(DNA, 'dna', 1)}, f AS (SELECT seq_id, kmer, cnt / (sum(cnt) OVER (PARTITION BY seq_id))::double AS p FROM c) SELECT kmer AS residue, round(sum(p) / (SELECT count(DISTINCT seq_id) FROM f), 6) AS freq FROM f GROUP BY kmer")
