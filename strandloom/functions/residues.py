@@ -21,6 +21,13 @@ EISENBERG = {
 }
 #: Three groups of residues for each property.
 PROPERTY_GROUPS = {
+    "hydrophobicity_PRAM900101": ("RKEDQN", "GASTPHY", "CLVIMFW"),
+    "hydrophobicity_ARGP820101": ("QSTNGDE", "RAHCKMV", "LYPFIW"),
+    "hydrophobicity_ZIMJ680101": ("QNGSWTDERA", "HMCKV", "LPFYI"),
+    "hydrophobicity_PONP930101": ("KPDESNQT", "GRHA", "YMFWLCVI"),
+    "hydrophobicity_CASG920101": ("KDEQPSRNTG", "AHYMLV", "FIWC"),
+    "hydrophobicity_ENGD860101": ("RDKENQHYP", "SGTAW", "CVLIMF"),
+    "hydrophobicity_FASG890101": ("KERSQD", "NTPG", "AYHWVMFLIC"),
     "normwaalsvolume": ("GASTPDC", "NVEQIL", "MHKFRYW"),
     "polarity": ("LIFWCMVY", "PATGS", "HQRKNED"),
     "polarizability": ("GASDT", "CPNVEQIL", "KMHFRYW"),

@@ -66,3 +66,33 @@ def regression(p: DataFrame) -> DataFrame:
     e = F.col("real") - F.col("pred")
     mse = F.avg(e * e)
     return p.agg(F.round(F.avg(F.abs(e)), 6).alias("mae"), F.round(mse, 6).alias("mse"), F.round(F.sqrt(mse), 6).alias("rmse"), F.round(1 - F.sum(e * e) / (F.var_pop("real") * F.count("*")), 6).alias("r2"))
+
+
+def class_rates(p: DataFrame) -> DataFrame:
+    """(cls, sensitivity, specificity, support) of each class against all others; null where a class has no rows to judge by."""
+    n = p.agg(F.count("*").alias("n"))
+    c = per_class(p).join(F.broadcast(n))
+    negatives = F.col("n") - F.col("support")
+    true_negatives = negatives - (F.col("predicted") - F.col("tp"))
+    return c.select("cls", F.round(F.try_divide("tp", "support"), 6).alias("sensitivity"), F.round(F.try_divide(true_negatives, negatives), 6).alias("specificity"), "support")
+
+
+def report_averages(p: DataFrame) -> DataFrame:
+    """(average, precision, recall, f1): the classes' plain mean, their mean weighted by support, and all rows' counts together."""
+    zero = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    precision, recall = zero("tp", "predicted"), zero("tp", "support")
+    c = per_class(p).select("tp", "support", "predicted", precision.alias("precision"), recall.alias("recall"), zero(2 * precision * recall, precision + recall).alias("f1"))
+    three = ("precision", "recall", "f1")
+    macro = [F.round(F.avg(x), 6).alias(x) for x in three]
+    weighted = [F.round(F.sum(F.col(x) * F.col("support")) / F.sum("support"), 6).alias(x) for x in three]
+    micro = [F.round(F.sum("tp") / F.sum("support"), 6).alias(x) for x in three]
+    row = lambda name, values: F.struct(F.lit(name).alias("average"), *values)
+    return c.agg(F.array(row("macro", macro), row("weighted", weighted), row("micro", micro)).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+def regression_by(p: DataFrame, fold: str) -> DataFrame:
+    """(fold, mae, mse, rmse, r2) of (real, pred) in each fold."""
+    e = F.col("real") - F.col("pred")
+    mse = F.avg(e * e)
+    r2 = 1 - F.sum(e * e) / (F.var_pop("real") * F.count("*"))
+    return p.groupBy(fold).agg(F.round(F.avg(F.abs(e)), 6).alias("mae"), F.round(mse, 6).alias("mse"), F.round(F.sqrt(mse), 6).alias("rmse"), F.round(r2, 6).alias("r2"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.residues import AMIDE_CTERM_PK, ENERGIES, FORMULAS, NEGATIVE_PK, POSITIVE_PK, WEIGHTS
+from strandloom.operators.kmers import bound
 
 WATER = 18.015
 AMIDE_LOSS = 0.98
@@ -69,31 +70,48 @@ def classed(s: DataFrame, groups: tuple[str, ...]) -> DataFrame:
     return s.withColumn("seq", F.translate("seq", "".join(groups), "".join(str(i + 1) * len(g) for i, g in enumerate(groups))))
 
 
-def class_composition(s: DataFrame, groups: tuple[str, ...]) -> DataFrame:
-    """(seq_id, grp, share) of each group."""
-    c = classed(s, groups).where("length(seq) > 0")
-    row = F.array(*[F.struct(F.lit(i + 1).alias("grp"), F.round(residue(str(i + 1)) / F.length("seq"), 6).alias("share")) for i in range(len(groups))])
-    return c.select("seq_id", F.explode(row).alias("x")).select("seq_id", "x.grp", "x.share")
+Properties = dict[str, tuple[str, ...]]
 
 
-def class_transition(s: DataFrame, groups: tuple[str, ...]) -> DataFrame:
-    """(seq_id, pair, share) of neighbours in different groups, either way round, over length - 1."""
-    chars = F.split("seq", "")
-    pairs = F.zip_with(F.slice("chars", 1, F.length("seq") - 1), F.slice("chars", 2, F.length("seq") - 1), lambda a, b: F.concat(F.least(a, b), F.greatest(a, b)))
-    c = classed(s, groups).where("length(seq) > 1").withColumn("chars", chars).select("seq_id", (F.length("seq") - 1).alias("n"), F.explode(pairs).alias("pair"))
-    c = c.where(F.substring("pair", 1, 1) != F.substring("pair", 2, 1)).groupBy("seq_id", "pair").agg(F.count("*").alias("cnt"), F.first("n").alias("n"))
-    return c.select("seq_id", "pair", F.round(F.col("cnt") / F.col("n"), 6).alias("share"))
+def _classes(s: DataFrame, properties: Properties, least: int) -> DataFrame:
+    """(seq_id, n, c0, c1, ...): for each property the sequence as its residues' group numbers, worked out once."""
+    translated = {f"c{j}": F.translate("seq", "".join(g), "".join(str(i + 1) * len(x) for i, x in enumerate(g))) for j, g in enumerate(properties.values())}
+    return bound(s.where(F.length("seq") >= least), "seq_id", n=F.length("seq"), **translated)
 
 
-def class_distribution(s: DataFrame, groups: tuple[str, ...]) -> DataFrame:
-    """(seq_id, grp, q, place): 100 position / length of the first, and of the floor(q n)-th (at least first), occurrence of
-    each group that occurs, q in 0, 25, 50, 75, 100."""
-    p = classed(s, groups).where("length(seq) > 0").select("seq_id", F.length("seq").alias("len"), F.posexplode(F.split("seq", "")).alias("pos", "grp"))
-    w = Window.partitionBy("seq_id", "grp")
-    p = p.select("seq_id", "grp", "len", "pos", F.row_number().over(w.orderBy("pos")).alias("k"), F.count("*").over(w).alias("n"))
-    q = F.array(*[F.lit(x) for x in (0, 25, 50, 75, 100)])
-    p = p.withColumn("q", F.explode(F.filter(q, lambda x: F.col("k") == F.greatest(F.lit(1).cast("long"), F.floor(x * F.col("n") / 100)))))
-    return p.select("seq_id", F.col("grp").cast("int").alias("grp"), "q", F.round(100.0 * (F.col("pos") + 1) / F.col("len"), 6).alias("place"))
+def _occurrences(text: Column, part: str) -> Column:
+    return (F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)
+
+
+def class_composition(s: DataFrame, properties: Properties) -> DataFrame:
+    """(seq_id, property, grp, share) of each group; counted within the row."""
+    row = [F.struct(F.lit(name).alias("property"), F.lit(i + 1).alias("grp"), F.round(_occurrences(F.col(f"c{j}"), str(i + 1)) / F.col("n"), 9).alias("share")) for j, (name, g) in enumerate(properties.items()) for i in range(len(g))]
+    return _classes(s, properties, 1).select("seq_id", F.explode(F.array(*row)).alias("x")).select("seq_id", "x.*")
+
+
+def class_transition(s: DataFrame, properties: Properties) -> DataFrame:
+    """(seq_id, property, pair, share) of neighbours in different groups, either way round, over length - 1, 0 where there are
+    none; counted within the row."""
+    row = []
+    for j, (name, g) in enumerate(properties.items()):
+        for a in range(1, len(g) + 1):
+            for b in range(a + 1, len(g) + 1):
+                found = _occurrences(F.col(f"c{j}"), f"{a}{b}") + _occurrences(F.col(f"c{j}"), f"{b}{a}")
+                row.append(F.struct(F.lit(name).alias("property"), F.lit(f"{a}{b}").alias("pair"), F.round(found / (F.col("n") - 1), 9).alias("share")))
+    return _classes(s, properties, 2).select("seq_id", F.explode(F.array(*row)).alias("x")).select("seq_id", "x.*")
+
+
+def class_distribution(s: DataFrame, properties: Properties) -> DataFrame:
+    """(seq_id, property, grp, q, place): 100 position / length of the first, and of the floor(q n)-th (at least first), occurrence
+    of each group, q in 0, 25, 50, 75, 100; 0 for a group that does not occur. Positions are found within the row."""
+    chars = _classes(s, properties, 1)
+    places = lambda j, i: F.filter(F.transform(F.split(F.col(f"c{j}"), ""), lambda c, at: F.when(c == str(i), at + 1)), lambda at: at.isNotNull())
+    row = [F.struct(F.lit(name).alias("property"), F.lit(i).alias("grp"), places(j, i).alias("at")) for j, (name, g) in enumerate(properties.items()) for i in range(1, len(g) + 1)]
+    p = chars.select("seq_id", "n", F.explode(F.array(*row)).alias("x")).select("seq_id", "n", "x.*")
+    q = F.explode(F.array(*[F.lit(x) for x in (0, 25, 50, 75, 100)]))
+    p = p.select("seq_id", "n", "property", "grp", "at", q.alias("q"))
+    k = F.greatest(F.lit(1), F.floor(F.col("q") * F.size("at") / 100).cast("int"))
+    return p.select("seq_id", "property", "grp", "q", F.round(100.0 * F.coalesce(F.get("at", k - 1), F.lit(0)) / F.col("n"), 6).alias("place"))
 
 
 def scale_autocorrelation(s: DataFrame, scale: dict[str, float], lags: int) -> DataFrame:

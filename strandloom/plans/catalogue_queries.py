@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandloom.operators import evaluation as E
 from strandloom.operators import features as X
+from strandloom.operators import models as M
 from strandloom.operators import tables as T
 from strandloom.operators.sequences import read
 from strandloom.plans.table_queries import LONG, PRED, _p
@@ -176,3 +177,68 @@ def _(spark, d):
 @query("importance_table", f"WITH {LONG} SELECT feature, round(var_pop(value), 6) AS importance FROM x GROUP BY feature ORDER BY importance DESC, feature")
 def _(spark, d):
     return X.feature_table(spark, d).groupBy("feature").agg(F.round(F.var_pop("value"), 6).alias("importance")).orderBy(F.desc("importance"), "feature")
+
+
+# evaluation
+
+_ONE = "c AS (SELECT cls, sum((kind = 2)::int)::double AS tp, sum((kind = 0)::int)::double AS support, sum((kind = 1)::int)::double AS predicted FROM (SELECT real AS cls, 0 AS kind FROM p UNION ALL SELECT pred, 1 FROM p UNION ALL SELECT real, 2 FROM p WHERE real = pred) GROUP BY cls)"
+Q["class_rates"] = lambda spark, d: E.class_rates(_p(spark, d))
+SQL["class_rates"] = f"WITH {PRED}, {_ONE}, n AS (SELECT count(*)::double AS n FROM p) SELECT cls, round(tp / nullif(support, 0), 6) AS sensitivity, round((n - support - predicted + tp) / nullif(n - support, 0), 6) AS specificity, support::bigint AS support FROM c, n"
+Q["report_averages"] = lambda spark, d: E.report_averages(_p(spark, d))
+_PRF = f"{_ONE}, r AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END AS precision, CASE WHEN support > 0 THEN tp / support ELSE 0 END AS recall FROM c), f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM r)"
+SQL["report_averages"] = (
+    f"WITH {PRED}, {_PRF} SELECT 'macro' AS average, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1 FROM f "
+    "UNION ALL SELECT 'weighted', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6) FROM f "
+    "UNION ALL SELECT 'micro', round(sum(tp) / sum(support), 6), round(sum(tp) / sum(support), 6), round(sum(tp) / sum(support), 6) FROM f"
+)
+Q["regression_folds"] = lambda spark, d: E.regression_by(read(spark, d, "lineitem").select((F.col("l_orderkey") % 5).alias("fold"), (F.col("l_extendedprice") / 1000).alias("real"), (F.col("l_quantity") * 1.5).alias("pred")), "fold")
+SQL["regression_folds"] = (
+    "WITH p AS (SELECT l_orderkey % 5 AS fold, l_extendedprice / 1000 AS real, l_quantity * 1.5::double AS pred FROM lineitem) SELECT fold, round(avg(abs(real - pred)), 6) AS mae, round(avg((real - pred) * (real - pred)), 6) AS mse, "
+    "round(sqrt(avg((real - pred) * (real - pred))), 6) AS rmse, round(1 - sum((real - pred) * (real - pred)) / (var_pop(real) * count(*)), 6) AS r2 FROM p GROUP BY fold"
+)
+
+
+@query("label_decode", "WITH c AS (SELECT lang, (dense_rank() OVER (ORDER BY lang) - 1)::int AS code FROM documents WHERE lang IS NOT NULL) SELECT doc_id, lang AS label FROM documents WHERE lang IN (SELECT lang FROM c)")
+def _(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", "lang").where("lang is not null")
+    codes = T.ordinal_fit(docs, "lang")
+    coded = T.ordinal_apply(docs, "lang", codes)
+    return coded.join(F.broadcast(codes), F.col("lang") == F.col("code")).select("doc_id", F.col("value").alias("label"))
+
+
+@query("oldest_pending", "SELECT user_id, min(ts) AS since FROM events GROUP BY user_id HAVING arg_max(event_type, ts::varchar || lpad(event_id::varchar, 12, '0')) <> (SELECT max(event_type) FROM events) ORDER BY since, user_id LIMIT 5")
+def _(spark, d):
+    e = read(spark, d, "events")
+    done = e.agg(F.max("event_type").alias("done"))
+    jobs = e.groupBy("user_id").agg(F.min("ts").alias("since"), F.max(F.struct("ts", "event_id", "event_type")).alias("x"))
+    return jobs.join(F.broadcast(done)).where("x.event_type <> done").orderBy("since", "user_id").limit(5).select("user_id", "since")
+
+
+# models: no SQL; pytest holds them against what they must keep to
+
+
+def _rows(spark, d):
+    e = read(spark, d, "embeddings").where("embedding is not null and label is not null")
+    return e.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("features"), F.col("label").cast("int").alias("label"), F.pmod(F.crc32(F.col("vec_id").cast("string")), F.lit(5)).cast("int").alias("fold"))
+
+
+@query("model_predictions")
+def _(spark, d):
+    x = _rows(spark, d)
+    found = M.apply(x.where("fold = 0"), M.fit(x.where("fold > 0")))
+    return found.select("id", F.col("label").alias("real"), F.col("pred").cast("int").alias("pred"), F.round(F.array_max("probability"), 6).alias("probability"))
+
+
+@query("model_folds")
+def _(spark, d):
+    return M.fold_metrics(M.cross_validated(_rows(spark, d), 5, "logistic"), 5)
+
+
+@query("model_importances")
+def _(spark, d):
+    return M.importances(spark, M.fit(_rows(spark, d)))
+
+
+@query("principal_components")
+def _(spark, d):
+    return M.principal_components(_rows(spark, d), 2).select("id", *[F.round(F.col("pc")[i], 6).alias(f"pc{i + 1}") for i in range(2)])

@@ -66,19 +66,26 @@ def _classed(groups) -> str:
     return f"{PROTEIN}, g AS (SELECT seq_id, translate(seq, '{''.join(groups)}', '{''.join(str(i + 1) * len(x) for i, x in enumerate(groups))}') AS seq FROM protein)"
 
 
-_POLARITY = PROPERTY_GROUPS["polarity"]
-Q["ctdc"] = lambda spark, d: P.class_composition(_protein(spark, d), _POLARITY)
-SQL["ctdc"] = f"WITH {_classed(_POLARITY)} " + " UNION ALL ".join(f"SELECT seq_id, {i} AS grp, round({_n(str(i))} / length(seq)::double, 6) AS share FROM g WHERE length(seq) > 0" for i in (1, 2, 3))
-Q["ctdt"] = lambda spark, d: P.class_transition(_protein(spark, d), _POLARITY)
-SQL["ctdt"] = (
-    f"WITH {_classed(_POLARITY)}, p AS (SELECT seq_id, length(seq) - 1 AS n, substr(seq, i, 1) AS a, substr(seq, i + 1, 1) AS b FROM (SELECT *, unnest(range(1, length(seq))) AS i FROM g WHERE length(seq) > 1)) "
-    "SELECT seq_id, least(a, b) || greatest(a, b) AS pair, round(count(*) / any_value(n)::double, 6) AS share FROM p WHERE a <> b GROUP BY seq_id, least(a, b) || greatest(a, b)"
+def _each(select: str) -> str:
+    """The same query for every property."""
+    parts = [f"SELECT * FROM (WITH {_classed(g)} {select.replace('{name}', name)})" for name, g in PROPERTY_GROUPS.items()]
+    return " UNION ALL ".join(parts)
+
+
+Q["ctdc"] = lambda spark, d: P.class_composition(_protein(spark, d), PROPERTY_GROUPS)
+SQL["ctdc"] = _each(" UNION ALL ".join(f"SELECT seq_id, '{{name}}' AS property, {i} AS grp, round({_n(str(i))} / length(seq)::double, 9) AS share FROM g WHERE length(seq) > 0" for i in (1, 2, 3)))
+Q["ctdt"] = lambda spark, d: P.class_transition(_protein(spark, d), PROPERTY_GROUPS)
+SQL["ctdt"] = _each(
+    ", p AS (SELECT seq_id, least(a, b) || greatest(a, b) AS pair, count(*) AS c FROM (SELECT seq_id, substr(seq, i, 1) AS a, substr(seq, i + 1, 1) AS b FROM (SELECT *, unnest(range(1, length(seq))) AS i FROM g)) GROUP BY ALL), "
+    "k AS (SELECT seq_id, length(seq) - 1 AS n, unnest(['12', '13', '23']) AS pair FROM g WHERE length(seq) > 1) SELECT seq_id, '{name}' AS property, pair, round(coalesce(c, 0) / n::double, 9) AS share FROM k LEFT JOIN p USING (seq_id, pair)"
 )
-Q["ctdd"] = lambda spark, d: P.class_distribution(_protein(spark, d), _POLARITY)
-SQL["ctdd"] = (
-    f"WITH {_classed(_POLARITY)}, p AS (SELECT seq_id, length(seq) AS len, i, substr(seq, i, 1)::int AS grp FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS i FROM g WHERE length(seq) > 0)), "
-    "k AS (SELECT *, row_number() OVER (PARTITION BY seq_id, grp ORDER BY i) AS k, count(*) OVER (PARTITION BY seq_id, grp) AS n FROM p), q AS (SELECT unnest([0, 25, 50, 75, 100])::int AS q) "
-    "SELECT seq_id, grp, q, round(100::double * i / len, 6) AS place FROM k, q WHERE k = greatest(1, q * n // 100)"
+Q["ctdd"] = lambda spark, d: P.class_distribution(_protein(spark, d), PROPERTY_GROUPS)
+SQL["ctdd"] = _each(
+    ", p AS (SELECT seq_id, i, substr(seq, i, 1)::int AS grp FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS i FROM g WHERE length(seq) > 0)), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY seq_id, grp ORDER BY i) AS k, count(*) OVER (PARTITION BY seq_id, grp) AS n FROM p), "
+    "w AS (SELECT seq_id, len, grp, unnest([0, 25, 50, 75, 100])::int AS q FROM (SELECT seq_id, length(seq) AS len, unnest([1, 2, 3])::int AS grp FROM g WHERE length(seq) > 0)), "
+    "f AS (SELECT seq_id, grp, q, i FROM k, (SELECT unnest([0, 25, 50, 75, 100])::int AS q) WHERE k = greatest(1, q * n // 100)) "
+    "SELECT seq_id, '{name}' AS property, grp, q, round(100::double * coalesce(i, 0) / len, 6) AS place FROM w LEFT JOIN f USING (seq_id, grp, q)"
 )
 
 for _name, _values in NUCLEOTIDE_MAPS.items():
