@@ -103,8 +103,8 @@ def _described(words: int, depth: int, runs: int, similarity: float):
             for text in batch.column(1).to_pylist():
                 x = shingles(text, words)
                 rows.append((set_id(x), len(x), *sketch(x), paths(x, depth, runs, similarity).view(np.int64)))
-            cols = [batch.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(4)), pa.array([r[4] for r in rows], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "id", "size", "s0", "s1", "keys"])
+            cols = [batch.column(0), batch.column(2), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(4)), pa.array([r[4] for r in rows], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "digest", "id", "size", "s0", "s1", "keys"])
 
     return run
 
@@ -279,13 +279,14 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIM
        its own, so every pair within a group is decided and counted but never emitted.
 
     Returns a row for each row of docs: doc_id, class_id (least doc_id of the connected class), copy_id (least doc_id with the
-    same set), n_links (other rows that are linked to it, copies included). Texts without words, null included, are classes
+    same set), n_links (other rows that are linked to it, copies included), digest (hash of the text) and class_key (a class's own
+    number, also where two classes have the same least doc_id; null for texts without words). Texts without words, null included, are classes
     of their own with no links (class_id and copy_id are their own doc_id), and so are rows without a doc_id; repeated rows are
     copies; other columns are ignored. Sets are told apart by a 64-bit hash.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, id long, size long, s0 long, s1 long, keys array<long>"
-    described = saved(own.mapInArrow(_described(words, DEPTH, runs_for(DEPTH, recall), similarity), schema), "sets")
+    schema = "doc_id long, digest long, id long, size long, s0 long, s1 long, keys array<long>"
+    described = saved(own.withColumn("digest", F.xxhash64("text")).mapInArrow(_described(words, DEPTH, runs_for(DEPTH, recall), similarity), schema), "sets")
     in_classes = F.col("id").isNotNull() & F.col("doc_id").isNotNull()
     sets = described.where(in_classes)
     reps = sets.groupBy("id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *[F.max(c).alias(c) for c in ("size", "s0", "s1")], F.first("keys").alias("keys"))
@@ -317,15 +318,34 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     info = saved(info, "classes")
     drop(groups, found, reps)
     first = info.groupBy("root").agg(F.min("rep").alias("class_id"))
-    info = info.join(first.select((F.col("root") + 0).alias("root"), "class_id"), "root").select((F.col("id") + 0).alias("id"), "class_id", F.col("rep").alias("copy_id"), (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    with_set = sets.select("doc_id", "id").join(info, "id").select("doc_id", "class_id", "copy_id", "n_links")
-    alone = described.where(~in_classes).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
+    info = info.join(first.select((F.col("root") + 0).alias("root"), "class_id"), "root").select((F.col("id") + 0).alias("id"), F.col("root").alias("class_key"), "class_id", F.col("rep").alias("copy_id"), (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    with_set = sets.select("doc_id", "digest", "id").join(info, "id").select("doc_id", "class_id", "copy_id", "n_links", "digest", "class_key")
+    alone = described.where(~in_classes).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), "digest", F.lit(None).cast("long").alias("class_key"))
     return with_set.unionByName(alone)
 
 
 def op1_chosen_path(spark, sf_dir: str) -> DataFrame:
     """Every document with its class of near duplicates and its number of links."""
-    return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "copy_id", "n_links")
+
+
+def one_of_each_class(docs: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """docs, all columns, with one row of each class of near duplicates: the least by doc_id and hash of its text.
+
+    Rows without words and rows without a doc_id stay; of repeated rows one stays.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    found = saved(jaccard_classes(docs, broadcast_keys=broadcast_keys).where("class_key is not null").select("doc_id", "digest", "class_key"), "classes")
+    first = found.groupBy("class_key").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+    marks = found.groupBy("doc_id", "digest", "class_key").agg(F.count("*").alias("rows")).join(first.select((F.col("class_key") + 0).alias("class_key"), "first"), "class_key")
+    marks = saved(marks.select(F.col("doc_id").alias("of"), "digest", "rows", ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))).alias("kept")), "marks")
+    n = marks.count()
+    rows = docs.select("*", F.xxhash64("text")).toDF(*names, "digest_of_text")
+    rows = rows.join(F.broadcast(marks) if n <= broadcast_keys else marks, (F.col(at).cast("long") == F.col("of")) & (F.col("digest_of_text") == F.col("digest")), "left")
+    single = rows.where("kept is null or (kept and rows = 1)").select(*names)
+    repeated = rows.where("kept and rows > 1").dropDuplicates([at, "digest_of_text"]).select(*names)
+    return single.unionByName(repeated).toDF(*docs.columns)
 
 
 def brute_force(docs: list[tuple], words: int = WORDS, similarity: float = SIMILARITY) -> dict:
