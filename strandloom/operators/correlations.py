@@ -41,7 +41,7 @@ def pseudo_composition(s: DataFrame, table: dict, k: int, lags: int, weight: flo
     """(seq_id, feature, value): k-mer shares and weighted factors over 1 + weight x sum of factors; too short: no rows."""
     theta = parallel_factors(s, table, k, lags)
     total = theta.groupBy("seq_id").agg((1 + weight * F.sum("theta")).alias("d"))
-    f = composition(s, k).select("seq_id", F.col("kmer").alias("feature"), F.col("freq").alias("value"))
+    f = composition(s, k, digits=9).select("seq_id", F.col("kmer").alias("feature"), F.col("freq").alias("value"))
     t = theta.select("seq_id", F.concat(F.lit("theta"), F.col("lag").cast("string")).alias("feature"), (weight * F.col("theta")).alias("value"))
     return f.unionByName(t).join(total, "seq_id").select("seq_id", "feature", F.round(F.col("value") / F.col("d"), 5).alias("value"))
 

@@ -75,9 +75,9 @@ def kmer_shares(s: DataFrame, k: int, step: int = 1, gap: int = 0, skip: str = "
     return rows.groupBy("seq_id", "total", "kmer").agg(F.count("*").alias("cnt")).select("seq_id", "kmer", "cnt", (F.col("cnt") / F.col("total")).alias("freq"))
 
 
-def composition(s: DataFrame, k: int, **how) -> DataFrame:
-    """(seq_id, kmer, freq): counts over the number of windows."""
-    return kmer_shares(s, k, **how).select("seq_id", "kmer", F.round("freq", 9).alias("freq"))
+def composition(s: DataFrame, k: int, digits: int = 6, **how) -> DataFrame:
+    """(seq_id, kmer, freq): counts over the number of windows, rounded."""
+    return kmer_shares(s, k, **how).select("seq_id", "kmer", F.round("freq", digits).alias("freq"))
 
 
 def upto(s: DataFrame, k: int, each=kmer_counts) -> DataFrame:

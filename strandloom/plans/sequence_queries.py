@@ -203,16 +203,16 @@ SQL["kmer_counts"] = f"{_counts(DNA, 'dna', 3)} SELECT * FROM c"
 Q["kmer_normalize"] = lambda spark, d: K.shares(K.kmer_counts(_dna(spark, d), 2)).select("seq_id", "kmer", "cnt", F.round("freq", 9).alias("freq"))
 SQL["kmer_normalize"] = f"{_counts(DNA, 'dna', 2)} SELECT seq_id, kmer, cnt, round(cnt / (sum(cnt) OVER (PARTITION BY seq_id))::double, 9) AS freq FROM c"
 for _name, _k in (("nac", 1), ("dnc", 2), ("tnc", 3)):
-    Q[_name] = lambda spark, d, k=_k: K.composition(_dna(spark, d), k)
+    Q[_name] = lambda spark, d, k=_k: K.composition(_dna(spark, d), k, digits=9)
     SQL[_name] = _composition(DNA, "dna", _k)
 for _name, _k in (("aac", 1), ("dpc", 2), ("tpc", 3)):
-    Q[_name] = lambda spark, d, k=_k: K.composition(_protein(spark, d), k)
+    Q[_name] = lambda spark, d, k=_k: K.composition(_protein(spark, d), k, digits=9)
     SQL[_name] = _composition(PROTEIN, "protein", _k)
 for _name, _k in (("gaac", 1), ("gdpc", 2), ("gtpc", 3)):
-    Q[_name] = lambda spark, d, k=_k: K.composition(K.grouped(_protein(spark, d), K.FIVE_GROUPS), k)
+    Q[_name] = lambda spark, d, k=_k: K.composition(K.grouped(_protein(spark, d), K.FIVE_GROUPS), k, digits=9)
     SQL[_name] = _composition(_grouped(K.FIVE_GROUPS), "g", _k)
 for _name, _aft in (("kgap_di", 2), ("kgap_tri", 3)):
-    Q[_name] = lambda spark, d, k=_aft: K.composition(_dna(spark, d), k + 1, gap=1, skip="_")
+    Q[_name] = lambda spark, d, k=_aft: K.composition(_dna(spark, d), k + 1, gap=1, skip="_", digits=9)
     SQL[_name] = _composition(DNA, "dna", _aft, pattern=f"substr(seq, i, 1) || '_' || substr(seq, i + 2, {_aft})", width=_aft + 2)
 Q["kmer_upto"] = lambda spark, d: K.shares(K.upto(_dna(spark, d), 3), "k").select("seq_id", "k", "kmer", F.round("freq", 9).alias("freq"))
 SQL["kmer_upto"] = _upto(DNA, "dna", (1, 2, 3), "SELECT seq_id, {k} AS k, kmer, round(cnt / (sum(cnt) OVER (PARTITION BY seq_id))::double, 9) AS freq FROM c")
