@@ -21,7 +21,7 @@ GROUPS = 64  # of equal cardinality for the large lengths
 SMALL_SHARE = 8  # lengths under capacity / SMALL_SHARE are small
 RANK_ROWS = 20_000
 _BLANK = re.compile(r"[ \t\n\x0b\x0c\r]+")
-_CACHE_MOST = 800_000
+_GENERATION = 600_000  # words; two generations are held
 
 
 class WordIds(dict):
@@ -37,13 +37,21 @@ class WordIds(dict):
         names = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(names.values()) + 1, bool)
         self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.before: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        """A word of the generation before moves to this one."""
+        found = self[word] = self.before[word]
+        return found
 
     def learn(self, words: set[str]) -> None:
-        """Adds the words: letters and a tail of ASCII punctuation are two pieces to the tokenizer, others are encoded whole."""
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > _CACHE_MOST:
+        """Adds the words: letters and a tail of ASCII punctuation are two pieces to the tokenizer, others are encoded whole. A full
+        generation replaces the one before, so words that come often are never learnt anew."""
+        if len(self) > _GENERATION:
+            self.before = dict(self)
             self.clear()
-            new = list(words)
+        before = self.before
+        new = [w for w in words if w not in self and w not in before]
         parts, whole = [], []
         for w in new:
             stem = w.rstrip(string.punctuation)
@@ -52,12 +60,12 @@ class WordIds(dict):
                 parts.append((w, low, w[len(stem) :]))
             else:
                 whole.append(w)
-        whole += {tail for _, _, tail in parts if tail and tail not in self}
+        whole += {tail for _, _, tail in parts if tail and tail not in self and tail not in before}
         for i in range(0, len(whole), 20_000):
             some = whole[i : i + 20_000]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self[w] = np.array(e.ids, "<u4").tobytes()
-        stems = [s for s in {low for _, low, _ in parts} if s not in self]
+        stems = [s for s in {low for _, low, _ in parts} if s not in self and s not in before]
         for i in range(0, len(stems), 2_000):
             # every word of letters ends with just one end-of-word token
             some = stems[i : i + 2_000]
@@ -85,18 +93,21 @@ def _pieces(path: str, capacity: int, end_id: int):
         for batch in batches:
             ids, all_texts = batch.column(0), texts(batch)
             rows, piece, start, length, crc = [], [], [], [], []
+            done: dict[str | None, tuple] = {}  # equal texts of a batch have equal pieces
             for at in range(0, len(all_texts), 256):
-                words = [_split(t) if t else [] for t in all_texts[at : at + 256]]
-                cache.learn({w for ws in words for w in ws})
-                for i, ws in enumerate(words):
+                fresh = {t: _split(t) if t else [] for t in dict.fromkeys(all_texts[at : at + 256]) if t not in done}
+                cache.learn({w for ws in fresh.values() for w in ws})
+                for t, ws in fresh.items():
                     data = b"".join(map(cache.__getitem__, ws)) + end
-                    for k, p in enumerate(range(0, len(data), step)):
-                        part = data[p : p + step]
-                        rows.append(at + i)
-                        piece.append(k)
-                        start.append(p // 4)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
+                    parts = [data[p : p + step] for p in range(0, len(data), step)]
+                    done[t] = [len(x) // 4 for x in parts], [zlib.crc32(x) for x in parts]
+                for i, t in enumerate(all_texts[at : at + 256], at):
+                    sizes, sums = done[t]
+                    rows += [i] * len(sizes)
+                    piece += range(len(sizes))
+                    start += range(0, capacity * len(sizes), capacity)
+                    length += sizes
+                    crc += sums
             cols = [ids.take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
