@@ -19,8 +19,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõ
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 SIZE = 64
 SIGN_COST, RUN_COST, JOIN_COST, SPACE_COST = 1.5, 1.5, 0.5, 2.0
-SPACED = 4  # single characters in a row that may be one spaced word
-BEAM = 64
+SPACED = 4  # single characters in a row that may be one spaced word; shorter runs are words of one letter
 TRAIN_ROWS = 40_000  # about so many labelled rows, chosen by hash, fit the classifier
 LEXICON = 20_000  # features at most, those of most toxic documents first
 THRESHOLD = 0.3
@@ -31,7 +30,8 @@ for _i, _c in enumerate(LETTERS):
 _INDEX = {c: i + 1 for i, c in enumerate(LETTERS)}
 _EDGE = re.compile(r"^[^\w@$]+|[^\w@$]+$|[@$]{2,}$|_+$|^_+")
 _RUN = re.compile(r"([^\W\d_])\1{2,}")
-_DOTTED = re.compile(r"^(?:[\w@$!|+][.\-_*·]){2,}[\w@$!|+]$")
+_SIGNS = ".,;:!?()[]{}\"'«»…-–—"
+_DOTTED = re.compile(r"^(?:[\w@$!|+][.\-_*·/]){2,}[\w@$!|+]$")
 _SIGNED = re.compile(r"(?=.*[^\W\d_])(?=.*[0-9@$!|+])")
 
 
@@ -60,22 +60,33 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return -np.log((n + 5 * two[None]) / (n.sum(axis=2, keepdims=True) + 5)).astype(np.float32)
 
 
-def viterbi(lattice: list[list[tuple[str, float]]], cost: np.ndarray, beam: int = BEAM) -> str:
-    """The cheapest way through the lattice: channel costs of its choices and model costs of their characters."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+def viterbi(lattice: list[list[tuple[str, float]]], cost) -> str:
+    """The cheapest way through the lattice: channel costs of its choices and model costs of their characters.
+
+    A state is the last two characters, so there are few, all are kept, and time and memory are linear in the lattice.
+    """
+    states, back = {(0, 0): 0.0}, []
+    index = _INDEX.get
     for choices in [*lattice, [(" ", 0.0)]]:
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (spent, text) in states.items():
+        new: dict[tuple[int, int], float] = {}
+        came: dict[tuple[int, int], tuple] = {}
+        for state, spent in states.items():
             for string, channel in choices:
-                x, y, total = a, b, spent + channel
+                (x, y), total = state, spent + channel
                 for c in string:
-                    z = _INDEX.get(c, 0)
-                    total += float(cost[x, y, z])
+                    z = index(c, 0)
+                    total += cost[x][y][z]
                     x, y = y, z
-                if (x, y) not in new or total < new[x, y][0]:
-                    new[x, y] = (total, text + string)
-        states = dict(sorted(new.items(), key=lambda s: s[1][0])[:beam]) if len(new) > beam else new
-    return min(states.values())[1][:-1]
+                if total < new.get((x, y), math.inf):
+                    new[x, y] = total
+                    came[x, y] = state, string
+        states = new
+        back.append(came)
+    state, out = min(states, key=lambda k: (states[k], k)), []
+    for came in reversed(back):
+        state, string = came[state]
+        out.append(string)
+    return "".join(reversed(out))[:-1]
 
 
 def _choices(text: str) -> list[list[tuple[str, float]]]:
@@ -99,22 +110,28 @@ class Restorer(dict):
     """Restored form of each blank-separated word (lower case, edges stripped); a word with one reading is itself."""
 
     def __init__(self, cost: np.ndarray, most: int = 300_000):
-        self.cost, self.most = cost, most
+        self.cost, self.most = cost.tolist(), most
 
     def __missing__(self, word: str) -> str:
         if len(self) >= self.most:
             self.clear()
-        text = word.lower()
-        if not text.isalpha():
+        text = self[word] = self.read(word.lower())
+        return text
+
+    def read(self, text: str) -> str:
+        plain = text.strip(_SIGNS)
+        if plain.isalpha():
+            text = plain
+        elif not text.isalpha():
             text = _EDGE.sub("", _EDGE.sub("", text)) if not _DOTTED.match(text) else text
             if _DOTTED.match(text):
-                letters = text[::2]
-                text = viterbi([c for i, x in enumerate(_choices(letters)) for c in ([[("", JOIN_COST), (" ", SPACE_COST)]] if i else []) + [x]], self.cost) if len(_choices(letters)) == len(letters) else viterbi(_choices(letters), self.cost)
-            elif len(text) <= 64 and _SIGNED.match(text):
+                letters = _choices(text[::2])
+                gap = [[("", JOIN_COST), (" ", SPACE_COST)]]
+                text = viterbi([c for i, x in enumerate(letters) for c in (gap if i else []) + [x]] if len(letters) == len(text[::2]) else letters, self.cost)
+            elif _SIGNED.match(text):
                 text = viterbi(_choices(text), self.cost)
-        if len(text) <= 64 and _RUN.search(text):
+        if _RUN.search(text):
             text = viterbi(_choices(text), self.cost)
-        self[word] = text
         return text
 
     def words(self, text: str | None) -> list[str]:
@@ -127,11 +144,8 @@ class Restorer(dict):
             for a, b in reversed(list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))):
                 if b - a >= SPACED:
                     gap = [[("", JOIN_COST), (" ", SPACE_COST)]]
-                    read = []
-                    for p in range(a, b, 200):  # bounds one lattice
-                        chars = "".join(words[p : min(b, p + 200)]).lower()
-                        read += viterbi([c for i, x in enumerate(chars) for c in (gap if i else []) + [_choices(x)[0]]], self.cost).split()
-                    out[a:b] = read
+                    chars = "".join(words[a:b]).lower()
+                    out[a:b] = viterbi([c for i, x in enumerate(chars) for c in (gap if i else []) + [_choices(x)[0]]], self.cost).split()
         return out
 
 
@@ -181,15 +195,31 @@ def _seen(model: _Sent, wanted: _Sent | None):
 
 
 class Weights(dict):
-    """Log odds of a raw word: the largest of its features, 0 without one."""
+    """Log odds of a raw word: the largest of its features, 0 without one. A full generation of words replaces the one before."""
 
     def __init__(self, restore: Restorer, lexicon: dict[str, float], most: int = 300_000):
         self.restore, self.lexicon, self.most = restore, lexicon, most
+        self.begins = {f[:-1]: w for f, w in lexicon.items() if f[-1:] == "^"}
+        self.before: dict[str, float] = {}
 
     def __missing__(self, word: str) -> float:
         if len(self) >= self.most:
+            self.before = dict(self)
             self.clear()
-        w = self[word] = max(self.lexicon.get(f, 0.0) for p in (self.restore[word].split() or ("",)) for f in features(p))
+        w = self.before.get(word)
+        if w is None:
+            plain = word.strip(_SIGNS).lower()
+            # a word of letters is itself, unless letters are repeated
+            parts = (plain,) if plain.isalpha() and not _RUN.search(plain) else self.restore.read(word.lower()).split()
+            w = max((self.odds(p) for p in parts), default=0.0)
+        self[word] = w
+        return w
+
+    def odds(self, word: str) -> float:
+        w, get = self.lexicon.get(word, 0.0), self.begins.get
+        for k in (4, 5, 6):
+            if len(word) >= k:
+                w = max(w, get(word[:k], 0.0))
         return w
 
 
@@ -199,9 +229,8 @@ def _evidence(weights: Weights, text: str | None) -> tuple[float, float, float]:
     if not words:
         return 0.0, 0.0, 0.0
     w = np.fromiter(map(weights.__getitem__, words), np.float64, len(words))
-    if sum(len(x) == 1 for x in words) >= SPACED:
-        lexicon = weights.lexicon
-        w = np.array([max(lexicon.get(f, 0.0) for f in features(x)) for x in weights.restore.words(text)] or [0.0])
+    if (np.fromiter(map(len, words), np.int32, len(words)) == 1).sum() >= SPACED:
+        w = np.array([weights.odds(x) for x in weights.restore.words(text)] or [0.0])
     return float(w.max()), math.log1p(float(w.sum())), math.log1p(len(words))
 
 

@@ -322,6 +322,42 @@ def test_perspectives(spark):
     assert got[3, "ann", 0].n_turns == 2 and len(got[3, "ann", 0].mask) == 2
 
 
+def test_viterbi_finds_the_best_reading():
+    import itertools
+
+    rng = np.random.default_rng(9)
+    cost = rng.random((64, 64, 64))
+    cost[:, :, 0] += 0.5
+
+    def spent(choice):
+        x = y = 0
+        total = sum(c for _, c in choice)
+        for c in "".join(s for s, _ in choice) + " ":
+            z = toxicity._INDEX.get(c, 0)
+            total += cost[x, y, z]
+            x, y = y, z
+        return total
+
+    for text in ("1d10t", "aaab", "m0r0n", "xxxyyy1", "5tup!d", "a1|!b"):
+        lattice = toxicity._choices(text)
+        for gaps in (False, True):
+            steps = [c for i, x in enumerate(lattice) for c in ([[("", 0.5), (" ", 0.7)]] if gaps and i else []) + [x]]
+            best = min(itertools.product(*steps), key=spent)
+            assert toxicity.viterbi(steps, cost) == "".join(s for s, _ in best)
+
+
+def test_long_tokens_are_decoded():
+    cost = np.full((64, 64, 64), 9.0, np.float32)
+    word = "idiot"
+    ids = [0, 0, *(toxicity._INDEX[c] for c in word), 0]
+    for x, y, z in zip(ids, ids[1:], ids[2:], strict=False):
+        cost[x, y, z] = 0.1
+    restore = toxicity.Restorer(cost)
+    assert restore["1d10t"] == "idiot" and restore["i/d/i/o/t"] == "idiot" and restore["id" + "i" * 90 + "ot"] == "idiot"
+    assert len(restore["1d10t" * 2000]) == 10_000
+    assert restore.words(" ".join("idiot" * 300))[0].startswith("idiot")
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(2)
     words = ["the", "house", "stood", "near", "river", "and", "idle", "people", "walked", "along", "street", "water"]
