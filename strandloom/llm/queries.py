@@ -10,6 +10,7 @@ from strandloom.llm.line_dedup import op2_fuzzy_lines
 from strandloom.llm.packing import op4_best_fit_packing
 from strandloom.llm.secret_scan import OP8_SQL, op8_entropy_secrets
 from strandloom.llm.substring_dedup import op9_aho_corasick
+from strandloom.llm.token_files import op13_token_files
 from strandloom.llm.topk import OP6_SQL, op6_maxscore
 from strandloom.llm.toxicity import op3_noisy_channel
 
@@ -26,6 +27,7 @@ def queries() -> dict:
         "op8_entropy_secrets": op8_entropy_secrets,
         "op9_aho_corasick": op9_aho_corasick,
         "op10_fm_index": op10_fm_index,
+        "op13_token_files": op13_token_files,
     }
 
 
