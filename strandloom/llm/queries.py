@@ -9,10 +9,12 @@ from strandloom.llm.license_scan import OP7_SQL, op7_license_dice
 from strandloom.llm.line_dedup import op2_fuzzy_lines
 from strandloom.llm.packing import op4_best_fit_packing
 from strandloom.llm.secret_scan import OP8_SQL, op8_entropy_secrets
+from strandloom.llm.spelling import OP12_SQL, op12_pivotal_grams
 from strandloom.llm.substring_dedup import op9_aho_corasick
 from strandloom.llm.token_files import op13_token_files
 from strandloom.llm.topk import OP6_SQL, op6_maxscore
 from strandloom.llm.toxicity import op3_noisy_channel
+from strandloom.llm.vector_codes import OP11_SQL, op11_resident_lloyd
 
 
 def queries() -> dict:
@@ -27,6 +29,8 @@ def queries() -> dict:
         "op8_entropy_secrets": op8_entropy_secrets,
         "op9_aho_corasick": op9_aho_corasick,
         "op10_fm_index": op10_fm_index,
+        "op11_resident_lloyd": op11_resident_lloyd,
+        "op12_pivotal_grams": op12_pivotal_grams,
         "op13_token_files": op13_token_files,
     }
 
@@ -37,4 +41,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_maxscore": OP6_SQL,
         "op7_license_dice": OP7_SQL,
         "op8_entropy_secrets": OP8_SQL,
+        "op11_resident_lloyd": OP11_SQL,
+        "op12_pivotal_grams": OP12_SQL,
     }
