@@ -25,6 +25,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from strandloom.llm.common import shared_dir, texts
@@ -38,6 +39,7 @@ DICTIONARY_CHARS = 4_000  # of each of them
 LEVEL = 3
 PART_BYTES = 256 << 20  # a task begins a new part beyond
 INDEX_BYTES = 4 << 20  # frames of one batch of the index, which are read at once
+RECENT_BYTES = 32 << 20  # ids of texts that a task keeps in case they come again
 _HEADER = len(MAGIC) + 1 + 32
 
 
@@ -58,15 +60,31 @@ def _words(path: str) -> WordIds:
     return _LOADED[path]
 
 
-def _encoded(batch: pa.RecordBatch, cache: WordIds, end: bytes) -> Iterator[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit integers, the end id last; null texts are empty."""
-    every = texts(batch)
-    for at in range(0, len(every), 256):
-        some = every[at : at + 256]
-        split = {t: _split(t) if t else [] for t in dict.fromkeys(some)}
-        cache.learn({w for ws in split.values() for w in ws})
-        done = {t: b"".join(map(cache.__getitem__, ws)) + end for t, ws in split.items()}
-        yield from map(done.__getitem__, some)
+def _encoded(batches: Iterator[pa.RecordBatch], cache: WordIds, end: bytes) -> Iterator[tuple[object, bytes]]:
+    """First column and the text's ids as little-endian unsigned 32-bit integers, the end id last; null texts are empty. Equal texts
+    near each other are encoded once."""
+    done: dict[str | None, bytes] = {None: end}
+    held = 0
+    for batch in batches:
+        first, every = batch.column(0).to_pylist(), texts(batch)
+        for at in range(0, len(every), 256):
+            some = every[at : at + 256]
+            if held > RECENT_BYTES:
+                done, held = {None: end}, 0
+            fresh, new = [], set()
+            for t in dict.fromkeys(some):
+                if t not in done:
+                    words = _split(t)
+                    ids = list(map(cache.get, words))
+                    if None in ids:
+                        new.update(w for w, x in zip(words, ids, strict=True) if x is None)
+                        ids = None
+                    fresh.append((t, words, ids))
+            cache.learn(new)
+            for t, words, ids in fresh:
+                done[t] = b"".join(map(cache.__getitem__, words) if ids is None else ids) + end
+                held += len(done[t])
+            yield from zip(first[at : at + 256], map(done.__getitem__, some), strict=True)
 
 
 def _width(cache: WordIds, end_id: int) -> int:
@@ -82,12 +100,12 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = END_ID, size
     n = docs.count()
     share = min(1.0, n_docs / n) if n else 1.0
     by = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
-    sample = docs.where(by).select(F.substring("text", 1, DICTIONARY_CHARS).alias("text")).where("text is not null")
+    sample = docs.where(by).select("doc_id", F.substring("text", 1, DICTIONARY_CHARS).alias("text")).where("text is not null")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _words(tokenizer)
         kind, end = f"<u{_width(cache, end_id)}", np.array([end_id], "<u4").tobytes()
-        ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() for batch in batches for x in _encoded(batch, cache, end)]
+        ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() for _, x in _encoded(batches, cache, end)]
         ids.sort()  # rows come in any order
         try:
             got = zstandard.train_dictionary(size, ids, k=256, d=8).as_bytes() if ids else b""
@@ -158,6 +176,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         f.write(dictionary)
     sent = spark.sparkContext.broadcast(dictionary)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = to_arrow_schema(docs.select("doc_id").schema).append(pa.field("end", pa.int64())).append(pa.field("n_tokens", pa.int64()))
     # one doc_id of very many rows is dealt on by text, equal rows by a fixed draw
     ordered = docs.withColumns({"tie": F.xxhash64("text"), "draw": F.rand(0)}).repartitionByRange("doc_id", "tie", "draw").sortWithinPartitions("doc_id", "tie", "draw").select("doc_id", "text")
 
@@ -171,15 +190,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
             part.close()
             done.append({"file": part.name, "part": here, "roll": roll, "first": part.first, "last": part.last, "docs": part.docs, "tokens": part.tokens, "bytes": part.bytes, "dictionary": digest.hex()})
 
-        for batch in batches:
-            schema = pa.schema([("doc_id", batch.schema.field("doc_id").type), ("end", pa.int64()), ("n_tokens", pa.int64())])
-            for doc_id, ids in zip(batch.column(0).to_pylist(), _encoded(batch, cache, end), strict=True):
-                if part is None:
-                    part = _Part(path, width, digest, schema)
-                part.add(doc_id, packer.compress(np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids), len(ids) // 4)
-                if part.bytes >= part_bytes:
-                    over()
-                    part, roll = None, roll + 1
+        for doc_id, ids in _encoded(batches, cache, end):
+            if part is None:
+                part = _Part(path, width, digest, schema)
+            part.add(doc_id, packer.compress(np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids), len(ids) // 4)
+            if part.bytes >= part_bytes:
+                over()
+                part, roll = None, roll + 1
         if part is not None:
             over()
         if done:
