@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.residues import CODING_CONTENT, CODING_POSITION
 from strandloom.operators import correlations as C
-from strandloom.operators.kmers import SEVEN_GROUPS, grouped, kmer_counts, pair_counts, stretches, windows
+from strandloom.operators.arrays import word_counts
+from strandloom.operators.kmers import SEVEN_GROUPS, grouped, kmer_counts, pair_counts, stretches, upto
 from strandloom.operators.sequences import AMINO_ACIDS, NUCLEOTIDES
 
 
@@ -22,28 +23,20 @@ def zero_filled(s: DataFrame, k: int, alphabet: str) -> DataFrame:
 
 
 def stepped_composition(s: DataFrame, width: int, step: int, k: int) -> DataFrame:
-    """(seq_id, kmer, cnt, total): k-mers inside windows of `width` that begin every `step` characters; the last may be short."""
-    parts = stretches(s, width, step).select("seq_id", "label", F.col("kmer").alias("seq"))
-    counts = windows(parts, k).groupBy("seq_id", "kmer").agg(F.count("*").alias("cnt"))
-    total = counts.groupBy("seq_id").agg(F.sum("cnt").alias("total"))
-    return counts.join(total, "seq_id").select("seq_id", "kmer", "cnt", "total")
-
-
-def windowed_composition(s: DataFrame, width: int, step: int) -> DataFrame:
-    """(seq_id, start, residue, cnt) of each whole window of `width` residues, one every `step`."""
-    each = stretches(s, width, step, whole=True).select("seq_id", "start", F.explode(F.split("kmer", "")).alias("residue"))
-    return each.groupBy("seq_id", "start", "residue").agg(F.count("*").alias("cnt"))
-
-
-def spaced_triads(s: DataFrame, gap: int) -> DataFrame:
-    """(seq_id, triad, score): (count - least) / most over triads of seven residue groups with `gap` residues between neighbours."""
-    g = grouped(s, SEVEN_GROUPS).withColumn("chars", F.split("seq", ""))
-    at = lambda i: F.concat(F.get("chars", i), F.get("chars", i + gap + 1), F.get("chars", i + 2 * gap + 2))
-    last = F.length("seq") - 2 * gap - 3
-    found = g.where(last >= 0).select("seq_id", F.explode(F.transform(F.sequence(F.lit(0), last), at)).alias("triad"))
-    c = found.groupBy("seq_id", "triad").agg(F.count("*").alias("cnt"))
-    m = c.groupBy("seq_id").agg(F.max("cnt").alias("most"), F.when(F.count("*") == 343, F.min("cnt")).otherwise(F.lit(0)).alias("least"))
-    return c.join(m, "seq_id").select("seq_id", "triad", F.round((F.col("cnt") - F.col("least")) / F.col("most"), 9).alias("score"))
+    """(seq_id, k, kmer, cnt, total): words of 1 to k characters inside windows of `width` that begin every `step`, until a window ends
+    less than `step` before the sequence's end; total is the number of words of that length."""
+    parts = stretches(s, width, step, "short").select("seq_id", F.col("kmer").alias("seq"))
+    counts = upto(parts, k).groupBy("seq_id", "k", "kmer").agg(F.sum("cnt").alias("cnt"))
+    total = counts.groupBy("seq_id", "k").agg(F.sum("cnt").alias("total"))
+    return counts.join(total, ["seq_id", "k"]).select("seq_id", "k", "kmer", "cnt", "total")
+
+
+def spaced_triads(s: DataFrame, gaps: range) -> DataFrame:
+    """(seq_id, gap, triad, score): (count - least) / most over triads of seven residue groups with `gap` residues between neighbours."""
+    gap = F.element_at(F.array(*map(F.lit, gaps)), F.col("shape") + 1)
+    c = word_counts(grouped(s, SEVEN_GROUPS), [(0, g + 1, 2 * g + 2) for g in gaps]).select("seq_id", gap.alias("gap"), F.col("word").alias("triad"), "cnt")
+    m = c.groupBy("seq_id", "gap").agg(F.max("cnt").alias("most"), F.when(F.count("*") == 343, F.min("cnt")).otherwise(F.lit(0)).alias("least"))
+    return c.join(m, ["seq_id", "gap"]).select("seq_id", "gap", "triad", F.round((F.col("cnt") - F.col("least")) / F.col("most"), 9).alias("score"))
 
 
 def _count(c: str, text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.operators.arrays import word_counts
+
 #: Residue groups; fixed values.
 FIVE_GROUPS = {"G": "GAVLMI", "F": "FYW", "K": "KRH", "D": "DE", "S": "STCPNQ"}
 SEVEN_GROUPS = {"1": "AGV", "2": "ILFP", "3": "YMTS", "4": "HNQW", "5": "RK", "6": "DE", "7": "C"}
@@ -19,25 +21,14 @@ def grouped(s: DataFrame, groups: dict[str, str]) -> DataFrame:
     return s.withColumn("seq", F.translate("seq", source, target))
 
 
-def window_array(k: int, step: int = 1, gap: int = 0, skip: str = "") -> Column:
-    """Windows of seq read from one array of its characters: a substring would walk from the start each time.
-
-    gap: characters left out after the first one; skip: what is written in their place.
-    """
-    chars = F.split("seq", "")
-    width = k + gap
-
-    def at(i: Column) -> Column:
-        if not gap:
-            return F.array_join(F.slice("chars", i + 1, k), "")
-        return F.concat(F.element_at("chars", i + 1), F.lit(skip), F.array_join(F.slice("chars", i + 2 + gap, k - 1), ""))
+def window_array(k: int) -> tuple[Column, Column]:
+    """Windows of seq read from one array of its characters: a substring would walk from the start each time."""
+    found = F.transform(F.sequence(F.lit(0), F.length("seq") - k), lambda i: F.array_join(F.slice("chars", i + 1, k), ""))
+    return F.split("seq", ""), F.when(F.length("seq") >= k, found).otherwise(F.array().cast("array<string>"))
 
-    found = F.transform(F.sequence(F.lit(0), F.length("seq") - width, F.lit(step)), at)
-    return chars, F.when(F.length("seq") >= width, found).otherwise(F.array().cast("array<string>"))
 
-
-def windows(s: DataFrame, k: int, step: int = 1, gap: int = 0, skip: str = "") -> DataFrame:
-    chars, found = window_array(k, step, gap, skip)
+def windows(s: DataFrame, k: int) -> DataFrame:
+    chars, found = window_array(k)
     return s.withColumn("chars", chars).select("seq_id", "label", F.explode(found).alias("kmer"))
 
 
@@ -48,18 +39,22 @@ def bound(s: DataFrame, *keep: str, **columns: Column) -> DataFrame:
     return s.select(*keep, F.explode(F.array(row)).alias("x")).select(*keep, *[f"x.{name}" for name in columns])
 
 
-def stretches(s: DataFrame, width: int, step: int, whole: bool = False) -> DataFrame:
-    """(seq_id, label, start, kmer): windows of `width` characters that begin every `step`; the last ones are as short as what is
-    left, or left out with whole=True."""
-    last = F.length("seq") - (width if whole else 1)
+def stretches(s: DataFrame, width: int, step: int, stop: str = "touch") -> DataFrame:
+    """(seq_id, label, start, kmer): windows of `width` characters that begin every `step`, the last as short as what is left.
+
+    stop="touch": the first window that touches the end is the last; stop="short": so is the first whose end lies less than `step`
+    before the sequence's end. Empty sequences have none.
+    """
+    short = F.length("seq") - width - (step - 1 if stop == "short" else 0)
+    last = step * F.ceil(F.greatest(short, F.lit(0)) / step).cast("int")
     cut = lambda i: F.struct(i.alias("start"), F.array_join(F.slice("chars", i + 1, width), "").alias("kmer"))
-    rows = s.where(last >= 0).withColumn("chars", F.split("seq", ""))
+    rows = s.where("length(seq) > 0").withColumn("chars", F.split("seq", ""))
     return rows.select("seq_id", "label", F.explode(F.transform(F.sequence(F.lit(0), last, F.lit(step)), cut)).alias("x")).select("seq_id", "label", "x.start", "x.kmer")
 
 
-def kmer_counts(s: DataFrame, k: int, **how) -> DataFrame:
-    """(seq_id, kmer, cnt); counted where the windows are made before anything is shuffled."""
-    return windows(s, k, **how).groupBy("seq_id", "kmer").agg(F.count("*").alias("cnt"))
+def kmer_counts(s: DataFrame, k: int, keep: tuple[str, ...] = ("seq_id",)) -> DataFrame:
+    """(seq_id, kmer, cnt); counted where the sequence is, nothing is shuffled."""
+    return word_counts(s, [tuple(range(k))], keep).select(*keep, F.col("word").alias("kmer"), "cnt")
 
 
 def shares(counts: DataFrame, *by: str) -> DataFrame:
@@ -67,12 +62,12 @@ def shares(counts: DataFrame, *by: str) -> DataFrame:
     return counts.withColumn("freq", F.col("cnt") / F.sum("cnt").over(Window.partitionBy("seq_id", *by)))
 
 
-def kmer_shares(s: DataFrame, k: int, step: int = 1, gap: int = 0, skip: str = "") -> DataFrame:
-    """(seq_id, kmer, cnt, freq): the number of windows follows from the length, so one shuffle does."""
-    chars, found = window_array(k, step, gap, skip)
-    rows = bound(s.withColumn("chars", chars), "seq_id", total=F.ceil((F.length("seq") - (k + gap - 1)) / step), found=found)
-    rows = rows.select("seq_id", "total", F.explode("found").alias("kmer"))
-    return rows.groupBy("seq_id", "total", "kmer").agg(F.count("*").alias("cnt")).select("seq_id", "kmer", "cnt", (F.col("cnt") / F.col("total")).alias("freq"))
+def kmer_shares(s: DataFrame, k: int, gap: int = 0, skip: str = "") -> DataFrame:
+    """(seq_id, kmer, cnt, freq) over the sequence's number of windows. gap: characters left out after the first one; skip: what is
+    written in their place."""
+    shape = (0, *range(1 + gap, k + gap))
+    word = F.concat(F.substring("word", 1, 1), F.lit(skip), F.substring("word", 2, k)) if skip else F.col("word")
+    return word_counts(s, [shape]).select("seq_id", word.alias("kmer"), "cnt", (F.col("cnt") / F.col("total")).alias("freq"))
 
 
 def composition(s: DataFrame, k: int, digits: int = 6, **how) -> DataFrame:
@@ -80,13 +75,9 @@ def composition(s: DataFrame, k: int, digits: int = 6, **how) -> DataFrame:
     return kmer_shares(s, k, **how).select("seq_id", "kmer", F.round("freq", digits).alias("freq"))
 
 
-def upto(s: DataFrame, k: int, each=kmer_counts) -> DataFrame:
-    """Counts for every length from 1 to k: (seq_id, k, kmer, cnt)."""
-    out = None
-    for i in range(1, k + 1):
-        one = each(s, i).withColumn("k", F.lit(i))
-        out = one if out is None else out.unionByName(one)
-    return out
+def upto(s: DataFrame, k: int) -> DataFrame:
+    """Counts for every length from 1 to k: (seq_id, k, kmer, cnt, total), in one scan."""
+    return word_counts(s, [tuple(range(i)) for i in range(1, k + 1)]).select("seq_id", (F.col("shape") + 1).alias("k"), F.col("word").alias("kmer"), "cnt", "total")
 
 
 def canonical(c: Column) -> Column:
@@ -95,29 +86,30 @@ def canonical(c: Column) -> Column:
 
 
 def canonical_counts(s: DataFrame, k: int) -> DataFrame:
-    return windows(s, k).select("seq_id", canonical(F.col("kmer")).alias("kmer")).groupBy("seq_id", "kmer").agg(F.count("*").alias("cnt"))
+    return kmer_counts(s, k).groupBy("seq_id", canonical(F.col("kmer")).alias("kmer")).agg(F.sum("cnt").alias("cnt"))
+
+
+def canonical_upto(s: DataFrame, k: int) -> DataFrame:
+    """(seq_id, k, kmer, cnt, total) of canonical k-mers of every length from 1 to k."""
+    return upto(s, k).groupBy("seq_id", "k", "total", canonical(F.col("kmer")).alias("kmer")).agg(F.sum("cnt").alias("cnt"))
+
+
+def _entropies(s: DataFrame, ks: tuple[int, ...], value) -> DataFrame:
+    """(seq_id, k, entropy) for all k out of one scan; a sequence's words are summed up in the task that has counted them."""
+    shape = F.element_at(F.array(*map(F.lit, ks)), F.col("shape") + 1)
+    p = word_counts(s, [tuple(range(k)) for k in ks]).select("seq_id", shape.alias("k"), (F.col("cnt") / F.col("total")).alias("freq"))
+    h = p.groupBy("seq_id", "k").agg(F.round(value, 6).alias("h"))
+    return h.select("seq_id", "k", F.when(F.abs("h") > 0, F.col("h")).alias("entropy"))
 
 
 def shannon(s: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     """(seq_id, k, entropy) in bits; null where it is zero; sequences shorter than k have no row."""
-    out = None
-    for k in ks:
-        p = kmer_shares(s, k)
-        h = F.round(-F.sum(F.col("freq") * F.log2("freq")), 6)
-        one = p.groupBy("seq_id").agg(h.alias("h")).select("seq_id", F.lit(k).alias("k"), F.when(F.abs("h") > 0, F.col("h")).alias("entropy"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _entropies(s, ks, -F.sum(F.col("freq") * F.log2("freq")))
 
 
 def tsallis(s: DataFrame, ks: tuple[int, ...], q: float) -> DataFrame:
     """(seq_id, k, entropy): (1 - sum p^q) / (q - 1); null where it is zero."""
-    out = None
-    for k in ks:
-        p = kmer_shares(s, k)
-        h = F.round((1 - F.sum(F.pow("freq", F.lit(q)))) / (q - 1), 6)
-        one = p.groupBy("seq_id").agg(h.alias("h")).select("seq_id", F.lit(k).alias("k"), F.when(F.abs("h") > 0, F.col("h")).alias("entropy"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _entropies(s, ks, (1 - F.sum(F.pow("freq", F.lit(q)))) / (q - 1))
 
 
 def dipeptide_deviation(s: DataFrame) -> DataFrame:
@@ -137,15 +129,8 @@ def spaced_pairs(s: DataFrame, gaps: range) -> DataFrame:
 
 def pair_counts(s: DataFrame, gaps: range) -> DataFrame:
     """(seq_id, gap, total, pair, cnt) of residues with `gap` others between them; all gaps come out of one scan."""
-    rows = bound(s, "seq_id", chars=F.split("seq", ""), n=F.length("seq"))
-
-    def pairs(g: int) -> Column:
-        m = F.col("n") - 1 - g
-        both = F.zip_with(F.slice("chars", F.lit(1), m), F.slice("chars", F.lit(g + 2), m), lambda a, b: F.struct(F.lit(g).alias("gap"), m.alias("total"), F.concat(a, b).alias("pair")))
-        return F.when(m > 0, both).otherwise(F.array().cast("array<struct<gap:int,total:int,pair:string>>"))
-
-    rows = rows.select("seq_id", F.explode(F.concat(*map(pairs, gaps))).alias("x"))
-    return rows.groupBy("seq_id", "x.gap", "x.total", "x.pair").agg(F.count("*").alias("cnt"))
+    gap = F.element_at(F.array(*map(F.lit, gaps)), F.col("shape") + 1)
+    return word_counts(s, [(0, g + 1) for g in gaps]).select("seq_id", gap.alias("gap"), "total", F.col("word").alias("pair"), "cnt")
 
 
 def triad_scores(s: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.residues import AMIDE_CTERM_PK, ENERGIES, FORMULAS, NEGATIVE_PK, POSITIVE_PK, WEIGHTS
+from strandloom.operators.arrays import class_places
 from strandloom.operators.kmers import bound
 
 WATER = 18.015
@@ -104,14 +105,8 @@ def class_transition(s: DataFrame, properties: Properties) -> DataFrame:
 def class_distribution(s: DataFrame, properties: Properties) -> DataFrame:
     """(seq_id, property, grp, q, place): 100 position / length of the first, and of the floor(q n)-th (at least first), occurrence
     of each group, q in 0, 25, 50, 75, 100; 0 for a group that does not occur. Positions are found within the row."""
-    chars = _classes(s, properties, 1)
-    places = lambda j, i: F.filter(F.transform(F.split(F.col(f"c{j}"), ""), lambda c, at: F.when(c == str(i), at + 1)), lambda at: at.isNotNull())
-    row = [F.struct(F.lit(name).alias("property"), F.lit(i).alias("grp"), places(j, i).alias("at")) for j, (name, g) in enumerate(properties.items()) for i in range(1, len(g) + 1)]
-    p = chars.select("seq_id", "n", F.explode(F.array(*row)).alias("x")).select("seq_id", "n", "x.*")
-    q = F.explode(F.array(*[F.lit(x) for x in (0, 25, 50, 75, 100)]))
-    p = p.select("seq_id", "n", "property", "grp", "at", q.alias("q"))
-    k = F.greatest(F.lit(1), F.floor(F.col("q") * F.size("at") / 100).cast("int"))
-    return p.select("seq_id", "property", "grp", "q", F.round(100.0 * F.coalesce(F.get("at", k - 1), F.lit(0)) / F.col("n"), 6).alias("place"))
+    p = class_places(s, properties, (0, 25, 50, 75, 100))
+    return p.select("seq_id", "property", "grp", "q", F.round(100.0 * F.coalesce("at", F.lit(0)) / F.col("n"), 6).alias("place"))
 
 
 def scale_autocorrelation(s: DataFrame, scale: dict[str, float], lags: int) -> DataFrame:

@@ -55,6 +55,11 @@ def percent(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c) * 100 for c in columns})
 
 
+def finite(df: DataFrame, *columns: str) -> DataFrame:
+    """Infinite values and NaN of the columns become null."""
+    return df.withColumns({c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c)) for c in columns})
+
+
 def null_and_infinite(df: DataFrame) -> DataFrame:
     """(column, nulls, infinite): how many values of each column are null or NaN, and infinite; one pass over the table."""
     number = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.residues import CODING_CONTENT, CODING_POSITION, DINUCLEOTIDES, EISENBERG, SIDE_CHAINS, standardised
 from strandloom.operators import descriptors as D
-from strandloom.operators.kmers import SEVEN_GROUPS
+from strandloom.operators.arrays import sliding_shares
+from strandloom.operators.kmers import FIVE_GROUPS, SEVEN_GROUPS, grouped
 from strandloom.operators.sequences import AMINO_ACIDS, NUCLEOTIDES, sequence_table
 from strandloom.plans.sequence_queries import DNA, PROTEIN, _counts, _grouped
 
@@ -31,19 +32,31 @@ SQL["zero_filled_dnc"] = (
 )
 Q["kstep_composition"] = lambda spark, d: D.stepped_composition(_dna(spark, d), 30, 20, 3)
 SQL["kstep_composition"] = (
-    f"WITH {DNA}, s AS (SELECT seq_id, substr(seq, i, 30) AS part FROM (SELECT *, unnest(range(1, length(seq) + 1, 20)) AS i FROM dna)), "
-    "w AS (SELECT seq_id, substr(part, i, 3) AS kmer FROM (SELECT *, unnest(range(1, length(part) - 1)) AS i FROM s)) "
-    "SELECT seq_id, kmer, count(*)::bigint AS cnt, (sum(count(*)) OVER (PARTITION BY seq_id))::bigint AS total FROM w GROUP BY seq_id, kmer"
+    f"WITH {DNA}, s AS (SELECT seq_id, substr(seq, i, 30) AS part FROM (SELECT *, unnest(range(1, 2 + 20 * ceil(greatest(length(seq) - 49, 0) / 20.0)::bigint, 20)) AS i FROM dna WHERE length(seq) > 0)), "
+    "w AS (SELECT seq_id, k, substr(part, i, k) AS kmer FROM (SELECT *, unnest(range(1, length(part) - k + 2)) AS i FROM (SELECT *, unnest([1, 2, 3]) AS k FROM s))) "
+    "SELECT seq_id, k, kmer, count(*)::bigint AS cnt, (sum(count(*)) OVER (PARTITION BY seq_id, k))::bigint AS total FROM w GROUP BY seq_id, k, kmer"
 )
-Q["windowed_composition"] = lambda spark, d: D.windowed_composition(_protein(spark, d), 100, 100)
-SQL["windowed_composition"] = (
-    f"WITH {PROTEIN}, s AS (SELECT seq_id, i, substr(seq, (i + 1)::bigint, 100) AS part FROM (SELECT *, unnest(range(0, length(seq) - 99, 100)) AS i FROM protein WHERE length(seq) >= 100)) "
-    "SELECT seq_id, i::int AS start, residue, count(*)::bigint AS cnt FROM (SELECT seq_id, i, unnest(string_split(part, '')) AS residue FROM s) GROUP BY ALL"
+_SLIDING = (
+    ", p AS (SELECT seq_id, length(seq) AS n, unnest(range(1, length(seq) + 1)) AS i, unnest(string_split(seq, '')) AS residue FROM {0} WHERE length(seq) >= 5), "
+    "w AS (SELECT seq_id, n, residue, unnest(range(greatest(1, i - 4), least(i, n - 4) + 1)) AS start FROM p), c AS (SELECT seq_id, start, residue, count(*) AS c FROM w GROUP BY ALL) "
+    "SELECT seq_id, residue, count(*)::bigint AS n_windows, max(c) / 5.0::double AS largest, round(sum(c) / 5.0::double, 6) AS total FROM c GROUP BY seq_id, residue"
 )
-Q["ksctriad"] = lambda spark, d: D.spaced_triads(_protein(spark, d), 1)
-SQL["ksctriad"] = (
-    f"{_counts(_grouped(SEVEN_GROUPS), 'g', 3, pattern='substr(seq, i, 1) || substr(seq, i + 2, 1) || substr(seq, i + 4, 1)', width=5)} "
-    "SELECT seq_id, kmer AS triad, round((cnt - CASE WHEN count(*) OVER s = 343 THEN min(cnt) OVER s ELSE 0 END) / (max(cnt) OVER s)::double, 9) AS score FROM c WINDOW s AS (PARTITION BY seq_id)"
+
+
+def _sliding(s):
+    """Where each residue's share of the windows of five is largest, in how many windows it occurs, and the sum of its shares."""
+    return sliding_shares(s, 5).groupBy("seq_id", "residue").agg(F.count("*").alias("n_windows"), F.max("share").alias("largest"), F.round(F.sum("share"), 6).alias("total"))
+
+
+Q["windowed_composition"] = lambda spark, d: _sliding(_protein(spark, d))
+SQL["windowed_composition"] = f"WITH {PROTEIN}{_SLIDING.format('protein')}"
+Q["windowed_groups"] = lambda spark, d: _sliding(grouped(_protein(spark, d), FIVE_GROUPS))
+SQL["windowed_groups"] = f"WITH {_grouped(FIVE_GROUPS)}{_SLIDING.format('g')}"
+Q["ksctriad"] = lambda spark, d: D.spaced_triads(_protein(spark, d), range(0, 3))
+SQL["ksctriad"] = " UNION ALL ".join(
+    f"SELECT * FROM ({_counts(_grouped(SEVEN_GROUPS), 'g', 3, pattern=f'substr(seq, i, 1) || substr(seq, i + {g + 1}, 1) || substr(seq, i + {2 * g + 2}, 1)', width=2 * g + 3)} "
+    f"SELECT seq_id, {g} AS gap, kmer AS triad, round((cnt - CASE WHEN count(*) OVER s = 343 THEN min(cnt) OVER s ELSE 0 END) / (max(cnt) OVER s)::double, 9) AS score FROM c WINDOW s AS (PARTITION BY seq_id))"
+    for g in range(3)
 )
 
 

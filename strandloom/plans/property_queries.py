@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandloom.functions.residues import AMIDE_CTERM_PK, EISENBERG, ENERGIES, NEGATIVE_PK, NUCLEOTIDE_MAPS, POSITIVE_PK, PROPERTY_GROUPS, WEIGHTS
 from strandloom.operators import peptides as P
 from strandloom.operators import signals as S
+from strandloom.operators.arrays import scale_windows
 from strandloom.operators.sequences import sequence_table
 from strandloom.plans.sequence_queries import DNA, PROTEIN
 
@@ -105,3 +106,23 @@ Q["fourier_eiip"] = lambda spark, d: S.spectrum_summary(_dna(spark, d), NUCLEOTI
 Q["fourier_integer"] = lambda spark, d: S.spectrum_summary(_dna(spark, d), NUCLEOTIDE_MAPS["integer"])
 Q["property_groups"] = lambda spark, d: P.classed(_protein(spark, d), PROPERTY_GROUPS["charge"]).select("seq_id", P.residue("1").alias("positive"), P.residue("3").alias("negative"))
 SQL["property_groups"] = f"WITH {_classed(PROPERTY_GROUPS['charge'])} SELECT seq_id, {_n('1')}::int AS positive, {_n('3')}::int AS negative FROM g"
+
+_V = (
+    f"WITH {PROTEIN}, c AS (SELECT seq_id, length(seq) AS n, unnest(range(length(seq))) AS i, unnest(string_split(seq, '')) AS c FROM protein WHERE length(seq) > 0), v AS (SELECT seq_id, n, i, {_SCALE} AS v FROM c), "
+    "x AS (SELECT seq_id, i + 1 - least({0}, n) AS start, {1} AS x FROM v WINDOW w AS (PARTITION BY seq_id ORDER BY i ROWS BETWEEN {2} PRECEDING AND CURRENT ROW) QUALIFY i + 1 >= least({0}, n))"
+)
+_MEAN = "sum(v) OVER w / least({0}, n)"
+_TURNED = "sqrt(pow(sum(v * cos(radians(100.0::double) * i)) OVER w, 2) + pow(sum(v * sin(radians(100.0::double) * i)) OVER w, 2)) / least({0}, n)"
+_WINDOWS = "SELECT seq_id, count(*)::bigint AS n_windows, round(max(x), 6) AS largest, round(avg(x), 6) AS mean FROM x GROUP BY seq_id"
+
+
+def _scale_windows(s, width, degrees=None):
+    return scale_windows(s, EISENBERG, width, degrees).select("seq_id", "n_windows", F.round("largest", 6).alias("largest"), F.round("mean", 6).alias("mean"))
+
+
+Q["windowed_mean"] = lambda spark, d: _scale_windows(_protein(spark, d), 11)
+SQL["windowed_mean"] = f"{_V.format(11, _MEAN.format(11), 10)} {_WINDOWS}"
+Q["hydrophobic_moment_windows"] = lambda spark, d: _scale_windows(_protein(spark, d), 11, 100.0)
+SQL["hydrophobic_moment_windows"] = f"{_V.format(11, _TURNED.format(11), 10)} {_WINDOWS}"
+Q["scale_profile"] = lambda spark, d: scale_windows(_protein(spark, d), EISENBERG, 19).select("seq_id", F.posexplode("every").alias("start", "value")).groupBy("start").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 6).alias("largest"))
+SQL["scale_profile"] = f"{_V.format(19, _MEAN.format(19), 18)} SELECT start::int AS start, count(*)::bigint AS n, round(avg(x), 6) AS mean, round(max(x), 6) AS largest FROM x GROUP BY start"

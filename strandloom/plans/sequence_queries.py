@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandloom.operators import kmers as K
+from strandloom.operators import tables as T
 from strandloom.operators.sequences import AMINO_ACIDS, alphabet_violations, clean_protein, dedupe_sequences, folds, letters, md5_key, read, sequence_table, split_tag
 
 DNA = "dna AS (SELECT doc_id AS seq_id, lang AS label, replace(regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ATGCU]', '', 'g'), 'U', 'T') AS seq FROM documents)"
@@ -132,7 +133,9 @@ def _(spark, d):
 
 @query("nonfinite_to_null", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0 THEN NULL ELSE round(l_tax / l_discount, 6) END AS ratio FROM lineitem")
 def _(spark, d):
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.try_divide("l_tax", "l_discount"), 6).alias("ratio"))
+    # a division by 0 is infinite, of 0 by 0 not a number
+    ratio = F.when(F.col("l_discount") == 0, F.col("l_tax") * float("inf")).otherwise(F.try_divide("l_tax", "l_discount"))
+    return T.finite(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(ratio, 6).alias("ratio")), "ratio")
 
 
 @query("dedupe_sequences", f"WITH {DNA} SELECT min(seq_id) AS seq_id, count(*)::bigint AS copies, length(seq)::int AS len FROM dna GROUP BY seq")
@@ -214,14 +217,14 @@ for _name, _k in (("gaac", 1), ("gdpc", 2), ("gtpc", 3)):
 for _name, _aft in (("kgap_di", 2), ("kgap_tri", 3)):
     Q[_name] = lambda spark, d, k=_aft: K.composition(_dna(spark, d), k + 1, gap=1, skip="_", digits=9)
     SQL[_name] = _composition(DNA, "dna", _aft, pattern=f"substr(seq, i, 1) || '_' || substr(seq, i + 2, {_aft})", width=_aft + 2)
-Q["kmer_upto"] = lambda spark, d: K.shares(K.upto(_dna(spark, d), 3), "k").select("seq_id", "k", "kmer", F.round("freq", 9).alias("freq"))
+Q["kmer_upto"] = lambda spark, d: K.upto(_dna(spark, d), 3).select("seq_id", "k", "kmer", F.round(F.col("cnt") / F.col("total"), 9).alias("freq"))
 SQL["kmer_upto"] = _upto(DNA, "dna", (1, 2, 3), "SELECT seq_id, {k} AS k, kmer, round(cnt / (sum(cnt) OVER (PARTITION BY seq_id))::double, 9) AS freq FROM c")
 _RC = "least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA')))"
 Q["canonical_kmers"] = lambda spark, d: K.canonical_counts(_dna(spark, d), 3)
 SQL["canonical_kmers"] = f"WITH {DNA}, {_windows('dna', 3)} SELECT seq_id, {_RC} AS kmer, count(*)::bigint AS cnt FROM w GROUP BY seq_id, {_RC}"
-Q["revc_kmer"] = lambda spark, d: K.shares(K.upto(_dna(spark, d), 3, K.canonical_counts), "k").select("seq_id", "k", "kmer", F.round("freq", 9).alias("freq"))
+Q["revc_kmer"] = lambda spark, d: K.canonical_upto(_dna(spark, d), 3).select("seq_id", "k", "kmer", F.round(F.col("cnt") / F.col("total"), 9).alias("freq"))
 SQL["revc_kmer"] = _upto(DNA, "dna", (1, 2, 3), f"SELECT seq_id, {{k}} AS k, rc AS kmer, round(n / (sum(n) OVER (PARTITION BY seq_id))::double, 9) AS freq FROM (SELECT seq_id, {_RC} AS rc, sum(cnt) AS n FROM c GROUP BY seq_id, {_RC})")
-Q["corpus_ngrams"] = lambda spark, d: K.windows(_dna(spark, d), 4).groupBy("kmer").agg(F.count("*").alias("cnt"))
+Q["corpus_ngrams"] = lambda spark, d: K.kmer_counts(_dna(spark, d), 4).groupBy("kmer").agg(F.sum("cnt").alias("cnt"))
 SQL["corpus_ngrams"] = f"WITH {DNA}, {_windows('dna', 4)} SELECT kmer, count(*)::bigint AS cnt FROM w GROUP BY kmer"
 Q["shannon_entropy"] = lambda spark, d: K.shannon(_dna(spark, d), (1, 2, 3, 4, 5))
 _H = "SELECT seq_id, {k} AS k, CASE WHEN abs(h) > 0 THEN h END AS entropy FROM (SELECT seq_id, round({h}, 6) AS h FROM (SELECT seq_id, cnt / (sum(cnt) OVER (PARTITION BY seq_id))::double AS p FROM c) GROUP BY seq_id)"
@@ -259,7 +262,7 @@ def _(spark, d):
 
 @query("kmer_diversity", f"WITH {DNA}, {_windows('dna', 2)}, c AS (SELECT label, kmer, count(*) AS cnt FROM w GROUP BY ALL) SELECT label, round(sum(cnt) * log2(sum(cnt)::double) - sum(cnt * log2(cnt::double)), 3) AS diversity FROM c GROUP BY label")
 def _(spark, d):
-    c = K.windows(_dna(spark, d), 2).groupBy("label", "kmer").agg(F.count("*").alias("cnt"))
+    c = K.kmer_counts(_dna(spark, d), 2, ("seq_id", "label")).groupBy("label", "kmer").agg(F.sum("cnt").alias("cnt"))
     return c.groupBy("label").agg(F.round(F.sum("cnt") * F.log2(F.sum("cnt")) - F.sum(F.col("cnt") * F.log2("cnt")), 3).alias("diversity"))
 
 
@@ -268,11 +271,10 @@ _STOP_FREE = "M[Mabcd]*[01]"
 
 def _codon_letters(frame: int) -> F.Column:
     """One letter for each codon of a frame: M start, 0 TAA, 1 TAG or TGA, else a to d for no to three G or C."""
-    chars = F.split("seq", "")
     codons = F.transform(F.sequence(F.lit(frame), F.length("seq") - 3, F.lit(3)), lambda i: F.array_join(F.slice("chars", i + 1, 3), ""))
     gc = lambda c: F.element_at(F.array(*[F.lit(x) for x in "abcd"]), F.length(F.regexp_replace(c, "[AT]", "")) + 1)
     letter = F.transform(codons, lambda c: F.when(c == "ATG", "M").when(c == "TAA", "0").when(c.isin("TAG", "TGA"), "1").otherwise(gc(c)))
-    return chars, F.when(F.length("seq") >= frame + 3, F.array_join(letter, "")).otherwise("")
+    return F.when(F.length("seq") >= frame + 3, F.array_join(letter, "")).otherwise("")
 
 
 _FRAME_SQL = """SELECT seq_id, unnest(regexp_extract_all(array_to_string(list_transform(range({f} + 1, length(seq) - 1, 3), lambda i: CASE substr(seq, i, 3) WHEN 'ATG' THEN 'M' WHEN 'TAA' THEN '0' WHEN 'TAG' THEN '1' WHEN 'TGA' THEN '1'
@@ -289,11 +291,8 @@ FROM dna d LEFT JOIN m USING (seq_id) GROUP BY d.seq_id""",
 )
 def _(spark, d):
     s = _dna(spark, d)
-    found = None
-    for f in range(3):
-        chars, code = _codon_letters(f)
-        one = s.withColumn("chars", chars).select("seq_id", F.explode(F.regexp_extract_all(code, F.lit(_STOP_FREE), F.lit(0))).alias("orf"))
-        found = one if found is None else found.unionByName(one)
+    frames = K.bound(s, "seq_id", "seq", chars=F.split("seq", "")).select("seq_id", F.explode(F.array(*map(_codon_letters, range(3)))).alias("code"))
+    found = frames.select("seq_id", F.explode(F.regexp_extract_all("code", F.lit(_STOP_FREE), F.lit(0))).alias("orf"))
     part = lambda p: F.length(F.regexp_replace("orf", f"[^{p}]", ""))
     m = found.select("seq_id", (3 * F.length("orf")).alias("n"), (100.0 * (part("Mb1") + 2 * part("c") + 3 * part("d")) / (3 * F.length("orf"))).alias("gc"))
     zero = lambda c, name: F.coalesce(F.round(c, 6), F.lit(0.0)).alias(name)

@@ -248,7 +248,3 @@ def _(spark, d):
 
 Q["feature_means"] = lambda spark, d: _x(spark, d).groupBy("label", "feature").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("std"))
 SQL["feature_means"] = f"WITH {LONG} SELECT label, feature, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM x GROUP BY label, feature"
-# the same under the names that tell that all components and unrounded scores count
-for _name in ("long_features", "standard_scale", "minmax_scale", "impute_mean", "pearson_pairs", "spearman_pairs", "importance_rank", "top_features", "descriptor_presence", "feature_means"):
-    Q[f"{_name}_all"], SQL[f"{_name}_all"] = Q[_name], SQL[_name]
-Q["roc_auc_exact"], SQL["roc_auc_exact"] = Q["roc_auc"], SQL["roc_auc"]
