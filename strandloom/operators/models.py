@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
@@ -14,15 +15,19 @@ from pyspark.sql import functions as F
 
 from strandloom.operators import evaluation as E
 
+TREES = 50
+DEPTH = 8
+ROUNDS = 20  # of boosting
+
 CLASSIFIERS = {
-    "forest": lambda seed: RandomForestClassifier(labelCol="label", featuresCol="scaled", numTrees=50, maxDepth=8, seed=seed),
-    "boosted": lambda seed: OneVsRest(classifier=GBTClassifier(labelCol="label", featuresCol="scaled", maxIter=20, seed=seed), labelCol="label", featuresCol="scaled"),
-    "logistic": lambda seed: LogisticRegression(labelCol="label", featuresCol="scaled", maxIter=50),
+    "forest": lambda seed, trees, depth: RandomForestClassifier(labelCol="label", featuresCol="scaled", numTrees=trees or TREES, maxDepth=depth or DEPTH, seed=seed),
+    "boosted": lambda seed, trees, depth: OneVsRest(classifier=GBTClassifier(labelCol="label", featuresCol="scaled", maxIter=trees or ROUNDS, maxDepth=depth or 5, seed=seed), labelCol="label", featuresCol="scaled"),
+    "logistic": lambda seed, trees, depth: LogisticRegression(labelCol="label", featuresCol="scaled", maxIter=50),
 }
 REGRESSORS = {
-    "forest": lambda seed: RandomForestRegressor(labelCol="label", featuresCol="scaled", numTrees=50, maxDepth=8, seed=seed),
-    "boosted": lambda seed: GBTRegressor(labelCol="label", featuresCol="scaled", maxIter=20, seed=seed),
-    "linear": lambda seed: LinearRegression(labelCol="label", featuresCol="scaled", maxIter=50),
+    "forest": lambda seed, trees, depth: RandomForestRegressor(labelCol="label", featuresCol="scaled", numTrees=trees or TREES, maxDepth=depth or DEPTH, seed=seed),
+    "boosted": lambda seed, trees, depth: GBTRegressor(labelCol="label", featuresCol="scaled", maxIter=trees or ROUNDS, maxDepth=depth or 5, seed=seed),
+    "linear": lambda seed, trees, depth: LinearRegression(labelCol="label", featuresCol="scaled", maxIter=50),
 }
 
 
@@ -40,12 +45,17 @@ def imputed(rows: DataFrame, means: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(means)).withColumn("features", fill).drop("means")
 
 
-def fit(train: DataFrame, learner: str = "forest", kind: str = "classifier", seed: int = 63) -> tuple[DataFrame, PipelineModel]:
-    """(means, model) of train (features, label): imputation, standard scaling and the learner see training rows only."""
-    means = column_means(train)
-    stages = [StandardScaler(inputCol="vector", outputCol="scaled", withMean=True, withStd=True), (CLASSIFIERS if kind == "classifier" else REGRESSORS)[learner](seed)]
-    rows = imputed(train, means).select(array_to_vector("features").alias("vector"), F.col("label").cast("double").alias("label"))
-    return means, Pipeline(stages=stages).fit(rows)
+def fit(train: DataFrame, learner: str = "forest", kind: str = "classifier", seed: int = 63, trees: int | None = None, depth: int | None = None) -> tuple[DataFrame, PipelineModel]:
+    """(means, model) of train (features, label): imputation, standard scaling and the learner see training rows only. trees and depth
+    are those of forests and boosted trees."""
+    means = column_means(train).persist()
+    learn = (CLASSIFIERS if kind == "classifier" else REGRESSORS)[learner](seed, trees, depth)
+    stages = [StandardScaler(inputCol="vector", outputCol="scaled", withMean=True, withStd=True), learn]
+    rows = imputed(train, means).select(array_to_vector("features").alias("vector"), F.col("label").cast("double").alias("label")).persist()
+    try:
+        return means, Pipeline(stages=stages).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def apply(rows: DataFrame, fitted: tuple[DataFrame, PipelineModel]) -> DataFrame:
@@ -65,13 +75,17 @@ def load(spark, path: str) -> tuple[DataFrame, PipelineModel]:
     return spark.read.parquet(f"{path}/means"), PipelineModel.load(f"{path}/model")
 
 
-def cross_validated(rows: DataFrame, folds: int = 5, learner: str = "forest", seed: int = 63) -> DataFrame:
-    """rows (id, features, label, fold) with out-of-fold predictions (id, fold, real, pred): a fit for each of the few folds."""
-    parts = []
-    for k in range(folds):
-        found = apply(rows.where(F.col("fold") == k), fit(rows.where(F.col("fold") != k), learner, seed=seed))
-        parts.append(found.select("id", "fold", F.col("label").alias("real"), F.col("pred").cast("int").alias("pred")))
-    return reduce(DataFrame.unionByName, parts)
+def cross_validated(rows: DataFrame, folds: int = 5, learner: str = "forest", seed: int = 63, kind: str = "classifier", **settings) -> DataFrame:
+    """rows (id, features, label, fold) with out-of-fold predictions (id, fold, real, pred): a fit for each of the few folds, run at
+    the same time."""
+
+    def one(k: int) -> DataFrame:
+        found = apply(rows.where(F.col("fold") == k), fit(rows.where(F.col("fold") != k), learner, kind, seed, **settings))
+        pred = F.col("pred").cast("int") if kind == "classifier" else F.col("pred")
+        return found.select("id", "fold", F.col("label").alias("real"), pred.alias("pred"))
+
+    with ThreadPool(folds) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, range(folds)))
 
 
 def fold_metrics(predictions: DataFrame, folds: int) -> DataFrame:

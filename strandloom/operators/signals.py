@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.operators.arrays import Slice, by_slice
+
 
 def mapped(values: dict[str, float], other: float) -> Column:
     """Array of the numbers that stand for the characters of seq."""
@@ -40,12 +42,87 @@ def chaos_game(s: DataFrame) -> DataFrame:
     return s.where("length(seq) > 0").select("seq_id", end.alias("p")).select("seq_id", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
 
 
+#: Channels of each mapping by name: a number for each character, and for any other one.
+BINARY = {c: ({c: 1.0}, 0.0) for c in "ACTG"}
+CURVES = {"x": ({"A": 1.0, "G": 1.0}, -1.0), "y": ({"A": 1.0, "C": 1.0}, -1.0), "z": ({"A": 1.0, "T": 1.0}, -1.0)}
+CORNERS = {"x": ({"A": 1.0, "C": -1.0, "T": -1.0}, 1.0), "y": ({"A": 1.0, "C": -1.0, "T": 1.0}, -1.0)}
+PLANE = {"re": ({"A": 1.0, "C": -1.0, "T": 1.0}, -1.0), "im": ({"A": 1.0, "C": 1.0, "T": -1.0}, -1.0)}
+Channels = dict[str, tuple[dict[str, float], float]]
+
+
+def numbers(values: dict[str, float]) -> Channels:
+    """One channel of these numbers; other characters count as G, or as 0 where G has no number."""
+    return {"x": (values, values.get("G", 0.0))}
+
+
+def _running(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(x)
+
+
+_HALVES = 0.5 ** np.arange(1, 61)  # of a term 60 steps back a double no longer holds anything
+
+
+def _halved(x: np.ndarray) -> np.ndarray:
+    """y[i] = (x[i] + y[i - 1]) / 2 from 0 on."""
+    return np.convolve(x, _HALVES)[: len(x)]
+
+
+RULES = {"plain": None, "running": _running, "halved": _halved}
+
+
+def _signals(part: Slice, channels: Channels, rule: str) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The row and channels of each sequence that is not empty."""
+    looked_up = [part.looked_up(values, other) for values, other in channels.values()]
+    step = RULES[rule]
+    for r in np.flatnonzero(part.length).tolist():
+        a, b = part.start[r], part.start[r] + part.length[r]
+        yield r, [step(x[a:b]) if step else x[a:b] for x in looked_up]
+
+
+def signals(s: DataFrame, channels: Channels, rule: str = "plain") -> DataFrame:
+    """(seq_id, channel, values): the whole signal of each channel, a number at each position.
+
+    rule: plain numbers, their running sums (cumulative curves), or "halved", where each step goes half-way from the point before to the
+    character's corner (chaos game). A sequence costs its length. Empty sequences have no signal.
+    """
+    names = list(channels)
+
+    def each(part: Slice) -> tuple[np.ndarray, list]:
+        rows, which, values = [], [], []
+        for r, x in _signals(part, channels, rule):
+            rows += [r] * len(x)
+            which += names
+            values += x
+        ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+        return np.array(rows, np.int64), [pa.array(which, pa.string()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*values, np.empty(0)])))]
+
+    return by_slice(s, ("seq_id",), "channel string, values array<double>", each)
+
+
+def padded(x: DataFrame, length: int | None = None) -> DataFrame:
+    """Signals of one length: zeros follow up to the longest of the table (one number is sent to all tasks), or up to `length`, at which
+    longer ones are cut."""
+    if length is not None:
+        most, x = F.lit(length), x.withColumn("values", F.slice("values", 1, length))
+        return x.withColumn("values", F.concat("values", F.array_repeat(F.lit(0.0), most - F.size("values"))))
+    most = x.agg(F.max(F.size("values")).alias("most"))
+    return x.join(F.broadcast(most)).withColumn("values", F.concat("values", F.array_repeat(F.lit(0.0), F.col("most") - F.size("values")))).drop("most")
+
+
+def position_means(x: DataFrame) -> DataFrame:
+    """(channel, pos, mean, n) over padded signals: what padding adds is zeros, so only real positions are laid out and summed; n is
+    how many signals reach the position."""
+    n = x.groupBy("channel").agg(F.count("*").alias("all"))
+    at = x.select("channel", F.posexplode("values").alias("pos", "v")).groupBy("channel", "pos").agg(F.sum("v").alias("total"), F.count("*").alias("n"))
+    return at.join(F.broadcast(n), "channel").select("channel", "pos", F.round(F.col("total") / F.col("all"), 6).alias("mean"), "n")
+
+
 NAMES = ("mean", "median", "max", "min", "peak", "peak_amplitude", "std_pop", "std", "p15", "p25", "p50", "p75", "range", "variance", "iqr", "semi_iqr", "cv", "skew", "kurtosis")
 
 
-def _summary(power: np.ndarray) -> list[float | None]:
+def _summary(power: np.ndarray, amplitude: np.ndarray) -> list[float | None]:
     n = len(power)
-    mean, median, amplitude = power.mean(), np.median(power), np.sqrt(power)
+    mean, median = power.mean(), np.median(power)
     p10, p15, p25, p50, p75, p90 = np.percentile(power, [10, 15, 25, 50, 75, 90])
     std = power.std(ddof=1) if n > 1 else math.nan
     third = n // 3
@@ -53,12 +130,17 @@ def _summary(power: np.ndarray) -> list[float | None]:
     return [float(x) if math.isfinite(x) else None for x in out]
 
 
-def spectrum_summary(s: DataFrame, values: dict[str, float]) -> DataFrame:
-    """(seq_id, and nineteen statistics of the whole sequence's power spectrum): a transform over each row's array, in batches."""
+def spectrum_summary(s: DataFrame, channels: Channels, rule: str = "plain", complex_plane: bool = False) -> DataFrame:
+    """(seq_id, and nineteen statistics of the whole sequence's power spectrum): powers and amplitudes are summed over the channels; with
+    `complex_plane` two channels are one signal's real and imaginary part. Empty sequences have nulls."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [_summary(np.abs(np.fft.fft(np.array([values.get(c, values["G"]) for c in seq]))) ** 2) if seq else [None] * len(NAMES) for seq in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], pa.float64()) for i in range(len(NAMES))]], ["seq_id", *NAMES])
+    def each(part: Slice) -> tuple[np.ndarray, list]:
+        rows = [[None] * len(NAMES)] * len(part.length)
+        for r, x in _signals(part, channels, rule):
+            if complex_plane:
+                x = [x[0] + 1j * x[1]]
+            sizes = [np.abs(np.fft.fft(c)) for c in x]
+            rows[r] = _summary(sum(a * a for a in sizes), sum(sizes))
+        return np.arange(len(part.length)), [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(NAMES))]
 
-    return s.select("seq_id", "seq").mapInArrow(run, "seq_id long, " + ", ".join(f"{n} double" for n in NAMES))
+    return by_slice(s, ("seq_id",), ", ".join(f"{n} double" for n in NAMES), each)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandloom.operators import evaluation as E
 from strandloom.operators import features as X
 from strandloom.operators import models as M
+from strandloom.operators import search as SE
 from strandloom.operators import tables as T
 from strandloom.operators.sequences import read
 from strandloom.plans.table_queries import LONG, PRED, _p
@@ -242,3 +243,38 @@ def _(spark, d):
 @query("principal_components")
 def _(spark, d):
     return M.principal_components(_rows(spark, d), 2).select("id", *[F.round(F.col("pc")[i], 6).alias(f"pc{i + 1}") for i in range(2)])
+
+
+_GROUPS = {f"g{i}": list(range(16 * i, 16 * i + 16)) for i in range(4)}
+
+
+@query("model_group_search")
+def _(spark, d):
+    _, trials = SE.group_search(_rows(spark, d), _GROUPS, ("logistic",), trials=6, folds=2, score="f1_weighted")
+    return SE.trial_table(spark, trials)
+
+
+@query("model_resamplers")
+def _(spark, d):
+    _, trials = SE.pick_resampler(_rows(spark, d).withColumn("fold", F.col("fold") % 2), "logistic")
+    return SE.trial_table(spark, trials)
+
+
+@query("model_algorithms")
+def _(spark, d):
+    _, trials = SE.pick_algorithm(_rows(spark, d).withColumn("fold", F.col("fold") % 2), ("forest", "logistic"), score="f1_weighted")
+    return SE.trial_table(spark, trials)
+
+
+@query("model_thresholds")
+def _(spark, d):
+    _, _, trials = SE.threshold_search(_rows(spark, d).withColumn("fold", F.col("fold") % 2), folds=2, most=3, score="f1_weighted")
+    return SE.trial_table(spark, trials)
+
+
+@query("model_regression")
+def _(spark, d):
+    o = read(spark, d, "lineitem").where("l_quantity is not null and l_extendedprice is not null")
+    x = o.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.array(*[F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax")]).alias("features"), F.col("l_extendedprice").alias("label"))
+    x = x.withColumn("fold", F.pmod(F.crc32("id"), F.lit(5)).cast("int"))
+    return E.regression_by(M.cross_validated(x, 5, "linear", kind="regressor"), "fold")

@@ -102,8 +102,34 @@ SQL["chaos_game"] = (
     f"WITH {DNA}, p AS (SELECT seq_id, seq, i, substr(seq, i, 1) AS c FROM (SELECT *, unnest(range(greatest(1, length(seq) - 60), length(seq) + 1)) AS i FROM dna WHERE length(seq) > 0)) "
     f"SELECT seq_id, round({_CORNER.format(chr(40) + 'c IN (' + repr('A') + ', ' + repr('G') + '))')}, 6) AS x, round({_CORNER.format('c IN (' + repr('A') + ', ' + repr('T') + ')')}, 6) AS y FROM p GROUP BY seq_id"
 )
-Q["fourier_eiip"] = lambda spark, d: S.spectrum_summary(_dna(spark, d), NUCLEOTIDE_MAPS["eiip"])
-Q["fourier_integer"] = lambda spark, d: S.spectrum_summary(_dna(spark, d), NUCLEOTIDE_MAPS["integer"])
+for _name, _values in NUCLEOTIDE_MAPS.items():
+    Q[f"fourier_{_name}"] = lambda spark, d, v=_values: S.spectrum_summary(_dna(spark, d), S.numbers(v))
+Q["fourier_binary"] = lambda spark, d: S.spectrum_summary(_dna(spark, d), S.BINARY)
+Q["fourier_zcurve"] = lambda spark, d: S.spectrum_summary(_dna(spark, d), S.CURVES, "running")
+Q["fourier_complex"] = lambda spark, d: S.spectrum_summary(_dna(spark, d), S.PLANE, complex_plane=True)
+Q["fourier_protein"] = lambda spark, d: S.spectrum_summary(_protein(spark, d), S.numbers(EISENBERG))
+_POSITIONS = f"WITH {DNA}, n AS (SELECT count(*) AS n FROM dna WHERE length(seq) > 0), p AS (SELECT seq_id, unnest(range(length(seq))) AS pos, unnest(string_split(seq, '')) AS c FROM dna WHERE length(seq) > 0)"
+_MEANS = "SELECT channel, pos::int AS pos, round(sum(v) / (SELECT n FROM n), 6) AS mean, count(*)::bigint AS n FROM v GROUP BY channel, pos"
+
+
+def _channels_sql(channels: S.Channels, value: str) -> str:
+    """A row for each channel and position; {c} is the character's number."""
+    each = []
+    for name, (values, other) in channels.items():
+        number = "CASE c " + " ".join(f"WHEN '{k}' THEN {x}::double" for k, x in values.items()) + f" ELSE {other}::double END"
+        each.append(f"SELECT '{name}' AS channel, seq_id, pos, {value.format(c=f'({number})')} AS v FROM p")
+    return f"{_POSITIONS}, v AS ({' UNION ALL '.join(each)})"
+
+
+for _name, _channels, _rule, _value in (
+    ("signal_binary", S.BINARY, "plain", "{c}"),
+    ("signal_eiip", S.numbers(NUCLEOTIDE_MAPS["eiip"]), "plain", "{c}"),
+    ("signal_complex", S.PLANE, "plain", "{c}"),
+    ("signal_zcurve", S.CURVES, "running", "sum({c}) OVER (PARTITION BY seq_id ORDER BY pos ROWS UNBOUNDED PRECEDING)"),
+    ("signal_chaos", S.CORNERS, "halved", "list_reduce([0::double] || list({c}) OVER (PARTITION BY seq_id ORDER BY pos ROWS 59 PRECEDING), lambda a, x: (a + x) / 2)"),
+):
+    Q[_name] = lambda spark, d, c=_channels, r=_rule: S.position_means(S.signals(_dna(spark, d), c, r))
+    SQL[_name] = f"{_channels_sql(_channels, _value)} {_MEANS}"
 Q["property_groups"] = lambda spark, d: P.classed(_protein(spark, d), PROPERTY_GROUPS["charge"]).select("seq_id", P.residue("1").alias("positive"), P.residue("3").alias("negative"))
 SQL["property_groups"] = f"WITH {_classed(PROPERTY_GROUPS['charge'])} SELECT seq_id, {_n('1')}::int AS positive, {_n('3')}::int AS negative FROM g"
 

@@ -105,7 +105,7 @@ def test_scaling_of_a_constant(spark):
 
 def test_spectrum_keeps_energy(spark):
     values = {"A": 1.0, "C": -1.0, "G": 2.0, "T": 0.5}
-    r = signals.spectrum_summary(table(spark, "ACGTTGCA", ""), values).orderBy("seq_id").collect()
+    r = signals.spectrum_summary(table(spark, "ACGTTGCA", ""), signals.numbers(values)).orderBy("seq_id").collect()
     assert r[0]["mean"] == pytest.approx(sum(values[c] ** 2 for c in "ACGTTGCA")) and r[1]["mean"] is None
     end = signals.chaos_game(table(spark, "AC")).first()
     assert (end.x, end.y) == (-0.25, -0.25) and math.isclose(end.x, -0.25)
