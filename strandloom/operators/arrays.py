@@ -216,3 +216,102 @@ def sliding_shares(s: DataFrame, width: int, blank: str = "-") -> DataFrame:
         return np.concatenate(rows), [pa.array(np.concatenate(start).astype(np.int32)), pa.array(np.concatenate(letter).tolist(), pa.string()), pa.array(np.concatenate(share))]
 
     return by_slice(s, ("seq_id",), "start int, residue string, share double", rule, limit=SLICE // 16)
+
+
+#: Residues of a window of 18 in the order in which they stand around a helix, 100 degrees from each to the next; fixed by that angle.
+AROUND = sorted(range(18), key=lambda i: 100 * i % 360)
+
+
+def _arcs(x: np.ndarray) -> np.ndarray:
+    """Longest arc in degrees of each row of (windows, 18): 1 with the property, 0 without, 2 no residue.
+
+    A residue with the property adds 20 degrees and one without ends an arc. A place without residue adds 10 for each side on which the
+    next residue, at most two places away, has the property.
+    """
+    step = np.where(x == 1, 20, 0)
+    for shift in (1, -1):
+        near, far = np.roll(x, shift, axis=1), np.roll(x, 2 * shift, axis=1)
+        if shift == -1:  # behind the last place only the first one is looked at
+            far[:, 17] = 0
+        step = step + np.where(x == 2, 10 * ((near == 1) | (near == 2) & (far == 1)), 0)
+    best, run = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+    for i in range(36):
+        run = np.where(x[:, i % 18] == 0, 0, run + step[:, i % 18])
+        best = np.maximum(best, run)
+    return np.where((x == 0).any(axis=1), best, step.sum(axis=1))
+
+
+def helical_arcs(s: DataFrame, features: dict[str, str]) -> DataFrame:
+    """(seq_id, feature, largest, mean) over windows of 18 residues: the longest arc of a helix whose residues have the feature (named, with
+    its residues). Windows begin at each residue but those of the last 18; a sequence of up to 18 is one window with places left
+    empty. Empty sequences have no rows."""
+
+    def rule(part: Slice) -> tuple[np.ndarray, list]:
+        some = np.flatnonzero(part.length)
+        out: list[list] = [[], [], [], []]
+        for j, members in enumerate(features.values()):
+            has = part.looked_up(dict.fromkeys(members, 1.0)).astype(np.int8)
+            for r in some.tolist():
+                x = has[part.start[r] : part.start[r] + part.length[r]]
+                if len(x) > 18:
+                    x = np.lib.stride_tricks.sliding_window_view(x, 18)[:-1]
+                else:
+                    x = np.concatenate([x, np.full(18 - len(x), 2, np.int8)])[None, :]
+                arcs = _arcs(x[:, AROUND])
+                for column, value in zip(out, (r, j, arcs.max(), arcs.mean()), strict=True):
+                    column.append(value)
+        names = pa.array(list(features)).take(pa.array(out[1], pa.int64()))
+        return np.array(out[0], np.int64), [names, pa.array(out[2], pa.int64()), pa.array(out[3], pa.float64())]
+
+    return by_slice(s, ("seq_id",), "feature string, largest long, mean double", rule, limit=SLICE // 4)
+
+
+def scale_correlations(s: DataFrame, scales: dict[str, dict[str, float]], lags: int, kind: str = "cross") -> DataFrame:
+    """(seq_id, lag, scale, other, value) for lags from 0 to lags - 1 of sequences of more than `lags` residues.
+
+    "cross": mean product of one scale and another at the lag, each two scales once. "spatial": of each scale, standardised over its
+    residues, three rows with other nmbroto, moran and geary for lags from 1 to `lags`: the mean product, its share of the variance about the
+    sequence's mean, and half the mean squared difference over the sample variance (null where there is none).
+    """
+    names = list(scales)
+    tables = []
+    for v in scales.values():
+        mean = sum(v.values()) / len(v)
+        deviation = (sum((x - mean) ** 2 for x in v.values()) / len(v)) ** 0.5
+        tables.append({c: (x - mean) / deviation for c, x in v.items()} if kind == "spatial" else v)
+
+    def rule(part: Slice) -> tuple[np.ndarray, list]:
+        some = np.flatnonzero(part.length > lags)
+        tracks = [part.looked_up(t) for t in tables]
+        row, many = part.row, len(part.length)
+        mean = lambda x, at, n: np.bincount(row[at], weights=x, minlength=many) / np.maximum(n, 1)
+        out: list[list] = [[], [], [], [], []]
+
+        def add(lag: int, a: str, b: str, x: np.ndarray) -> None:
+            for column, more in zip(out, (some, np.full(len(some), lag), [a] * len(some), [b] * len(some), x[some]), strict=True):
+                column.append(more)
+
+        for lag in range(1, lags + 1) if kind == "spatial" else range(lags):
+            n = max(0, len(row) - lag)
+            at = np.flatnonzero(row[:n] == row[lag:])
+            m = part.length - lag
+            for i, x in enumerate(tracks):
+                if kind == "spatial":
+                    own = np.bincount(row, weights=x, minlength=many) / np.maximum(part.length, 1)
+                    total = np.bincount(row, weights=(x - own[row]) ** 2, minlength=many)
+                    add(lag, names[i], "nmbroto", mean(x[at] * x[at + lag], at, m))
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        moran = mean((x[at] - own[row[at]]) * (x[at + lag] - own[row[at]]), at, m) / (total / part.length)
+                        geary = mean((x[at] - x[at + lag]) ** 2, at, m) / 2 / (total / (part.length - 1))
+                    add(lag, names[i], "moran", moran)
+                    add(lag, names[i], "geary", geary)
+                else:
+                    for j in range(i + 1, len(tracks)):
+                        add(lag, names[i], names[j], mean(x[at] * tracks[j][at + lag], at, m))
+        if not out[0]:
+            return np.empty(0, np.int64), [pa.array([], t) for t in (pa.int32(), pa.string(), pa.string(), pa.float64())]
+        value = np.concatenate(out[4])
+        strings = [pa.array([x for part in c for x in part], pa.string()) for c in out[2:4]]
+        return np.concatenate(out[0]), [pa.array(np.concatenate(out[1]).astype(np.int32)), *strings, pa.array(value, mask=~np.isfinite(value))]
+
+    return by_slice(s, ("seq_id",), "lag int, scale string, other string, value double", rule)

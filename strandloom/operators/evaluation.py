@@ -96,3 +96,54 @@ def regression_by(p: DataFrame, fold: str) -> DataFrame:
     mse = F.avg(e * e)
     r2 = 1 - F.sum(e * e) / (F.var_pop("real") * F.count("*"))
     return p.groupBy(fold).agg(F.round(F.avg(F.abs(e)), 6).alias("mae"), F.round(mse, 6).alias("mse"), F.round(F.sqrt(mse), 6).alias("rmse"), F.round(r2, 6).alias("r2"))
+
+
+def auc_by(p: DataFrame, fold: str) -> DataFrame:
+    """(fold, auc) of (real 0 or 1, score) in each fold; null where a fold lacks one of the classes."""
+    from pyspark.sql import Window
+
+    s = p.groupBy(fold, "score").agg(F.sum(F.col("real")).alias("pos"), F.sum(1 - F.col("real")).alias("neg")).withColumn("range", F.rint(F.col("score") * 1024))
+    n = s.groupBy(fold, "range").agg(F.sum("neg").alias("all"))
+    n = n.select(fold, "range", (F.sum("all").over(Window.partitionBy(fold).orderBy("range")) - F.col("all")).alias("before"))
+    within = F.sum("neg").over(Window.partitionBy(fold, "range").orderBy("score")) - F.col("neg")
+    s = s.withColumn("within", within).join(n, [fold, "range"]).select(fold, "pos", "neg", (F.col("before") + F.col("within")).alias("below"))
+    return s.groupBy(fold).agg(F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)), F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
+
+
+#: Columns of a table of folds: each has a mean and a population deviation.
+CV_COLUMNS = ("acc", "sn", "sp", "f1", "mcc", "auc", "balanced_acc", "kappa", "gmean")
+
+
+def _binary(m: DataFrame) -> DataFrame:
+    """The measures of each row of counts (tp, tn, fp, fn), but the area; those that divide by nothing are 0."""
+    tp, tn, fp, fn = (F.col(c).cast("double") for c in ("tp", "tn", "fp", "fn"))
+    n = tp + tn + fp + fn
+    zero = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    sn, sp, acc = zero(tp, tp + fn), zero(tn, tn + fp), zero(tp + tn, n)
+    chance = zero((tp + fn) * (tp + fp) + (tn + fp) * (tn + fn), n * n)
+    mcc = zero(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)))
+    values = {"acc": acc, "sn": sn, "sp": sp, "f1": zero(2 * tp, 2 * tp + fp + fn), "mcc": mcc, "balanced_acc": (sn + sp) / 2, "kappa": zero(acc - chance, 1 - chance), "gmean": F.sqrt(sn * sp)}
+    return m.withColumns(values)
+
+
+def binary_counts(p: DataFrame, *by: str) -> DataFrame:
+    """(by, tp, tn, fp, fn) of (real, pred), 0 or 1."""
+    n = lambda r, q, name: F.count(F.when((F.col("real") == r) & (F.col("pred") == q), 1)).alias(name)
+    return p.groupBy(*by).agg(n(1, 1, "tp"), n(0, 0, "tn"), n(0, 1, "fp"), n(1, 0, "fn"))
+
+
+def cv_table(p: DataFrame, fold: str) -> DataFrame:
+    """One row: mean and population deviation over the folds of nine measures of (real, pred, score), and the number of folds: accuracy,
+    sensitivity, specificity, F1, Matthews correlation, area under the curve, balanced accuracy, kappa, G-mean; four digits."""
+    each = _binary(binary_counts(p, fold)).join(auc_by(p, fold), fold)
+    columns = [f(c, name) for c in CV_COLUMNS for f, name in ((lambda c, n: F.round(F.avg(c), 4).alias(n), f"mean_{c}"), (lambda c, n: F.round(F.stddev_pop(c), 4).alias(n), f"std_{c}"))]
+    return each.agg(*columns, F.count("*").alias("folds"))
+
+
+def from_matrix(m: DataFrame, positive: str) -> DataFrame:
+    """One row of a stored confusion matrix (real, pred, n), with or without margins named All: the counts of the positive class against
+    all others, and the measures that follow from them, six digits."""
+    inner = m.where("real <> 'All' and pred <> 'All'").select((F.col("real") == positive).alias("r"), (F.col("pred") == positive).alias("q"), "n")
+    n = lambda r, q, name: F.coalesce(F.sum(F.when((F.col("r") == r) & (F.col("q") == q), F.col("n"))), F.lit(0)).alias(name)
+    counts = inner.agg(n(True, True, "tp"), n(False, False, "tn"), n(False, True, "fp"), n(True, False, "fn"))
+    return _binary(counts).select("tp", "tn", "fp", "fn", *[F.round(c, 6).alias(c) for c in CV_COLUMNS if c != "auc"])

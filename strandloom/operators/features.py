@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,9 +52,30 @@ def undersample(rows: DataFrame, seed: int, key: str = "seq_id") -> DataFrame:
 
 
 def pearson_pairs(x: DataFrame) -> DataFrame:
-    """(f1, f2, c): correlation of each unordered pair of features; features are joined within a row's id."""
-    a, b = x.select("id", F.col("feature").alias("f1"), F.col("value").alias("v1")), x.select("id", F.col("feature").alias("f2"), F.col("value").alias("v2"))
-    return a.join(b, "id").where("f1 < f2").groupBy("f1", "f2").agg(F.round(F.corr("v1", "v2"), 6).alias("c"))
+    """(f1, f2, c): correlation of each unordered pair of features over the ids that have both.
+
+    Values are centred first; an id's row of values meets others in a task, where products of whole matrices are summed, so that a row for
+    each pair and batch is shuffled instead of one for each pair and id. Pairs without two values or without variance are null.
+    """
+    mean = x.groupBy("feature").agg(F.avg("value").alias("m"))
+    rows = x.where("value is not null").join(F.broadcast(mean), "feature").groupBy("id").agg(F.collect_list(F.struct("feature", (F.col("value") - F.col("m")).alias("v"))).alias("row"))
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            flat = lists.flatten()
+            names, which = np.unique(np.array(flat.field("feature").to_pylist(), object).astype(str), return_inverse=True)
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            v, has = np.zeros((len(lists), len(names))), np.zeros((len(lists), len(names)))
+            v[row, which], has[row, which] = flat.field("v").to_numpy(zero_copy_only=False), 1.0
+            a, b = np.triu_indices(len(names), 1)
+            sums = (has.T @ has, v.T @ has, has.T @ v, (v * v).T @ has, has.T @ (v * v), v.T @ v)
+            yield pa.RecordBatch.from_arrays([pa.array(names[a].tolist(), pa.string()), pa.array(names[b].tolist(), pa.string()), *(pa.array(s[a, b]) for s in sums)], ["f1", "f2", *"nabcde"])
+
+    part = rows.select("row").mapInArrow(products, "f1 string, f2 string, " + ", ".join(f"{c} double" for c in "nabcde"))
+    n, a, b, c, d, e = (F.sum(k) for k in "nabcde")
+    spread = (c - a * a / n) * (d - b * b / n)
+    return part.groupBy("f1", "f2").agg(F.when((n > 1) & (spread > 0), F.round((e - a * b / n) / F.sqrt(spread), 6)).alias("c"))
 
 
 def average_rank(x: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from itertools import product
 from pyspark.sql import functions as F
 
 from strandloom.functions.residues import DINUCLEOTIDES, NUCLEOTIDE_MAPS, PROPERTY_GROUPS, SIDE_CHAINS
+from strandloom.operators import graphs as G
 from strandloom.operators import kmers as K
 from strandloom.operators import profiles as P
 from strandloom.operators import property_factors as R
@@ -175,3 +176,12 @@ SQL["track_matrix"] = f"{_PEPTIDES} SELECT pep_id, place, CASE c {' '.join(f'WHE
 Q["position_encoding"] = lambda spark, d: P.position_encoding(_protein(spark, d), SIDE_CHAINS, ["hydrophobicity", "hydrophilicity", "mass"]).groupBy("pos", "component").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
 _COMPONENT = " UNION ALL ".join(f"SELECT pos, '{n}' AS component, CASE c {' '.join(f'WHEN {c!r} THEN {v[i]!r}::double' for c, v in SIDE_CHAINS.items())} ELSE 0 END AS v FROM p" for i, n in enumerate(("hydrophobicity", "hydrophilicity", "mass")))
 SQL["position_encoding"] = f"WITH {PROTEIN}, p AS (SELECT unnest(range(1, length(seq) + 1))::int AS pos, unnest(string_split(seq, '')) AS c FROM protein WHERE length(seq) > 0) SELECT pos, component, count(*)::bigint AS n, round(sum(v), 6) AS total FROM ({_COMPONENT}) GROUP BY pos, component"
+Q["kmer_graph"] = lambda spark, d: G.graph_metrics(_dna(spark, d), 3)
+SQL["kmer_graph"] = (
+    f"WITH {DNA}, w AS (SELECT DISTINCT seq_id, substr(seq, i, 3) AS a, substr(seq, i + 1, 3) AS b FROM (SELECT *, unnest(range(1, length(seq) - 2)) AS i FROM dna WHERE length(seq) >= 4)), "
+    "e AS (SELECT DISTINCT seq_id, least(a, b) AS a, greatest(a, b) AS b FROM w WHERE a <> b), n AS (SELECT seq_id, a AS node, b AS other FROM e UNION ALL SELECT seq_id, b, a FROM e), d AS (SELECT seq_id, node, count(*) AS d FROM n GROUP BY ALL), "
+    "t AS (SELECT x.seq_id, x.node, count(*) AS t FROM n x JOIN n y ON x.seq_id = y.seq_id AND x.node = y.node AND x.other < y.other JOIN e ON e.seq_id = x.seq_id AND e.a = x.other AND e.b = y.other GROUP BY ALL), "
+    "c AS (SELECT d.*, coalesce(t, 0) AS t FROM d LEFT JOIN t USING (seq_id, node)) "
+    "SELECT seq_id, count(*)::bigint AS nodes, (sum(d) // 2)::bigint AS edges, round(avg(d), 6) AS mean_degree, max(d)::bigint AS max_degree, round(sum(d)::double / (count(*) * (count(*) - 1)), 6) AS density, (sum(t) // 3)::bigint AS triangles, "
+    "round(coalesce(sum(t) / nullif(sum(d * (d - 1) / 2), 0)::double, 0), 6) AS transitivity, round(avg(coalesce(t / nullif(d * (d - 1) / 2, 0)::double, 0)), 6) AS mean_clustering FROM c GROUP BY seq_id"
+)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandloom.functions.residues import AMIDE_CTERM_PK, EISENBERG, ENERGIES, NEGATIVE_PK, NUCLEOTIDE_MAPS, POSITIVE_PK, PROPERTY_GROUPS, WEIGHTS
+from strandloom.functions.residues import AMIDE_CTERM_PK, EISENBERG, ENERGIES, NEGATIVE_PK, NUCLEOTIDE_MAPS, POSITIVE_PK, PROPERTY_GROUPS, SIDE_CHAINS, WEIGHTS
 from strandloom.operators import peptides as P
 from strandloom.operators import signals as S
-from strandloom.operators.arrays import scale_windows
+from strandloom.operators.arrays import helical_arcs, scale_correlations, scale_windows
 from strandloom.operators.sequences import sequence_table
 from strandloom.plans.sequence_queries import DNA, PROTEIN
 
@@ -152,3 +152,13 @@ Q["hydrophobic_moment_windows"] = lambda spark, d: _scale_windows(_protein(spark
 SQL["hydrophobic_moment_windows"] = f"{_V.format(11, _TURNED.format(11), 10)} {_WINDOWS}"
 Q["scale_profile"] = lambda spark, d: scale_windows(_protein(spark, d), EISENBERG, 19).select("seq_id", F.posexplode("every").alias("start", "value")).groupBy("start").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 6).alias("largest"))
 SQL["scale_profile"] = f"{_V.format(19, _MEAN.format(19), 18)} SELECT start::int AS start, count(*)::bigint AS n, round(avg(x), 6) AS mean, round(max(x), 6) AS largest FROM x GROUP BY start"
+Q["helical_arc"] = lambda spark, d: helical_arcs(_protein(spark, d), {"hydrophobic": "ACFGILMVWY", "polar": "DEHKNQRST"}).select("seq_id", "feature", "largest", F.round("mean", 6).alias("mean"))
+_SCALES = {"eisenberg": EISENBERG, "hydrophilicity": {c: v[1] for c, v in SIDE_CHAINS.items()}, "mass": {c: v[2] / 100 for c, v in SIDE_CHAINS.items()}}
+_OF = lambda table: "CASE c " + " ".join(f"WHEN '{c}' THEN {v!r}::double" for c, v in table.items()) + " END"
+Q["scale_crosscorr"] = lambda spark, d: scale_correlations(_protein(spark, d), _SCALES, 7).select("seq_id", "lag", "scale", "other", F.round("value", 9).alias("value"))
+_LEADS = ", ".join(f"lead({{0}}, {lag}) OVER o AS l{lag}" for lag in range(7))
+SQL["scale_crosscorr"] = f"WITH {PROTEIN}, c AS (SELECT seq_id, length(seq) AS n, unnest(range(length(seq))) AS i, unnest(string_split(seq, '')) AS c FROM protein WHERE length(seq) > 7) " + " UNION ALL ".join(
+    f"SELECT seq_id, lag::int AS lag, '{a}' AS scale, '{b}' AS other, round(sum(x * y) / (min(n) - lag), 9) AS value FROM (SELECT seq_id, n, x, unnest(range(7)) AS lag, unnest([l0, l1, l2, l3, l4, l5, l6]) AS y FROM "
+    f"(SELECT seq_id, n, {_OF(_SCALES[a])} AS x, {_LEADS.format(_OF(_SCALES[b]))} FROM c WINDOW o AS (PARTITION BY seq_id ORDER BY i))) GROUP BY seq_id, lag"
+    for a, b in (("eisenberg", "hydrophilicity"), ("eisenberg", "mass"), ("hydrophilicity", "mass"))
+)

@@ -137,26 +137,26 @@ Q["regression_metrics"] = lambda spark, d: E.regression(read(spark, d, "lineitem
 SQL["regression_metrics"] = "WITH p AS (SELECT l_extendedprice / 1000 AS real, l_quantity * 1.5::double AS pred FROM lineitem) SELECT round(avg(abs(real - pred)), 6) AS mae, round(avg((real - pred) * (real - pred)), 6) AS mse, round(sqrt(avg((real - pred) * (real - pred))), 6) AS rmse, round(1 - sum((real - pred) * (real - pred)) / (var_pop(real) * count(*)), 6) AS r2 FROM p"
 
 
-@query(
-    "cv_summary",
-    f"WITH {PRED}, f AS (SELECT id % 5 AS fold, avg((real = pred)::int) AS acc FROM p GROUP BY 1) SELECT round(avg(acc), 4) AS mean_acc, round(stddev_pop(acc), 4) AS std_acc, count(*)::bigint AS folds FROM f",
+_YES = f"{PRED}, y AS (SELECT id % 5 AS fold, (real < 5)::int AS real, (pred < 5)::int AS pred, score FROM p)"
+_MEASURES = (
+    "SELECT *, (tp + tn) / (tp + tn + fp + fn) AS acc, tp / (tp + fn) AS sn, tn / (tn + fp) AS sp, 2 * tp / (2 * tp + fp + fn) AS f1, (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) AS mcc, "
+    "(tp / (tp + fn) + tn / (tn + fp)) / 2 AS balanced_acc, sqrt(tp / (tp + fn) * (tn / (tn + fp))) AS gmean, ((tp + tn) / (tp + tn + fp + fn) - e) / (1 - e) AS kappa FROM (SELECT *, ((tp + fn) * (tp + fp) + (tn + fp) * (tn + fn)) / pow(tp + tn + fp + fn, 2) AS e FROM m)"
 )
-def _(spark, d):
-    f = _p(spark, d).groupBy((F.col("id") % 5).alias("fold")).agg(F.avg((F.col("real") == F.col("pred")).cast("int")).alias("acc"))
-    return f.agg(F.round(F.avg("acc"), 4).alias("mean_acc"), F.round(F.stddev_pop("acc"), 4).alias("std_acc"), F.count("*").alias("folds"))
+_COUNTS = "count(*) FILTER (WHERE real = 1 AND pred = 1)::double AS tp, count(*) FILTER (WHERE real = 0 AND pred = 0)::double AS tn, count(*) FILTER (WHERE real = 0 AND pred = 1)::double AS fp, count(*) FILTER (WHERE real = 1 AND pred = 0)::double AS fn"
 
 
-@query(
-    "metrics_from_confusion",
-    f"WITH {PRED}, b AS (SELECT (real < 5) AS real, (pred < 5) AS pred FROM p), m AS (SELECT count(*) FILTER (WHERE real AND pred)::double AS tp, count(*) FILTER (WHERE NOT real AND NOT pred)::double AS tn, count(*) FILTER (WHERE NOT real AND pred)::double AS fp, count(*) FILTER (WHERE real AND NOT pred)::double AS fn FROM b) "
-    "SELECT round((tp + tn) / (tp + tn + fp + fn), 6) AS acc, round(tp / (tp + fn), 6) AS sn, round(tn / (tn + fp), 6) AS sp, round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc FROM m",
-)
-def _(spark, d):
-    n = lambda r, q, name: F.count(F.when((F.col("real") < 5).eqNullSafe(F.lit(r)) & (F.col("pred") < 5).eqNullSafe(F.lit(q)), 1)).cast("double").alias(name)
-    m = _p(spark, d).agg(n(True, True, "tp"), n(False, False, "tn"), n(False, True, "fp"), n(True, False, "fn"))
-    tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
-    return m.select(F.round((tp + tn) / (tp + tn + fp + fn), 6).alias("acc"), F.round(tp / (tp + fn), 6).alias("sn"), F.round(tn / (tn + fp), 6).alias("sp"), F.round((tp * tn - fp * fn) / F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 6).alias("mcc"))
+def _yes(spark, d):
+    return _p(spark, d).select((F.col("id") % 5).alias("fold"), (F.col("real") < 5).cast("int").alias("real"), (F.col("pred") < 5).cast("int").alias("pred"), "score")
+
 
+Q["cv_summary"] = lambda spark, d: E.cv_table(_yes(spark, d), "fold")
+SQL["cv_summary"] = (
+    f"WITH {_YES}, m AS (SELECT fold, {_COUNTS} FROM y GROUP BY fold), r AS (SELECT fold, real, rank() OVER (PARTITION BY fold ORDER BY score) + (count(*) OVER (PARTITION BY fold, score) - 1) / 2.0::double AS r FROM y), "
+    "a AS (SELECT fold, (sum(r) FILTER (WHERE real = 1) - sum(real)::double * (sum(real) + 1) / 2) / (sum(real)::double * sum(1 - real)) AS auc FROM r GROUP BY fold) "
+    f"SELECT {', '.join(f'round(avg({c}), 4) AS mean_{c}, round(stddev_pop({c}), 4) AS std_{c}' for c in E.CV_COLUMNS)}, count(*)::bigint AS folds FROM ({_MEASURES}) JOIN a USING (fold)"
+)
+Q["metrics_from_confusion"] = lambda spark, d: E.from_matrix(E.confusion(_yes(spark, d)), "1")
+SQL["metrics_from_confusion"] = f"WITH {_YES}, m AS (SELECT {_COUNTS} FROM y) SELECT tp::bigint AS tp, tn::bigint AS tn, fp::bigint AS fp, fn::bigint AS fn, {', '.join(f'round({c}, 6) AS {c}' for c in E.CV_COLUMNS if c != 'auc')} FROM ({_MEASURES})"
 
 # job log and catalogue
 
