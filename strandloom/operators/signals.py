@@ -109,12 +109,10 @@ def padded(x: DataFrame, length: int | None = None) -> DataFrame:
     return x.join(F.broadcast(most)).withColumn("values", F.concat("values", F.array_repeat(F.lit(0.0), F.col("most") - F.size("values")))).drop("most")
 
 
-def position_means(x: DataFrame) -> DataFrame:
-    """(channel, pos, mean, n) over padded signals: what padding adds is zeros, so only real positions are laid out and summed; n is
-    how many signals reach the position."""
-    n = x.groupBy("channel").agg(F.count("*").alias("all"))
-    at = x.select("channel", F.posexplode("values").alias("pos", "v")).groupBy("channel", "pos").agg(F.sum("v").alias("total"), F.count("*").alias("n"))
-    return at.join(F.broadcast(n), "channel").select("channel", "pos", F.round(F.col("total") / F.col("all"), 6).alias("mean"), "n")
+def position_sums(x: DataFrame) -> DataFrame:
+    """(channel, pos, total, n): sums over all signals at each position, and how many reach it; what padding adds is zeros, so only real
+    positions are laid out."""
+    return x.select("channel", F.posexplode("values").alias("pos", "v")).groupBy("channel", "pos").agg(F.round(F.sum("v"), 6).alias("total"), F.count("*").alias("n"))
 
 
 NAMES = ("mean", "median", "max", "min", "peak", "peak_amplitude", "std_pop", "std", "p15", "p25", "p50", "p75", "range", "variance", "iqr", "semi_iqr", "cv", "skew", "kurtosis")

@@ -108,8 +108,8 @@ Q["fourier_binary"] = lambda spark, d: S.spectrum_summary(_dna(spark, d), S.BINA
 Q["fourier_zcurve"] = lambda spark, d: S.spectrum_summary(_dna(spark, d), S.CURVES, "running")
 Q["fourier_complex"] = lambda spark, d: S.spectrum_summary(_dna(spark, d), S.PLANE, complex_plane=True)
 Q["fourier_protein"] = lambda spark, d: S.spectrum_summary(_protein(spark, d), S.numbers(EISENBERG))
-_POSITIONS = f"WITH {DNA}, n AS (SELECT count(*) AS n FROM dna WHERE length(seq) > 0), p AS (SELECT seq_id, unnest(range(length(seq))) AS pos, unnest(string_split(seq, '')) AS c FROM dna WHERE length(seq) > 0)"
-_MEANS = "SELECT channel, pos::int AS pos, round(sum(v) / (SELECT n FROM n), 6) AS mean, count(*)::bigint AS n FROM v GROUP BY channel, pos"
+_POSITIONS = f"WITH {DNA}, p AS (SELECT seq_id, unnest(range(length(seq))) AS pos, unnest(string_split(seq, '')) AS c FROM dna WHERE length(seq) > 0)"
+_SUMS = "SELECT channel, pos::int AS pos, round(sum(v), 6) AS total, count(*)::bigint AS n FROM v GROUP BY channel, pos"
 
 
 def _channels_sql(channels: S.Channels, value: str) -> str:
@@ -128,8 +128,8 @@ for _name, _channels, _rule, _value in (
     ("signal_zcurve", S.CURVES, "running", "sum({c}) OVER (PARTITION BY seq_id ORDER BY pos ROWS UNBOUNDED PRECEDING)"),
     ("signal_chaos", S.CORNERS, "halved", "list_reduce([0::double] || list({c}) OVER (PARTITION BY seq_id ORDER BY pos ROWS 59 PRECEDING), lambda a, x: (a + x) / 2)"),
 ):
-    Q[_name] = lambda spark, d, c=_channels, r=_rule: S.position_means(S.signals(_dna(spark, d), c, r))
-    SQL[_name] = f"{_channels_sql(_channels, _value)} {_MEANS}"
+    Q[_name] = lambda spark, d, c=_channels, r=_rule: S.position_sums(S.signals(_dna(spark, d), c, r))
+    SQL[_name] = f"{_channels_sql(_channels, _value)} {_SUMS}"
 Q["property_groups"] = lambda spark, d: P.classed(_protein(spark, d), PROPERTY_GROUPS["charge"]).select("seq_id", P.residue("1").alias("positive"), P.residue("3").alias("negative"))
 SQL["property_groups"] = f"WITH {_classed(PROPERTY_GROUPS['charge'])} SELECT seq_id, {_n('1')}::int AS positive, {_n('3')}::int AS negative FROM g"
 
@@ -150,8 +150,8 @@ Q["windowed_mean"] = lambda spark, d: _scale_windows(_protein(spark, d), 11)
 SQL["windowed_mean"] = f"{_V.format(11, _MEAN.format(11), 10)} {_WINDOWS}"
 Q["hydrophobic_moment_windows"] = lambda spark, d: _scale_windows(_protein(spark, d), 11, 100.0)
 SQL["hydrophobic_moment_windows"] = f"{_V.format(11, _TURNED.format(11), 10)} {_WINDOWS}"
-Q["scale_profile"] = lambda spark, d: scale_windows(_protein(spark, d), EISENBERG, 19).select("seq_id", F.posexplode("every").alias("start", "value")).groupBy("start").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 6).alias("largest"))
-SQL["scale_profile"] = f"{_V.format(19, _MEAN.format(19), 18)} SELECT start::int AS start, count(*)::bigint AS n, round(avg(x), 6) AS mean, round(max(x), 6) AS largest FROM x GROUP BY start"
+Q["scale_profile"] = lambda spark, d: scale_windows(_protein(spark, d), EISENBERG, 19).select("seq_id", F.posexplode("every").alias("start", "value")).groupBy("start").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"), F.round(F.max("value"), 6).alias("largest"))
+SQL["scale_profile"] = f"{_V.format(19, _MEAN.format(19), 18)} SELECT start::int AS start, count(*)::bigint AS n, round(sum(x), 6) AS total, round(max(x), 6) AS largest FROM x GROUP BY start"
 Q["helical_arc"] = lambda spark, d: helical_arcs(_protein(spark, d), {"hydrophobic": "ACFGILMVWY", "polar": "DEHKNQRST"}).select("seq_id", "feature", "largest", F.round("mean", 6).alias("mean"))
 _SCALES = {"eisenberg": EISENBERG, "hydrophilicity": {c: v[1] for c, v in SIDE_CHAINS.items()}, "mass": {c: v[2] / 100 for c, v in SIDE_CHAINS.items()}}
 _OF = lambda table: "CASE c " + " ".join(f"WHEN '{c}' THEN {v!r}::double" for c, v in table.items()) + " END"

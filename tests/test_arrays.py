@@ -140,8 +140,8 @@ def test_signals_and_padding(table):
     assert {len(r["values"]) for r in wide} == {len(SEQS[8])}
     assert all(r["values"][: len(SEQS[r.seq_id])] == curve[r.seq_id, r.channel] and not any(r["values"][len(SEQS[r.seq_id]) :]) for r in wide)
     assert {len(r["values"]) for r in signals.padded(x, 5).collect()} == {5}
-    means = {(r.channel, r.pos): (r.mean, r.n) for r in signals.position_means(x).collect()}
+    sums = {(r.channel, r.pos): (r.total, r.n) for r in signals.position_sums(x).collect()}
     columns = [r["values"] for r in wide if r.channel == "y"]
     for p in range(len(SEQS[8])):
-        assert means["y", p][0] == pytest.approx(sum(c[p] for c in columns) / len(columns), abs=1e-6)
-    assert means["y", 0][1] == len(columns)
+        assert sums["y", p][0] == pytest.approx(sum(c[p] for c in columns), abs=1e-6)
+    assert sums["y", 0][1] == len(columns)
