@@ -383,3 +383,17 @@ def test_toxicity(spark):
     none = toxicity.fit_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score_toxicity(docs, none).agg(F.max("score")).first()[0] < 0.01
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize("m,length,cut", [(12, 10, 4), (4, 70, 2)])
+def test_line_dedup_of_common_clauses(spark, m, length, cut):
+    """Lines of two clauses, each clause in m lines: whatever block two like lines share, many unlike lines have it too."""
+    clause = lambda side, i: [f"{side}{i}x{k}" for k in range(length)]
+    rows = []
+    for i in range(m):
+        for j in range(m):
+            a, b = clause("a", i), clause("b", j)
+            rows.append((len(rows), " ".join(a + b)))
+            rows.append((len(rows), " ".join([*a[:-1], f"new{i}y{j}", *b])))
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), limit=cut)
+    assert {r.doc_id for r in got.where("n_removed = 1").collect()} == {d for d, _ in rows if d % 2}
