@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from strandloom.functions.residues import DINUCLEOTIDES, EISENBERG, FORMULAS
+from strandloom.functions.residues import AMIDE_CTERM_PK, DINUCLEOTIDES, EISENBERG, FORMULAS, NEGATIVE_PK, POSITIVE_PK
 from strandloom.operators import correlations as C
 from strandloom.operators import neighbours as N
 from strandloom.operators import peptides as P
@@ -75,6 +75,17 @@ _A = {"C": _atoms(0, ""), "H": _atoms(1, " - 2 * (length(seq) - 1)"), "N": _atom
 Q["molecular_formula"] = lambda spark, d: P.molecular_formula(_protein(spark, d))
 SQL["molecular_formula"] = f"WITH {PROTEIN} SELECT seq_id, concat_ws(' ', {', '.join(f'CASE WHEN {n} > 0 THEN {chr(39)}{a}{chr(39)} || {n}::varchar END' for a, n in _A.items())}) AS formula FROM protein WHERE length(seq) > 0"
 Q["isoelectric_point"] = lambda spark, d: P.isoelectric_point(_protein(spark, d))
+_IONS = [c for c in (*POSITIVE_PK, *NEGATIVE_PK) if len(c) == 1]
+_NET = " + ".join(f"{'1' if c == 'Nterm' else f'n_{c}'} * (pow(10::double, {pk!r}::double - mid) / (pow(10::double, {pk!r}::double - mid) + 1))" for c, pk in POSITIVE_PK.items()) + "".join(
+    f" - {'1' if c == 'Cterm' else f'n_{c}'} * (pow(10::double, mid - {(AMIDE_CTERM_PK if c == 'Cterm' else pk)!r}::double) / (pow(10::double, mid - {(AMIDE_CTERM_PK if c == 'Cterm' else pk)!r}::double) + 1))" for c, pk in NEGATIVE_PK.items()
+)
+SQL["isoelectric_point"] = (
+    f"WITH RECURSIVE {PROTEIN}, c AS (SELECT seq_id, {', '.join(f'length(seq) - length(replace(seq, {c!r}, {chr(39) * 2})) AS n_{c}' for c in _IONS)} FROM protein WHERE length(seq) > 0), "
+    "b AS (SELECT seq_id, 0::double AS low, 14::double AS high, false AS done, 0 AS step FROM c UNION ALL "
+    "SELECT seq_id, CASE WHEN NOT done AND q >= 0 THEN mid ELSE low END, CASE WHEN NOT done AND q <= 0 THEN mid ELSE high END, done OR q = 0 OR high - low <= 0.0001::double, step + 1 FROM "
+    f"(SELECT *, round({_NET}, 3) AS q FROM (SELECT *, (low + high) / 2 AS mid FROM b JOIN c USING (seq_id) WHERE step < 20))) "
+    "SELECT seq_id, round((low + high) / 2, 3) AS pi FROM b WHERE step = 20"
+)
 
 # neighbours
 
