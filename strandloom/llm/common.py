@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -50,6 +51,14 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Returns memory that earlier tasks of this Python worker have freed to the system, where its C library can: workers live on
+    from stage to stage, and what allocators keep for themselves counts beside the heap of the executor."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def fold_words(text: str | None) -> list[bytes]:
     """Lower-cases A-Z and splits at any ASCII character but letters and digits."""
     return text.encode("utf-8", "replace").translate(_FOLD).split() if text else []

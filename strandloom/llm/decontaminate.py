@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from strandloom.llm.common import fold_words, saved
+from strandloom.llm.common import fold_words, give_back, saved
 
 WINDOW = 10
 SHARD_WORDS = 600_000
@@ -122,15 +122,20 @@ class Phrases:
                 found.setdefault(k, {}).setdefault(tuple(ids[i : i + k]), set()).add(item)
         self.by_length = [(k, np.array(list(x), np.int64).reshape(-1, k), [sorted(v, key=str) for v in x.values()]) for k, x in sorted(found.items())]
 
-    def hits(self, docs: list[list[bytes]]) -> list[tuple[np.ndarray, set]]:
-        """For each document of a shard: which of its words lie in an occurrence, and the items that occur."""
+    def numbers(self, text: str | None) -> np.ndarray:
+        """The numbers of a text's words; a word of no phrase is 1."""
+        words, get = fold_words(text), self.words.get
+        return np.fromiter((get(w, 1) for w in words), np.int32, len(words))
+
+    def hits(self, docs: list[np.ndarray]) -> list[tuple[np.ndarray, set]]:
+        """For each document of a shard, given as its words' numbers: which of its words lie in an occurrence, and the items that occur."""
         out = [(np.zeros(len(d), bool), set()) for d in docs]
         if not self.by_length:
             return out
-        get = self.words.get
         lengths = [len(d) for d in docs]
         # a word of no phrase and a document's end are 1; of a run of them one is kept; a 0 ends the text
-        ids = np.fromiter((get(w, 1) for d in docs for w in (*d, b"")), np.int32, sum(lengths) + len(docs))
+        end = np.ones(1, np.int32)
+        ids = np.concatenate([x for d in docs for x in (d, end)])
         keep = np.flatnonzero((ids != 1) | (np.concatenate([[0], ids[:-1]]) != 1))
         if (ids == 1).all():
             return out
@@ -240,6 +245,7 @@ def _with_hits(docs: DataFrame, benchmark: DataFrame, window: int, shard_words:
 
 def _searcher(sent, item: pa.DataType, window: int, shard_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         phrases = Phrases(sent.value, window)
         digests, words, n = [], [], 0
 
@@ -249,15 +255,16 @@ def _searcher(sent, item: pa.DataType, window: int, shard_words: int):
             return pa.RecordBatch.from_arrays(cols, ["digest", "spans", "items"])
 
         for batch in batches:
-            for t, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for t, d in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 digests.append(d)
-                words.append(fold_words(t))
+                words.append(phrases.numbers(t.as_py()))
                 n += len(words[-1]) + 1
                 if n >= shard_words:
                     yield flush()
                     digests, words, n = [], [], 0
         if digests:
             yield flush()
+        give_back()
 
     return run
 
@@ -267,11 +274,17 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     is not searched again."""
     at = docs.columns.index("text")
 
+    def cleaned(t: str | None, s: list[dict] | None) -> str | None:
+        return cut(t, merged(s, len(fold_words(t)))) if s else t
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
-            found, spans = batch.column(at).to_pylist(), batch.column(batch.num_columns - 2).to_pylist()
-            clean = pa.array([cut(t, merged(s, len(fold_words(t)))) if s else t for t, s in zip(found, spans, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([clean if i == at else c for i, c in enumerate(batch.columns[:-2])], docs_columns)
+            spans = batch.column(batch.num_columns - 2).to_pylist()
+            texts = batch.column(at)
+            if any(spans):
+                texts = pa.array((cleaned(t.as_py(), s) for t, s in zip(texts, spans, strict=True)), pa.string(), size=len(texts))
+            yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(batch.columns[:-2])], docs_columns)
 
     docs_columns = docs.columns
     return _with_hits(docs, benchmark, window, shard_words, block_chars).mapInArrow(run, docs.schema)
