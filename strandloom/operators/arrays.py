@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SLICE = 1 << 20  # characters
+EVEN = 1e-12  # a mean squared deviation up to this is that of equal values
 
 
 class Slice:
@@ -266,23 +267,14 @@ def helical_arcs(s: DataFrame, features: dict[str, str]) -> DataFrame:
     return by_slice(s, ("seq_id",), "feature string, largest long, mean double", rule, limit=SLICE // 4)
 
 
-def scale_correlations(s: DataFrame, scales: dict[str, dict[str, float]], lags: int, kind: str = "cross") -> DataFrame:
-    """(seq_id, lag, scale, other, value) for lags from 0 to lags - 1 of sequences of more than `lags` residues.
-
-    "cross": mean product of one scale and another at the lag, each two scales once. "spatial": of each scale, standardised over its
-    residues, three rows with other nmbroto, moran and geary for lags from 1 to `lags`: the mean product, its share of the variance about the
-    sequence's mean, and half the mean squared difference over the sample variance (null where there is none).
-    """
+def scale_correlations(s: DataFrame, scales: dict[str, dict[str, float]], lags: int) -> DataFrame:
+    """(seq_id, lag, scale, other, value) for lags from 0 to lags - 1 of sequences of more than `lags` residues: the mean product of
+    one scale and another at the lag, each two scales once."""
     names = list(scales)
-    tables = []
-    for v in scales.values():
-        mean = sum(v.values()) / len(v)
-        deviation = (sum((x - mean) ** 2 for x in v.values()) / len(v)) ** 0.5
-        tables.append({c: (x - mean) / deviation for c, x in v.items()} if kind == "spatial" else v)
 
     def rule(part: Slice) -> tuple[np.ndarray, list]:
         some = np.flatnonzero(part.length > lags)
-        tracks = [part.looked_up(t) for t in tables]
+        tracks = [part.looked_up(t) for t in scales.values()]
         row, many = part.row, len(part.length)
         mean = lambda x, at, n: np.bincount(row[at], weights=x, minlength=many) / np.maximum(n, 1)
         out: list[list] = [[], [], [], [], []]
@@ -291,23 +283,13 @@ def scale_correlations(s: DataFrame, scales: dict[str, dict[str, float]], lags:
             for column, more in zip(out, (some, np.full(len(some), lag), [a] * len(some), [b] * len(some), x[some]), strict=True):
                 column.append(more)
 
-        for lag in range(1, lags + 1) if kind == "spatial" else range(lags):
+        for lag in range(lags):
             n = max(0, len(row) - lag)
             at = np.flatnonzero(row[:n] == row[lag:])
             m = part.length - lag
             for i, x in enumerate(tracks):
-                if kind == "spatial":
-                    own = np.bincount(row, weights=x, minlength=many) / np.maximum(part.length, 1)
-                    total = np.bincount(row, weights=(x - own[row]) ** 2, minlength=many)
-                    add(lag, names[i], "nmbroto", mean(x[at] * x[at + lag], at, m))
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        moran = mean((x[at] - own[row[at]]) * (x[at + lag] - own[row[at]]), at, m) / (total / part.length)
-                        geary = mean((x[at] - x[at + lag]) ** 2, at, m) / 2 / (total / (part.length - 1))
-                    add(lag, names[i], "moran", moran)
-                    add(lag, names[i], "geary", geary)
-                else:
-                    for j in range(i + 1, len(tracks)):
-                        add(lag, names[i], names[j], mean(x[at] * tracks[j][at + lag], at, m))
+                for j in range(i + 1, len(tracks)):
+                    add(lag, names[i], names[j], mean(x[at] * tracks[j][at + lag], at, m))
         if not out[0]:
             return np.empty(0, np.int64), [pa.array([], t) for t in (pa.int32(), pa.string(), pa.string(), pa.float64())]
         value = np.concatenate(out[4])
@@ -315,3 +297,45 @@ def scale_correlations(s: DataFrame, scales: dict[str, dict[str, float]], lags:
         return np.concatenate(out[0]), [pa.array(np.concatenate(out[1]).astype(np.int32)), *strings, pa.array(value, mask=~np.isfinite(value))]
 
     return by_slice(s, ("seq_id",), "lag int, scale string, other string, value double", rule)
+
+
+def autocorrelations(s: DataFrame, scales: dict[str, dict[str, float]], lags: int) -> DataFrame:
+    """(seq_id, scale, lag, nmbroto, moran, geary) of lags 1 to `lags` for every scale, in one scan and without a shuffle.
+
+    Scales are residue to number, each standardised over its residues; other characters count as the mean. Sequences of up to `lags`
+    residues, empty and null ones have no rows; moran and geary are null where all residues have one value; repeated rows are
+    counted each.
+    """
+    standard = {}
+    for name, scale in scales.items():
+        mean = sum(scale.values()) / len(scale)
+        deviation = (sum((x - mean) ** 2 for x in scale.values()) / len(scale)) ** 0.5
+        standard[name] = {c: (x - mean) / deviation for c, x in scale.items()}
+    names = pa.array(list(scales), pa.string())
+
+    def rule(part: Slice) -> tuple[np.ndarray, list]:
+        long = np.flatnonzero(part.length > lags)
+        n, rows, row = part.length[long].astype(float), len(part.length), part.row
+        total = lambda r, x: np.bincount(r, x, rows)[long]
+        values = [part.looked_up(x) for x in standard.values()]
+        out: list[list] = [[] for _ in range(6)]
+        if not len(long):
+            return np.empty(0, np.int64), [pa.array([], t) for t in (pa.string(), pa.int32(), *[pa.float64()] * 3)]
+        off, square = [], []
+        for v in values:
+            mean = np.bincount(row, v, rows) / np.maximum(part.length, 1)
+            off.append(v - mean[row])
+            square.append(total(row, off[-1] ** 2))
+        for lag in range(1, lags + 1):
+            at = np.flatnonzero(row[:-lag] == row[lag:])
+            r = row[at]
+            for i, (v, d, q) in enumerate(zip(values, off, square, strict=True)):
+                a, b = v[at], v[at + lag]
+                spread = np.where(q > EVEN * n, q, np.nan)
+                found = (total(r, a * b) / (n - lag), total(r, d[at] * d[at + lag]) / (n - lag) / (spread / n), total(r, (a - b) ** 2) / (2 * (n - lag)) / (spread / (n - 1)))
+                for column, x in zip(out, (long, np.full(len(long), i), np.full(len(long), lag, np.int32), *found), strict=True):
+                    column.append(x)
+        rows_, scale, lag_, *three = (np.concatenate(x) for x in out)
+        return rows_, [names.take(pa.array(scale)), pa.array(lag_), *(pa.array(np.round(x, 5), from_pandas=True) for x in three)]
+
+    return by_slice(s, ("seq_id",), "scale string, lag int, nmbroto double, moran double, geary double", rule)

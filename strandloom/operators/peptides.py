@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.residues import AMIDE_CTERM_PK, ENERGIES, FORMULAS, NEGATIVE_PK, POSITIVE_PK, WEIGHTS
 from strandloom.operators.arrays import class_places
-from strandloom.operators.kmers import bound
+from strandloom.operators.kmers import bound, pair_counts
 
 WATER = 18.015
 AMIDE_LOSS = 0.98
@@ -122,6 +122,28 @@ def scale_mean(s: DataFrame, scale: dict[str, float]) -> DataFrame:
     return s.where("length(seq) > 0").select("seq_id", F.round(_sum(scale) / F.length("seq"), 6).alias("value"))
 
 
+def instability_index(s: DataFrame, weights: DataFrame) -> DataFrame:
+    """(seq_id, value): 10 / length times the sum of the weights of neighbouring residues.
+
+    weights: (pair, weight), a table of pairs of residues as the published one; pairs that it lacks or that weigh null count 0.
+    A single residue has 0; empty and null sequences have no rows.
+    """
+    own = s.where(F.length("seq") > 0)
+    pairs = pair_counts(own, range(1)).join(weights.select("pair", "weight"), "pair")
+    sums = pairs.groupBy("seq_id").agg(F.sum(F.col("cnt") * F.col("weight")).alias("sum"))
+    return own.select("seq_id", F.length("seq").alias("n")).join(sums, "seq_id", "left").select("seq_id", F.round(10 * F.coalesce("sum", F.lit(0.0)) / F.col("n"), 6).alias("value"))
+
+
+def pair_weights(s: DataFrame) -> DataFrame:
+    """(pair, weight): natural logarithm, to six digits, of how often two residues are neighbours over how often their first and
+    second places alone would make them so."""
+    p = pair_counts(s, range(1)).groupBy("pair").agg(F.sum("cnt").alias("n")).select("pair", "n", F.substring("pair", 1, 1).alias("a"), F.substring("pair", 2, 1).alias("b"))
+    first = p.groupBy("a").agg(F.sum("n").alias("na"))
+    second = p.groupBy("b").agg(F.sum("n").alias("nb"))
+    both = p.join(first, "a").join(second, "b").join(F.broadcast(p.agg(F.sum("n").alias("total"))))
+    return both.select("pair", F.round(F.log(F.col("n") * F.col("total").cast("double") / (F.col("na") * F.col("nb").cast("double"))), 6).alias("weight"))
+
+
 def molecular_formula(s: DataFrame, amide: bool = False) -> DataFrame:
     """(seq_id, formula): atoms of the residues less the water of their bonds; an amide end has NH2 for OH. Atoms that do
     not occur are left out."""

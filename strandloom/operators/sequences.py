@@ -57,6 +57,36 @@ def split_tag(s: DataFrame, test: DataFrame) -> DataFrame:
     return s.join(flag, "seq_id", "left").withColumn("split", F.when(F.col("in_test"), "test").otherwise("train")).drop("in_test")
 
 
+def ranked(rows: DataFrame, first: str, then: str, by: str | None = None, name: str = "rank", cuts: int = 1024) -> DataFrame:
+    """rows with their number, from 1, in the order of `first` (numbers or times, nulls last) and `then`, within each value of `by` if given.
+
+    `first` is cut at `cuts` approximate quantiles of all rows; rows are numbered within what lies between two cuts and the counts
+    before are added, so that no window holds more than that of a value of `by`. Rows of one value of `first` are sorted together;
+    those equal in both columns are numbered in any order. Null values of `by` are a group of their own.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    kind, c = rows.schema[first].dataType.typeName(), F.col(first)
+    day = F.unix_date(F.to_date(c)).cast("double")
+    if kind == "timestamp_ntz":
+        at = day * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)  # whatever the session's time zone
+    else:
+        at = day if kind == "date" else c.cast("double")
+    found = rows.agg(F.percentile_approx(at, [i / cuts for i in range(1, cuts)], 4 * cuts)).first()[0]
+    inner = sorted({x for x in found or [] if x == x})
+    dealt = rows.withColumn("_at", F.coalesce(at, F.lit(float("nan"))))  # the last part has what is no number
+    if inner:
+        dealt = Bucketizer(splits=[float("-inf"), *inner, float("inf")], inputCol="_at", outputCol="_part", handleInvalid="keep").transform(dealt)
+    else:
+        dealt = dealt.withColumn("_part", F.lit(0.0))
+    dealt = dealt.withColumn("_by", F.col(by) if by else F.lit(0))
+    count = dealt.groupBy("_by", "_part").agg(F.count("*").alias("n"))
+    before = count.select(F.col("_by").alias("_b"), F.col("_part").alias("_p"), (F.sum("n").over(Window.partitionBy("_by").orderBy("_part")) - F.col("n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_by", "_part").orderBy(F.col(first).asc_nulls_last(), then))
+    numbered = dealt.withColumn("_own", own).join(before, F.col("_by").eqNullSafe(F.col("_b")) & (F.col("_part") == F.col("_p")))
+    return numbered.select(*rows.columns, (F.col("_before") + F.col("_own")).alias(name))
+
+
 def folds(rows: DataFrame, k: int, seed: int, by: str | None = None, key: str = "seq_id") -> DataFrame:
     """Fold 0 to k-1 by pseudo-random order, within each value of `by` if given; sizes differ by one at most.
 

@@ -6,10 +6,11 @@ import math
 
 from pyspark.sql import functions as F
 
-from strandloom.functions.residues import AMIDE_CTERM_PK, DINUCLEOTIDES, EISENBERG, FORMULAS, NEGATIVE_PK, POSITIVE_PK
+from strandloom.functions.residues import AMIDE_CTERM_PK, DINUCLEOTIDES, EISENBERG, ENERGIES, FORMULAS, NEGATIVE_PK, POSITIVE_PK, SIDE_CHAINS, WEIGHTS
 from strandloom.operators import correlations as C
 from strandloom.operators import neighbours as N
 from strandloom.operators import peptides as P
+from strandloom.operators.arrays import autocorrelations
 from strandloom.operators.sequences import read, sequence_table
 from strandloom.plans.property_queries import _n
 from strandloom.plans.sequence_queries import DNA, PROTEIN
@@ -58,6 +59,35 @@ SQL["spatial_autocorrelation"] = (
     "round(list_sum(list_transform(range(1, n - lag + 1), lambda i: (v[i] - m) * (v[i + lag] - m))) / (n - lag) / nullif(q / n, 0), 5) AS moran, "
     "round(list_sum(list_transform(range(1, n - lag + 1), lambda i: (v[i] - v[i + lag]) * (v[i] - v[i + lag]))) / (n - lag) / 2 / nullif(q / (n - 1), 0), 5) AS geary FROM k"
 )
+#: Published scales of residues that stand in the library; others come in as a table.
+SCALES = {"consensus": EISENBERG, "mass": WEIGHTS, "binding": ENERGIES} | {n: {c: v[u] for c, v in SIDE_CHAINS.items()} for u, n in enumerate(("hydrophobicity", "hydrophilicity", "side_chain"))}
+LAGS = 30
+Q["autocorrelation_table"] = lambda spark, d: autocorrelations(_protein(spark, d), SCALES, LAGS)
+
+
+def _standard_sql() -> str:
+    rows = []
+    for name, scale in SCALES.items():
+        mean = sum(scale.values()) / len(scale)
+        deviation = (sum((v - mean) ** 2 for v in scale.values()) / len(scale)) ** 0.5
+        rows += [f"('{name}', '{c}', {(v - mean) / deviation!r}::double)" for c, v in scale.items()]
+    return ", ".join(rows)
+
+
+SQL["autocorrelation_table"] = (
+    f"WITH {PROTEIN}, sc(scale, c, x) AS (VALUES {_standard_sql()}), p AS (SELECT seq_id, length(seq) AS n, i, substr(seq, i, 1) AS c FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS i FROM protein WHERE length(seq) > {LAGS})), "
+    f"v AS (SELECT seq_id, scale, n, list(x ORDER BY i) AS v FROM p JOIN sc USING (c) GROUP BY ALL), q AS (SELECT *, list_transform(v, lambda x: x - list_sum(v) / n) AS d FROM v), "
+    f"e AS (SELECT *, CASE WHEN list_sum(list_transform(d, lambda x: x * x)) > 1e-12 * n THEN list_sum(list_transform(d, lambda x: x * x)) END AS s FROM q), k AS (SELECT *, unnest(range(1, {LAGS + 1}))::int AS lag FROM e) "
+    "SELECT seq_id, scale, lag, round(list_sum(list_transform(range(1, n - lag + 1), lambda i: v[i] * v[i + lag])) / (n - lag), 5) AS nmbroto, "
+    "round(list_sum(list_transform(range(1, n - lag + 1), lambda i: d[i] * d[i + lag])) / (n - lag) / (s / n), 5) AS moran, "
+    "round(list_sum(list_transform(range(1, n - lag + 1), lambda i: (v[i] - v[i + lag]) * (v[i] - v[i + lag]))) / (2 * (n - lag)) / (s / (n - 1)), 5) AS geary FROM k"
+)
+Q["instability_index"] = lambda spark, d: P.instability_index(_protein(spark, d), P.pair_weights(_protein(spark, d)))
+SQL["instability_index"] = (
+    f"WITH {PROTEIN}, p AS (SELECT seq_id, substr(seq, i, 2) AS pair FROM (SELECT *, unnest(range(1, length(seq))) AS i FROM protein)), c AS (SELECT pair, substr(pair, 1, 1) AS a, substr(pair, 2, 1) AS b, count(*)::double AS n FROM p GROUP BY ALL), "
+    "w AS (SELECT pair, round(ln(n * (sum(n) OVER ()) / ((sum(n) OVER (PARTITION BY a)) * (sum(n) OVER (PARTITION BY b)))), 6) AS weight FROM c), t AS (SELECT seq_id, sum(weight) AS t FROM p JOIN w USING (pair) GROUP BY seq_id) "
+    "SELECT seq_id, round(10 * coalesce(t, 0) / length(seq), 6) AS value FROM protein LEFT JOIN t USING (seq_id) WHERE length(seq) > 0"
+)
 _RAW = "CASE c " + " ".join(f"WHEN '{c}' THEN {v}::double" for c, v in EISENBERG.items()) + " END"
 Q["hydrophobic_moment"] = lambda spark, d: P.hydrophobic_moment(_protein(spark, d), EISENBERG)
 SQL["hydrophobic_moment"] = (

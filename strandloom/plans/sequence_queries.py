@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.operators import kmers as K
 from strandloom.operators import tables as T
-from strandloom.operators.sequences import AMINO_ACIDS, alphabet_violations, clean_protein, dedupe_sequences, folds, letters, md5_key, read, sequence_table, split_tag
+from strandloom.operators.sequences import AMINO_ACIDS, alphabet_violations, clean_protein, dedupe_sequences, folds, letters, md5_key, ranked, read, sequence_table, split_tag
 
 DNA = "dna AS (SELECT doc_id AS seq_id, lang AS label, replace(regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ATGCU]', '', 'g'), 'U', 'T') AS seq FROM documents)"
 PROTEIN = f"protein AS (SELECT doc_id AS seq_id, lang AS label, regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^{AMINO_ACIDS}]', '', 'g') AS seq FROM documents)"
@@ -83,8 +83,8 @@ def _(spark, d):
 
 @query("rename_records", "SELECT doc_id, concat_ws('_', 'pre', (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::varchar, 'train', doc_id::varchar) AS record_name FROM documents")
 def _(spark, d):
-    i = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return read(spark, d, "documents").select("doc_id", F.concat_ws("_", F.lit("pre"), i.cast("string"), F.lit("train"), F.col("doc_id").cast("string")).alias("record_name"))
+    i = F.col("rank") - 1
+    return ranked(read(spark, d, "documents").select("doc_id", "source"), "doc_id", "doc_id", "source").select("doc_id", F.concat_ws("_", F.lit("pre"), i.cast("string"), F.lit("train"), F.col("doc_id").cast("string")).alias("record_name"))
 
 
 @query("alphabet_violations", f"WITH {RAW} SELECT seq_id, regexp_extract(seq, '([^ACGT])', 1) AS bad_char FROM raw WHERE regexp_extract(seq, '([^ACGT])', 1) <> ''")

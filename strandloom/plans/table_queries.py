@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.operators import evaluation as E
 from strandloom.operators import features as X
-from strandloom.operators.sequences import read
+from strandloom.operators.sequences import ranked, read
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -175,7 +175,7 @@ def _(spark, d):
     e = read(spark, d, "events")
     kind = e.agg(F.min("event_type").alias("kind"))
     w = e.join(F.broadcast(kind), F.col("event_type") == F.col("kind")).groupBy("user_id").agg(F.min("ts").alias("start"))
-    return w.select("user_id", F.row_number().over(Window.orderBy("start", "user_id")).alias("position"))
+    return ranked(w, "start", "user_id", name="position").select("user_id", F.col("position").cast("int").alias("position"))
 
 
 @query(

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions.residues import EISENBERG
-from strandloom.operators import arrays, correlations, evaluation, features, graphs
+from strandloom.operators import arrays, correlations, evaluation, features, graphs, peptides, sequences
 
 rng = random.Random(12)
 SEQS = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (4, 9, 40, 300)] + ["AAAA", "ACACAC", "", None, "AC"]
@@ -84,11 +84,57 @@ def test_correlations_of_scales(spark):
     for i, lag in got:
         t = PROTEINS[i]
         assert got[i, lag] == pytest.approx(sum(EISENBERG[a] * other[b] for a, b in zip(t, t[lag:])) / (len(t) - lag))
-    many = {(r.seq_id, r.lag, r.other): r.value for r in arrays.scale_correlations(s, {"e": EISENBERG}, 4, "spatial").collect()}
-    for r in correlations.spatial_autocorrelation(s, EISENBERG, 4).collect():
-        for kind in ("nmbroto", "moran", "geary"):
-            want, have = r[kind], many[r.seq_id, r.lag, kind]
-            assert want is None and have is None or have == pytest.approx(want, abs=1e-5)
+
+
+def test_autocorrelations_of_many_scales(spark):
+    s = spark.createDataFrame([*enumerate(PROTEINS), (5, PROTEINS[5]), (99, "ACDZZ*" * 5)], "seq_id long, seq string").withColumn("scale", F.lit("x")).repartition(2)
+    other = {c: i / 3 for i, c in enumerate("ACDEFGHIKLMNPQRSTVWY")}
+    rows = arrays.autocorrelations(s, {"e": EISENBERG, "o": other}, 4).collect()
+    got = {(r.seq_id, r.scale, r.lag): r for r in rows}
+    long = [i for i, t in enumerate(PROTEINS) if t and len(t) > 4] + [99]
+    assert set(got) == set(itertools.product(long, "eo", range(1, 5))) and len(rows) == len(got) + 8
+    for (i, scale, lag), r in got.items():
+        if i == 99:
+            continue
+        table = EISENBERG if scale == "e" else other
+        mean = sum(table.values()) / 20
+        deviation = (sum((x - mean) ** 2 for x in table.values()) / 20) ** 0.5
+        v = [(table[c] - mean) / deviation for c in PROTEINS[i]]
+        n, m = len(v), sum(v) / len(v)
+        assert r.nmbroto == pytest.approx(sum(a * b for a, b in zip(v, v[lag:])) / (n - lag), abs=1e-5)
+        square = sum((x - m) ** 2 for x in v)
+        if len(set(PROTEINS[i])) == 1:
+            assert r.moran is None and r.geary is None
+        else:
+            assert r.moran == pytest.approx(sum((a - m) * (b - m) for a, b in zip(v, v[lag:])) / (n - lag) / (square / n), abs=1e-5)
+            assert r.geary == pytest.approx(sum((a - b) ** 2 for a, b in zip(v, v[lag:])) / (2 * (n - lag)) / (square / (n - 1)), abs=1e-5)
+    one = {(r.seq_id, r.lag): r for r in correlations.spatial_autocorrelation(s.where("seq_id < 5"), EISENBERG, 4).collect()}
+    assert all(got[i, "e", lag].moran == pytest.approx(r.moran, abs=1e-5) for (i, lag), r in one.items())
+    assert arrays.autocorrelations(s.where("seq is null"), {"e": EISENBERG}, 4).count() == 0
+
+
+def test_instability_index(spark):
+    s = spark.createDataFrame([(1, "ACAC"), (2, "A"), (3, ""), (4, None), (5, "GGG"), (6, "ACG")], "seq_id long, seq string")
+    weights = spark.createDataFrame([("AC", 2.0), ("CA", -0.5), ("CG", None)], "pair string, weight double").withColumn("seq_id", F.lit(7))
+    got = {r.seq_id: r.value for r in peptides.instability_index(s, weights).collect()}
+    assert got == {1: pytest.approx(10 / 4 * 3.5), 2: 0.0, 5: 0.0, 6: pytest.approx(10 / 3 * 2)}
+    learned = {r.pair: r.weight for r in peptides.pair_weights(s).collect()}
+    # pairs AC x3, CA, GG x2, CG; A begins 3 of 7, C ends 3
+    assert learned["AC"] == pytest.approx(math.log(3 * 7 / 9), abs=1e-6) and learned["CG"] == pytest.approx(math.log(7 / (2 * 3)), abs=1e-6) and set(learned) == {"AC", "CA", "CG", "GG"}
+    assert peptides.instability_index(s.limit(0), weights).count() == 0
+
+
+@pytest.mark.parametrize("cuts", [2, 7, 1024])
+def test_ranks_in_buckets(spark, cuts):
+    rows = [(i, rng.choice([None, 1.5, -2.0, 1e9, float(i)]), rng.choice(["a", "b", None])) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, v double, g string").repartition(3)
+    for by in (None, "g"):
+        got = {r.id: r["rank"] for r in sequences.ranked(df, "v", "id", by, cuts=cuts).collect()}
+        for g in {None} if by is None else {"a", "b", None}:
+            own = sorted((r for r in rows if by is None or r[2] == g), key=lambda r: (r[1] is None, r[1] or 0, r[0]))
+            assert [got[r[0]] for r in own] == list(range(1, len(own) + 1))
+    assert sequences.ranked(df.limit(0), "v", "id").count() == 0
+    assert sequences.ranked(df.where("v is null"), "v", "id").agg(F.max("rank")).first()[0] == sum(r[1] is None for r in rows)
 
 
 def test_recorded_matrix(spark):
