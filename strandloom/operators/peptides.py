@@ -123,15 +123,15 @@ def scale_mean(s: DataFrame, scale: dict[str, float]) -> DataFrame:
 
 
 def instability_index(s: DataFrame, weights: DataFrame) -> DataFrame:
-    """(seq_id, value): 10 / length times the sum of the weights of neighbouring residues.
+    """(seq_id, value): 10 / length times the sum of the weights, which count to six digits, of neighbouring residues.
 
     weights: (pair, weight), a table of pairs of residues as the published one; pairs that it lacks or that weigh null count 0.
     A single residue has 0; empty and null sequences have no rows.
     """
     own = s.where(F.length("seq") > 0)
     pairs = pair_counts(own, range(1)).join(weights.select("pair", "weight"), "pair")
-    sums = pairs.groupBy("seq_id").agg(F.sum(F.col("cnt") * F.col("weight")).alias("sum"))
-    return own.select("seq_id", F.length("seq").alias("n")).join(sums, "seq_id", "left").select("seq_id", F.round(10 * F.coalesce("sum", F.lit(0.0)) / F.col("n"), 6).alias("value"))
+    sums = pairs.groupBy("seq_id").agg(F.sum(F.col("cnt") * F.col("weight").cast("decimal(18,6)")).cast("double").alias("sum"))
+    return own.select("seq_id", F.length("seq").alias("n")).join(sums, "seq_id", "left").select("seq_id", (10 * F.coalesce("sum", F.lit(0.0)) / F.col("n")).alias("value"))
 
 
 def pair_weights(s: DataFrame) -> DataFrame:

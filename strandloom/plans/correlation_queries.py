@@ -76,7 +76,7 @@ def _standard_sql() -> str:
 
 SQL["autocorrelation_table"] = (
     f"WITH {PROTEIN}, sc(scale, c, x) AS (VALUES {_standard_sql()}), p AS (SELECT seq_id, length(seq) AS n, i, substr(seq, i, 1) AS c FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS i FROM protein WHERE length(seq) > {LAGS})), "
-    f"v AS (SELECT seq_id, scale, n, list(x ORDER BY i) AS v FROM p JOIN sc USING (c) GROUP BY ALL), q AS (SELECT *, list_transform(v, lambda x: x - list_sum(v) / n) AS d FROM v), "
+    f"v AS (SELECT seq_id, scale, n, list(x ORDER BY i) AS v FROM p JOIN sc USING (c) GROUP BY ALL), m AS (SELECT *, list_sum(v) / n AS m FROM v), q AS (SELECT *, list_transform(v, lambda x: x - m) AS d FROM m), "
     f"e AS (SELECT *, CASE WHEN list_sum(list_transform(d, lambda x: x * x)) > 1e-12 * n THEN list_sum(list_transform(d, lambda x: x * x)) END AS s FROM q), k AS (SELECT *, unnest(range(1, {LAGS + 1}))::int AS lag FROM e) "
     "SELECT seq_id, scale, lag, round(list_sum(list_transform(range(1, n - lag + 1), lambda i: v[i] * v[i + lag])) / (n - lag), 5) AS nmbroto, "
     "round(list_sum(list_transform(range(1, n - lag + 1), lambda i: d[i] * d[i + lag])) / (n - lag) / (s / n), 5) AS moran, "
@@ -85,8 +85,8 @@ SQL["autocorrelation_table"] = (
 Q["instability_index"] = lambda spark, d: P.instability_index(_protein(spark, d), P.pair_weights(_protein(spark, d)))
 SQL["instability_index"] = (
     f"WITH {PROTEIN}, p AS (SELECT seq_id, substr(seq, i, 2) AS pair FROM (SELECT *, unnest(range(1, length(seq))) AS i FROM protein)), c AS (SELECT pair, substr(pair, 1, 1) AS a, substr(pair, 2, 1) AS b, count(*)::double AS n FROM p GROUP BY ALL), "
-    "w AS (SELECT pair, round(ln(n * (sum(n) OVER ()) / ((sum(n) OVER (PARTITION BY a)) * (sum(n) OVER (PARTITION BY b)))), 6) AS weight FROM c), t AS (SELECT seq_id, sum(weight) AS t FROM p JOIN w USING (pair) GROUP BY seq_id) "
-    "SELECT seq_id, round(10 * coalesce(t, 0) / length(seq), 6) AS value FROM protein LEFT JOIN t USING (seq_id) WHERE length(seq) > 0"
+    "w AS (SELECT pair, round(ln(n * (sum(n) OVER ()) / ((sum(n) OVER (PARTITION BY a)) * (sum(n) OVER (PARTITION BY b)))), 6) AS weight FROM c), t AS (SELECT seq_id, sum(weight::decimal(18, 6))::double AS t FROM p JOIN w USING (pair) GROUP BY seq_id) "
+    "SELECT seq_id, 10 * coalesce(t, 0) / length(seq) AS value FROM protein LEFT JOIN t USING (seq_id) WHERE length(seq) > 0"
 )
 _RAW = "CASE c " + " ".join(f"WHEN '{c}' THEN {v}::double" for c, v in EISENBERG.items()) + " END"
 Q["hydrophobic_moment"] = lambda spark, d: P.hydrophobic_moment(_protein(spark, d), EISENBERG)
