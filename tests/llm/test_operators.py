@@ -397,3 +397,14 @@ def test_line_dedup_of_common_clauses(spark, m, length, cut):
             rows.append((len(rows), " ".join([*a[:-1], f"new{i}y{j}", *b])))
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), limit=cut)
     assert {r.doc_id for r in got.where("n_removed = 1").collect()} == {d for d, _ in rows if d % 2}
+
+
+def test_line_dedup_of_one_crowded_block(spark):
+    """Like lines that share blocks of a very common clause only, and have enough keys of their own besides."""
+    clause, rows = [f"clause{k}" for k in range(16)], []
+    for i in range(40):
+        own = [f"wording{i}x{k}" for k in range(24)]
+        rows.append((len(rows), " ".join([*clause, *own])))
+        rows.append((len(rows), " ".join([*clause, *[f"other{i}y{k}" if k % 3 == 0 else w for k, w in enumerate(own)]])))
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), limit=4)
+    assert {r.doc_id for r in got.where("n_removed = 1").collect()} == {d for d, _ in rows if d % 2}
