@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.residues import AMIDE_CTERM_PK, ENERGIES, FORMULAS, NEGATIVE_PK, POSITIVE_PK, WEIGHTS
-from strandloom.operators.arrays import class_places
+from strandloom.operators.arrays import Lag, Slice, by_slice, class_places
+from strandloom.operators.correlations import lagged_products
 from strandloom.operators.kmers import bound, pair_counts
 
 WATER = 18.015
@@ -92,14 +95,32 @@ def class_composition(s: DataFrame, properties: Properties) -> DataFrame:
 
 def class_transition(s: DataFrame, properties: Properties) -> DataFrame:
     """(seq_id, property, pair, share) of neighbours in different groups, either way round, over length - 1, 0 where there are
-    none; counted within the row."""
-    row = []
-    for j, (name, g) in enumerate(properties.items()):
+    none. Pairs of residues are counted once, and all properties' shares follow from the counts."""
+    letters = {c: float(i) for i, c in enumerate(sorted({c for g in properties.values() for x in g for c in x}))}
+    size = len(letters) + 1
+    names, pairs, columns = [], [], []
+    for name, g in properties.items():
+        group = np.zeros(size, np.int64)
+        for i in range(len(g), 0, -1):
+            group[[int(letters[c]) for c in g[i - 1]]] = i
         for a in range(1, len(g) + 1):
             for b in range(a + 1, len(g) + 1):
-                found = _occurrences(F.col(f"c{j}"), f"{a}{b}") + _occurrences(F.col(f"c{j}"), f"{b}{a}")
-                row.append(F.struct(F.lit(name).alias("property"), F.lit(f"{a}{b}").alias("pair"), F.round(found / (F.col("n") - 1), 9).alias("share")))
-    return _classes(s, properties, 2).select("seq_id", F.explode(F.array(*row)).alias("x")).select("seq_id", "x.*")
+                both = np.outer(group == a, group == b)
+                names.append(name)
+                pairs.append(f"{a}{b}")
+                columns.append((both | both.T).ravel())
+    table = np.stack(columns, axis=1).astype(float)
+
+    def rule(part: Slice) -> tuple[np.ndarray, list]:
+        some, at = np.flatnonzero(part.length >= 2), Lag(part, 1)
+        code = part.looked_up(letters, float(size - 1)).astype(np.int64)
+        key = (at.row * size + at.first(code)) * size + at.then(code)
+        counts = np.bincount(key[at.there], minlength=at.many * size * size).reshape(at.many, -1)[some]
+        share = (counts @ table) / (part.length[some] - 1)[:, None]
+        which = pa.array(np.tile(np.arange(len(names)), len(some)))
+        return np.repeat(some, len(names)), [pa.array(names, pa.string()).take(which), pa.array(pairs, pa.string()).take(which), pa.array(share.ravel())]
+
+    return by_slice(s, ("seq_id",), "property string, pair string, share double", rule).withColumn("share", F.round("share", 9))
 
 
 def class_distribution(s: DataFrame, properties: Properties) -> DataFrame:
@@ -110,12 +131,9 @@ def class_distribution(s: DataFrame, properties: Properties) -> DataFrame:
 
 
 def scale_autocorrelation(s: DataFrame, scale: dict[str, float], lags: int) -> DataFrame:
-    """(seq_id, lag, value): mean of scale[i] scale[i + lag], for sequences longer than `lags`; made within each row's arrays."""
-    table = F.create_map(*[F.lit(x) for kv in scale.items() for x in kv])
-    v = s.where(F.length("seq") > lags).select("seq_id", F.transform(F.split("seq", ""), lambda c: table[c]).alias("v"))
-    product = lambda k: F.aggregate(F.zip_with(F.slice("v", 1, F.size("v") - k), F.slice("v", 1 + k, F.size("v") - k), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    row = F.array(*[F.struct(F.lit(k).alias("lag"), (product(k) / (F.size("v") - k)).alias("value")) for k in range(lags)])
-    return v.select("seq_id", F.explode(row).alias("x")).select("seq_id", "x.lag", F.round("x.value", 6).alias("value"))
+    """(seq_id, lag, value): mean of scale[i] scale[i + lag], lags from 0, for sequences longer than `lags`; made where the sequence is."""
+    found = lagged_products(s, {c: (v,) for c, v in scale.items()}, range(lags))
+    return found.select("seq_id", "lag", F.round("value", 6).alias("value"))
 
 
 def scale_mean(s: DataFrame, scale: dict[str, float]) -> DataFrame:
