@@ -8,10 +8,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.operators.arrays import Slice, _words, slices, word_counts
+from strandloom.operators.arrays import Slice, _words, by_slice, counted, pooled_counts, slices, word_counts
 
 BUCKETS = 4096
 DIGITS = 9
+POOLED = 500_000  # counts of classes' words that go to all tasks at most
 
 
 def track_words(s: DataFrame, k: int) -> DataFrame:
@@ -100,22 +101,63 @@ def normalised(counts: DataFrame, how: str, by: tuple[str, ...] = ("seq_id",)) -
     return counts.withColumn("value", F.coalesce(values[how].cast("double"), F.lit(0.0)))
 
 
-def information_difference(s: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+def information_difference(s: DataFrame, ks: tuple[int, ...], most: int = POOLED) -> DataFrame:
     """(seq_id, class, k, value): D(X + S) - D(X) - D(S) of each sequence's k-mer counts X and each class's pooled counts S, with
     D(v) = sum log2 sum - sum of v log2 v; three digits.
 
-    All k come out of one scan. A k-mer that X lacks adds to D(X + S) what it adds to D(S), so only X's own k-mers are joined with the
-    classes' counts.
+    A k-mer that X lacks adds to D(X + S) what it adds to D(S), so only X's own k-mers meet the classes' counts. Up to `most` pooled
+    counts go to all tasks, where each sequence's sums are made beside its counts; above that they are joined by a shuffle.
     """
+    shapes = [tuple(range(k)) for k in ks]
     place = F.element_at(F.array(*map(F.lit, ks)), F.col("shape") + 1)
-    x = word_counts(s, [tuple(range(k)) for k in ks], ("seq_id", "label")).select("seq_id", "label", place.alias("k"), "word", "cnt", "total")
-    pooled = x.groupBy(F.col("label").alias("class"), "k", "word").agg(F.sum("cnt").alias("s"))
+    pooled = pooled_counts(s, shapes, "label").select(F.col("label").alias("class"), place.alias("k"), "word", F.col("cnt").alias("s"))
     plogp = lambda c: F.when(c > 0, c * F.log2(c)).otherwise(0.0)
     whole = pooled.groupBy("class", "k").agg(F.sum("s").alias("n"), F.sum(plogp(F.col("s"))).alias("inner"))
-    each = x.join(whole, "k").join(pooled, ["class", "k", "word"], "left")
-    s_cnt = F.coalesce("s", F.lit(0))
-    more = F.sum(plogp(F.col("cnt") + s_cnt) - plogp(s_cnt))
-    found = each.groupBy("seq_id", "class", "k", "n", "inner", "total").agg(more.alias("more"), F.sum(plogp(F.col("cnt"))).alias("own"))
+    some = pooled.limit(most + 1).toArrow()
+    if len(some) <= most:
+        found = _sums_beside(s, ks, some).join(F.broadcast(whole), ["class", "k"])
+    else:
+        x = word_counts(s, shapes).select("seq_id", place.alias("k"), "word", "cnt", "total")
+        each = x.join(whole, "k").join(pooled, ["class", "k", "word"], "left")
+        s_cnt = F.coalesce("s", F.lit(0))
+        more = F.sum(plogp(F.col("cnt") + s_cnt) - plogp(s_cnt))
+        found = each.groupBy("seq_id", "class", "k", "n", "inner", "total").agg(more.alias("more"), F.sum(plogp(F.col("cnt"))).alias("own"))
     both = plogp(F.col("n") + F.col("total")) - F.col("inner") - F.col("more")
     value = both - (plogp(F.col("total")) - F.col("own")) - (plogp(F.col("n")) - F.col("inner"))
     return found.select("seq_id", "class", "k", F.round(value, 3).alias("value"))
+
+
+def _plogp(x: np.ndarray) -> np.ndarray:
+    return x * np.log2(np.maximum(x, 1))
+
+
+def _sums_beside(s: DataFrame, ks: tuple[int, ...], pooled: pa.Table) -> DataFrame:
+    """(seq_id, class, k, total, more, own): what each sequence's words add to the sums of each class that has words of the length."""
+    kinds = s.schema["label"].dataType.simpleString()
+    classes = pc.unique(pooled["class"]) if len(pooled) else pa.array([], pooled["class"].type)
+    words = pa.chunked_array([pc.unique(pooled["word"])]).combine_chunks() if len(pooled) else pa.array([], pa.string())
+    table = np.zeros((len(words) + 1, len(classes)))
+    if len(pooled):
+        table[pc.index_in(pooled["word"], words).to_numpy(), pc.index_in(pooled["class"], classes).to_numpy()] = pooled["s"].to_numpy()
+    logs = _plogp(table)
+    there = [[bool(len(pooled)) and bool((table[:-1][pc.equal(pc.utf8_length(words), k).to_numpy(zero_copy_only=False), c] > 0).any()) for c in range(len(classes))] for k in ks]
+
+    def rule(part: Slice) -> tuple[np.ndarray, list]:
+        row, shape, own, count, total = counted(part, [tuple(range(k)) for k in ks])
+        at = pc.fill_null(pc.index_in(own, words), len(words)).to_numpy()
+        key, count = row * len(ks) + shape, count.astype(float)
+        groups, first = np.unique(key, return_index=True)
+        size = len(part.length) * len(ks)
+        mine = np.bincount(key, _plogp(count), size)[groups]
+        out: list[list] = [[], [], [], [], [], []]
+        for c in range(len(classes)):
+            more = np.bincount(key, _plogp(count + table[at, c]) - logs[at, c], size)[groups]
+            has = np.flatnonzero(np.array([t[c] for t in there])[groups % len(ks)])
+            for column, x in zip(out, (groups[has] // len(ks), np.full(len(has), c), np.array(ks, np.int32)[groups[has] % len(ks)], total[first[has]], more[has], mine[has]), strict=True):
+                column.append(x)
+        if not out[0]:
+            return np.empty(0, np.int64), [pa.array([], classes.type), pa.array([], pa.int32()), pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.float64())]
+        rows, c, k, *rest = (np.concatenate(x) for x in out)
+        return rows, [classes.take(pa.array(c)), *map(pa.array, (k, *rest))]
+
+    return by_slice(s, ("seq_id",), f"class {kinds}, k int, total long, more double, own double", rule)
