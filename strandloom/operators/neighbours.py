@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 4096
+CHUNK_ROWS = 256  # queries of a block whose products are held at once
 
 _NEAR = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("d", pa.float64())])
 
@@ -18,11 +19,21 @@ def _nearest(k: int):
             return _NEAR.empty_table()
         a, b = (np.array(t["v"].to_pylist(), np.float64) for t in (left, right))
         ids, others = left["id"].to_numpy(), right["other"].to_numpy()
-        rows = []
-        for i, q in zip(ids, a, strict=True):
-            d = np.round(((b - q) ** 2).sum(axis=1), 9)
-            best = np.lexsort((others, np.where(others == i, np.inf, d)))[:k]
-            rows += [(int(i), int(others[j]), float(d[j])) for j in best if others[j] != i]
+        rows, square = [], (b * b).sum(axis=1)
+        for at in range(0, len(a), CHUNK_ROWS):
+            part = a[at : at + CHUNK_ROWS]
+            # products tell which few can be among the nearest; their distances are then worked out as differences
+            own = (part * part).sum(axis=1)[:, None]
+            near = own + square - 2 * (part @ b.T)
+            near[ids[at : at + CHUNK_ROWS, None] == others[None, :]] = np.inf
+            slack = 4e-9 + 1e-12 * (own[:, 0] + square.max())
+            bound = np.partition(near, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1] + slack
+            for i, q, x, most in zip(ids[at : at + CHUNK_ROWS], part, near, bound, strict=True):
+                some = np.flatnonzero(x <= most) if np.isfinite(most) else np.arange(len(b))
+                d = np.round(((b[some] - q) ** 2).sum(axis=1), 9)
+                best = some[np.lexsort((others[some], np.where(others[some] == i, np.inf, d)))[:k]]
+                far = dict(zip(some.tolist(), d.tolist(), strict=True))
+                rows += [(int(i), int(others[j]), far[j]) for j in best.tolist() if others[j] != i]
         return pa.table([pa.array([r[c] for r in rows], _NEAR.field(c).type) for c in range(3)], _NEAR)
 
     return run
