@@ -6,6 +6,7 @@ and goes to all tasks; each sequence's factors are worked out where the sequence
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -13,8 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.operators.arrays import Slice, by_slice
-from strandloom.operators.kmers import kmer_shares
+from strandloom.operators.arrays import Slice, by_slice, counted
 
 MOST = 1_000_000  # rows of a property table
 
@@ -44,14 +44,10 @@ def _tracks(part: Slice, k: int, columns: list[np.ndarray], letters: str) -> np.
     return np.stack([np.where(known, c[np.where(known, at, 0)], 0.0) for c in columns], axis=1)
 
 
-def factors(s: DataFrame, table: DataFrame, lags: int, kind: str) -> DataFrame:
-    """(seq_id, lag, property, other, value) for lags from 1, of sequences that have k-mers at the largest lag.
-
-    kind: "parallel": mean squared difference of k-mers at a lag, over positions and properties (one row a lag, no property); "first":
-    the same over the positions that the largest lag leaves, by the length less lag and 1; "series": mean product of each property with
-    itself; "auto": mean of (p - m) q of each property with itself, q at the lag; "cross": of (p - m) (q - m') of each two
-    properties. m is the sum over the positions that the lag leaves, by the sequence's length.
-    """
+def _factored(table: DataFrame, lags: int, kind: str) -> tuple[int, list[str], Callable[[Slice], list[np.ndarray]]]:
+    """k, the table's properties, and what gives a slice's factors: row, lag, property, other (-1: none) and value."""
+    if kind not in ("parallel", "first", "series", "auto", "cross"):
+        raise ValueError(f"no factors of kind {kind}")
     k, names, values = table_values(table)
     letters = "".join(sorted({c for v in values.values() for w in v for c in w}))
     columns = []
@@ -61,7 +57,7 @@ def factors(s: DataFrame, table: DataFrame, lags: int, kind: str) -> DataFrame:
             column[reduce(lambda a, c: a * len(letters) + letters.index(c), w, 0)] = x
         columns.append(column)
 
-    def rule(part: Slice) -> tuple[np.ndarray, list]:
+    def found(part: Slice) -> list[np.ndarray]:
         p = _tracks(part, k, columns, letters)
         many = len(part.length)
         some = np.flatnonzero(part.length >= k + lags)
@@ -94,26 +90,50 @@ def factors(s: DataFrame, table: DataFrame, lags: int, kind: str) -> DataFrame:
                         elif u != v:
                             add(lag, u, v, total((a[:, u] - mean[u][row]) * (b[:, v] - mean[v][row])) / m)
         if not out[0]:
-            return np.empty(0, np.int64), [pa.array([], t) for t in (pa.int32(), pa.string(), pa.string(), pa.float64())]
-        rows, lag, u, v, x = (np.concatenate(c) for c in out)
-        name = lambda i: pa.array(names).take(pa.array(i, mask=i < 0))
+            return [np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, float)]
+        return [np.concatenate(c) for c in out]
+
+    return k, names, found
+
+
+def factors(s: DataFrame, table: DataFrame, lags: int, kind: str) -> DataFrame:
+    """(seq_id, lag, property, other, value) for lags from 1, of sequences that have k-mers at the largest lag.
+
+    kind: "parallel": mean squared difference of k-mers at a lag, over positions and properties (one row a lag, no property); "first":
+    the same over the positions that the largest lag leaves, by the length less lag and 1; "series": mean product of each property with
+    itself; "auto": mean of (p - m) q of each property with itself, q at the lag; "cross": of (p - m) (q - m') of each two
+    properties. m is the sum over the positions that the lag leaves, by the sequence's length.
+    """
+    _, names, found = _factored(table, lags, kind)
+
+    def rule(part: Slice) -> tuple[np.ndarray, list]:
+        rows, lag, u, v, x = found(part)
+        name = lambda i: pa.array(names, pa.string()).take(pa.array(i, mask=i < 0))
         return rows, [pa.array(lag.astype(np.int32)), name(u), name(v), pa.array(x)]
 
-    if kind not in ("parallel", "first", "series", "auto", "cross"):
-        raise ValueError(f"no factors of kind {kind}")
     return by_slice(s, ("seq_id",), "lag int, property string, other string, value double", rule)
 
 
 def general_pseudo_composition(s: DataFrame, table: DataFrame, lags: int, weight: float, kind: str = "series", words: int | None = None) -> DataFrame:
     """(seq_id, feature, value): shares of k-mers and weighted factors over 1 + weight x sum of the factors. The k-mers are as long as the
-    table's, or `words`; kind as for factors()."""
-    k = words or len(table.first()["kmer"])
-    theta = factors(s, table, lags, kind)
-    total = theta.groupBy("seq_id").agg((1 + weight * F.sum("value")).alias("d"))
-    shares = kmer_shares(s, k).select("seq_id", F.col("kmer").alias("feature"), F.col("freq").alias("value"))
-    name = F.concat_ws("_", F.lit("theta"), F.col("lag").cast("string"), "property")
-    both = shares.unionByName(theta.select("seq_id", name.alias("feature"), (weight * F.col("value")).alias("value")))
-    return both.join(total, "seq_id").select("seq_id", "feature", F.round(F.col("value") / F.col("d"), 9).alias("value"))
+    table's, or `words`; kind as for factors(). Words are counted where the factors are worked out, so nothing is shuffled; rows without a
+    seq_id have none, repeated rows are worked out each."""
+    own, names, found = _factored(table, lags, kind)
+    k = words or own
+
+    def rule(part: Slice) -> tuple[np.ndarray, list]:
+        rows, lag, u, _, x = found(part)
+        d = 1 + weight * np.bincount(rows, x, len(part.length))
+        row, _, kmers, count, total = counted(part, [tuple(range(k))])
+        has = np.flatnonzero(np.bincount(rows, minlength=len(part.length))[row])
+        # the names of all factors, a property after the other, and of none
+        every = pa.array([f"theta_{j + 1}" + (f"_{n}" if n else "") for j in range(lags) for n in ("", *names)], pa.string())
+        feature = pa.concat_arrays([kmers.take(pa.array(has)), every.take(pa.array((lag - 1) * (len(names) + 1) + u + 1))])
+        at = np.concatenate([row[has], rows])
+        return at, [feature, pa.array(np.concatenate([count[has] / total[has], weight * x]) / d[at])]
+
+    both = by_slice(s.where("seq_id is not null"), ("seq_id",), "feature string, value double", rule)
+    return both.withColumn("value", F.round("value", 9))
 
 
 def covariances(s: DataFrame, table: DataFrame, lags: int, kinds: tuple[str, ...] = ("auto", "cross")) -> DataFrame:

@@ -2,11 +2,12 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from strandloom.operators import arrays
+from strandloom.operators import arrays, neighbours, profiles, weighted_kmers
 
 DATA = "/root/testdata/sf0.001"
 
@@ -16,7 +17,7 @@ def plan(df):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the given tables are not here")
-@pytest.mark.parametrize("name", ["apaac", "paac", "pse_dnc", "parallel_factors", "spatial_autocorrelation", "dac", "dcc", "scale_autocorr", "ctdt", "fickett", "ksctriad", "autocorrelation_table"])
+@pytest.mark.parametrize("name", ["apaac", "paac", "pse_dnc", "parallel_factors", "spatial_autocorrelation", "dac", "dcc", "scale_autocorr", "ctdt", "fickett", "ksctriad", "autocorrelation_table", "kmer_graph", "pc_pse_dnc", "pse_knc", "sc_pse_dnc", "sc_pse_tnc"])
 def test_one_scan_without_shuffle_and_lambdas(spark, name):
     p = plan(entry.queries()[name](spark, DATA))
     assert p.count("FileScan") == 1 and "Exchange" not in p and "lambda" not in p and p.count("regexp_replace") <= 2
@@ -47,3 +48,34 @@ def test_sliding_summary(spark, blank):
     found = arrays.sliding_shares(s, 4, blank).groupBy("seq_id", "residue").agg(F.count("*"), F.max("share"), F.round(F.sum("share"), 9)).collect()
     got = arrays.sliding_summary(s, 4, blank).select("seq_id", "residue", "n_windows", "largest", F.round("total", 9)).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, found))
+
+
+def test_written_tracks_are_cut_before_they_are_rows(spark):
+    states = {1: "HHECCHEEHC", 2: "EEE", 3: "CCCC"}
+    spans = spark.createDataFrame([("a", 1, 2, 6), ("b", 2, 1, 3), ("c", 3, None, None), ("d", 4, 1, 2)], "pep_id string, seq_id long, begin int, end int")
+    long = spark.createDataFrame([(i, p, "t", c) for i, t in states.items() for p, c in enumerate(t, 1)], "seq_id long, pos int, track string, value string")
+    written = spark.createDataFrame([(i, "t", t) for i, t in states.items()], "seq_id long, track string, states string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(profiles.written_matrix(spans, written)) == rows(profiles.track_matrix(spans, long))
+    assert rows(profiles.written_shares(spans, written, ["H", "E"])) == rows(profiles.track_shares(spans, long, ["H", "E"]))
+
+
+def test_class_sums_beside_and_by_shuffle(spark):
+    s = spark.createDataFrame([(i, "xy"[i % 2], t) for i, t in enumerate(["ACGTACG", "AACC", "", "GGGÿ", None, "A"])], "seq_id long, label string, seq string")
+    rows = lambda most: sorted(map(tuple, weighted_kmers.information_difference(s, (1, 3), most).collect()))
+    assert rows(1000) == rows(3) and len(rows(1000)) == 14
+
+
+def test_nearest_by_products(spark):
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(700, 6)) * 3, 1)
+    v[100:140] = v[0]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    got = {}
+    for r in neighbours.nearest(rows, rows, 5, block_rows=300).collect():
+        got.setdefault(r.id, []).append((r.k, r.other))
+    for i in range(len(v)):
+        d = np.round(((v - v[i]) ** 2).sum(axis=1), 9)
+        want = [int(j) for j in np.lexsort((np.arange(len(v)), d)) if j != i][:5]
+        assert [j for _, j in sorted(got[i])] == want
+    assert neighbours.CHUNK_ROWS < 700
