@@ -112,9 +112,12 @@ def information_difference(s: DataFrame, ks: tuple[int, ...], most: int = POOLED
     place = F.element_at(F.array(*map(F.lit, ks)), F.col("shape") + 1)
     pooled = pooled_counts(s, shapes, "label").select(F.col("label").alias("class"), place.alias("k"), "word", F.col("cnt").alias("s"))
     plogp = lambda c: F.when(c > 0, c * F.log2(c)).otherwise(0.0)
-    whole = pooled.groupBy("class", "k").agg(F.sum("s").alias("n"), F.sum(plogp(F.col("s"))).alias("inner"))
     some = pooled.limit(most + 1).toArrow()
-    if len(some) <= most:
+    few = len(some) <= most
+    if few:  # the sequences are not counted once more
+        pooled = s.sparkSession.createDataFrame(some)
+    whole = pooled.groupBy("class", "k").agg(F.sum("s").alias("n"), F.sum(plogp(F.col("s"))).alias("inner"))
+    if few:
         found = _sums_beside(s, ks, some).join(F.broadcast(whole), ["class", "k"])
     else:
         x = word_counts(s, shapes).select("seq_id", place.alias("k"), "word", "cnt", "total")
