@@ -408,3 +408,24 @@ def test_line_dedup_of_one_crowded_block(spark):
         rows.append((len(rows), " ".join([*clause, *[f"other{i}y{k}" if k % 3 == 0 else w for k, w in enumerate(own)]])))
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), limit=4)
     assert {r.doc_id for r in got.where("n_removed = 1").collect()} == {d for d, _ in rows if d % 2}
+
+
+def test_line_dedup_of_crowded_buckets(spark, monkeypatch):
+    """Where counts of buckets call no word rare, lines still meet under single words: keys grow with a line's words, not their pairs."""
+    clause, rows, seen = [f"clause{k}" for k in range(16)], [], []
+    for i in range(40):
+        own = [f"wording{i}x{k}" for k in range(44)]
+        rows.append((len(rows), " ".join([*clause, *own])))
+        rows.append((len(rows), " ".join([*clause, *[f"other{i}y{k}" if k % 4 == 0 else w for k, w in enumerate(own)]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).cache()
+
+    def saved(df, name="table"):
+        out = common.saved(df, name)
+        seen.extend([out.count()] if name in ("several", "meeting") else [])
+        return out
+
+    monkeypatch.setattr(line_dedup, "BUCKETS", 2)
+    monkeypatch.setattr(line_dedup, "saved", saved)
+    got = line_dedup.dedup_lines(docs, limit=4)
+    assert {r.doc_id for r in got.where("n_removed = 1").collect()} == {d for d, _ in rows if d % 2}
+    assert max(seen) <= len(rows) * 17
