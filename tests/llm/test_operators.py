@@ -429,3 +429,20 @@ def test_line_dedup_of_crowded_buckets(spark, monkeypatch):
     got = line_dedup.dedup_lines(docs, limit=4)
     assert {r.doc_id for r in got.where("n_removed = 1").collect()} == {d for d, _ in rows if d % 2}
     assert max(seen) <= len(rows) * 17
+
+
+def test_line_dedup_checks_pairs_once(spark, monkeypatch):
+    """Both codes of two lines are compared where the lines meet, and words that a line has many times count as often as they are there."""
+    head = "always these same opening words here again"
+    rows = [(i, f"{head} " + " ".join([f"own{i}"] * (3 + i % 9) + [f"sole{i}{j}" for j in range(9)])) for i in range(24)]
+    rows += [(100 + i, rows[i][1] + f" own{i}") for i in range(0, 24, 3)] + [(200 + i, rows[i][1].replace(f" own{i}", f" else{i}")) for i in (8, 17)]
+    made, real = [], line_dedup.saved
+
+    def saved(df, name="table"):
+        made.append(name)
+        return real(df, name)
+
+    monkeypatch.setattr(line_dedup, "saved", saved)
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), limit=4)
+    assert {(r.doc_id, 0) for r in got.collect() if not r.n_removed} == _first_lines(rows)
+    assert made.count("links") == made.count("pairs") == 2
