@@ -1,63 +1,22 @@
-"""Helpers that the corpus operators share: shared storage, word splitting, hashing and connected groups."""
+"""Helpers that the corpus operators share: word splitting, hashing and connected groups."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from strandloom.storage import drop, saved, shared_dir  # noqa: F401
+
 #: Bytes that end a word for the benchmark rule; A-Z becomes a-z, other ASCII but 0-9 and a-z becomes a blank.
 _FOLD = bytes(
     b if b >= 128 or chr(b).isdigit() or "a" <= chr(b) <= "z" else b + 32 if "A" <= chr(b) <= "Z" else 32
     for b in range(256)
 )
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share. Where none is set, a session on one machine gets a new
-    one; on a cluster it must be set, as executors would each write to a folder of their own."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if got.isDefined():
-            return got.get()
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        at = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(at)
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def saved(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends here and a lost executor costs nothing. What was shuffled for it
-    is deleted once it is written, not when the driver happens to collect garbage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.saved_path = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Deletes tables made by saved() that no further result reads."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.saved_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
 
 def give_back() -> None:
     """Returns memory that earlier tasks of this Python worker have freed to the system, where its C library can: workers live on

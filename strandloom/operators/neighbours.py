@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 4096
+from strandloom.storage import saved
+
+BLOCK_ROWS = 16384
+ROUND_BLOCKS = 4  # blocks of vectors that queries meet at once
 CHUNK_ROWS = 256  # queries of a block whose products are held at once
 
 _NEAR = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("d", pa.float64())])
@@ -39,18 +44,33 @@ def _nearest(k: int):
     return run
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, by: list[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, by: list[str] | None = None, block_rows: int = BLOCK_ROWS, round_blocks: int = ROUND_BLOCKS) -> DataFrame:
     """(id, other, d): each query's k nearest vectors by squared distance (nine digits, ties to the smaller id), itself left out;
-    with `by` among those that agree in these columns. Queries are a stated set; each block of them meets each block of vectors."""
+    with `by` among those that agree in these columns. Queries are a stated set; each block of them meets each block of vectors.
+
+    A row is copied for each block that it meets. There are as many blocks as the largest group of `by` needs, and queries meet
+    `round_blocks` blocks of vectors at once; where there are more, rounds follow each other and each one's best are written, so that
+    the copies' room grows with the rows and not with their square."""
     by = by or []
-    n, m = (max(1, -(-x.count() // block_rows)) for x in (vectors, queries))
-    blocks = lambda many, name: F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias(name)
-    a = queries.select("id", "v", *by, F.pmod(F.xxhash64("id"), F.lit(m)).cast("int").alias("x"), blocks(n, "y"))
-    b = vectors.select(F.col("id").alias("other"), "v", *by, blocks(m, "x"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("y"))
-    b = b.select(*[F.col(c).alias(c) for c in b.columns])
-    found = a.groupBy("x", "y", *by).cogroup(b.groupBy("x", "y", *by)).applyInArrow(_nearest(k), "id long, other long, d double")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))
-    return found.withColumn("k", rank).where(F.col("k") <= k)
+    most = lambda x: x.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    n, m = (max(1, -(-most(x) // block_rows)) for x in (vectors, queries))
+
+    def met(first: int, last: int) -> DataFrame:
+        blocks = lambda at, end, name: F.explode(F.sequence(F.lit(at), F.lit(end))).alias(name)
+        a = queries.select("id", "v", *by, F.pmod(F.xxhash64("id"), F.lit(m)).cast("int").alias("x"), blocks(first, last, "y"))
+        b = vectors.withColumn("y", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).where(F.col("y").between(first, last))
+        b = b.select(F.col("id").alias("other"), "v", *by, blocks(0, m - 1, "x"), "y")
+        b = b.select(*[F.col(c).alias(c) for c in b.columns])
+        return a.groupBy("x", "y", *by).cogroup(b.groupBy("x", "y", *by)).applyInArrow(_nearest(k), "id long, other long, d double")
+
+    def best(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))
+        return found.withColumn("k", rank).where(F.col("k") <= k)
+
+    if n <= round_blocks:
+        return best(met(0, n - 1))
+    rounds = [saved(best(met(at, min(at + round_blocks, n) - 1)).drop("k"), "near") for at in range(0, n, round_blocks)]
+    return best(reduce(DataFrame.union, rounds))
 
 
 def label_profile(rows: DataFrame, query: Column, k: int) -> DataFrame:

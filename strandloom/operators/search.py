@@ -89,10 +89,13 @@ def evaluate(rows: DataFrame, trial: Trial, folds: int, score: str = "balanced_a
     be fitted ends as "failed" with the error's name and does not stop the others. `columns_of` chooses columns from the training
     rows of each fold.
     """
-    total = 0.0
+    total, made = 0.0, []
     for k in range(folds):
         try:
             train = training_rows(rows, k, trial.resample, seed)
+            if trial.resample == "smote":  # means and model read it: neighbours are found once
+                train = train.persist()
+                made.append(train)
             columns = trial.columns if columns_of is None else list(columns_of(train))
             if columns is not None and not columns:
                 raise ValueError("no columns")
@@ -101,6 +104,9 @@ def evaluate(rows: DataFrame, trial: Trial, folds: int, score: str = "balanced_a
             total += score_of(held.select(F.col("label").alias("real"), "pred"), score)
         except Exception as e:  # noqa: BLE001  whatever a learner cannot do is the trial's result
             return replace(trial, state="failed", folds=k, note=type(e).__name__)
+        finally:
+            while made:
+                made.pop().unpersist()
         if (total + folds - 1 - k) / folds < to_beat():
             return replace(trial, state="hopeless", folds=k + 1)
     return replace(trial, state="done", folds=folds, score=round(total / folds, 6))

@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,15 @@ def test_nearest_by_products(spark):
         want = [int(j) for j in np.lexsort((np.arange(len(v)), d)) if j != i][:5]
         assert [j for _, j in sorted(got[i])] == want
     assert neighbours.CHUNK_ROWS < 700
+
+
+def test_nearest_copies_and_rounds(spark, monkeypatch):
+    """Blocks follow from the largest group, and rounds give what one pass gives."""
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, i % 7, rng.normal(size=3).tolist()) for i in range(700)], "id long, label int, v array<double>").repartition(2).cache()
+    whole = sorted(map(tuple, neighbours.nearest(rows, rows, 3, by=["label"]).collect()))
+    assert whole == sorted(map(tuple, neighbours.nearest(rows, rows, 3, by=["label"], block_rows=20, round_blocks=2).collect())) and len(whole) == 2100
+    count = lambda k: lambda a, b: pa.table([pa.array([len(a)]), pa.array([len(b)]), pa.array([0.0])], neighbours._NEAR)
+    monkeypatch.setattr(neighbours, "_nearest", count)
+    got = neighbours.nearest(rows, rows, 100, by=["label"], block_rows=300).collect()
+    assert sum(r.id for r in got) == sum(r.other for r in got) == 700
