@@ -204,7 +204,9 @@ def near_words(words: DataFrame) -> DataFrame:
 
     left = keyed(looked_up)
     right = keyed(found_by).select("key", F.col("word").alias("near"), F.col("n").alias("near_n"), F.col("last").alias("near_last"))
-    pairs = left.join(right, "key").where("last <= near_last and word <> near and levenshtein(word, near, 1) = 1")
+    # Spark takes the keys to be as few as the words they are made of, and a table to be as large as its compressed file: without the
+    # hints it may send them whole to the driver and all tasks
+    pairs = left.join(right.hint("merge"), "key").where("last <= near_last and word <> near and levenshtein(word, near, 1) = 1")
     pairs = pairs.select("word", "n", "near", "near_n")
     return pairs.union(pairs.select("near", "near_n", "word", "n")).distinct()
 
@@ -219,7 +221,7 @@ def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     """
     words = saved(words.select("word", "n"), "words")
     near = near_words(words).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
-    all_words = words.join(near, "word", "left")
+    all_words = words.join(near.hint("merge"), "word", "left")
     frequent = -F.col("best.less") >= ratio * F.col("n")
     found = all_words.select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(frequent, F.col("best.near")).alias("form"), F.when(frequent, -F.col("best.less")).alias("form_n"))
     found = saved(found, "forms")
@@ -228,12 +230,12 @@ def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     while True:
         seen = Observation()
         beyond = at.toDF("via", "beyond")
-        new = at.join(beyond, at["root"] == beyond["via"], "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().cast("int").alias("moved"))
+        new = at.join(beyond.hint("merge"), at["root"] == beyond["via"], "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().cast("int").alias("moved"))
         last, at = at, saved(new.observe(seen, F.sum("moved").alias("moved")).drop("moved"), "roots")
         drop(last)
         if not seen.get["moved"]:
             break
-    return found.join(at, "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
+    return found.join(at.hint("merge"), "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
 
 
 def op12_pivotal_grams(spark, sf_dir: str) -> DataFrame:

@@ -103,3 +103,10 @@ def test_contract_query(spark, odd_docs, tmp_path):
     got = spelling.op12_pivotal_grams(spark, str(tmp_path))
     assert {tuple(r) for r in got.select("word", "n", "n_near", "form", "form_n", "root").collect()} == all_pairs(counted(docs))
     assert dict(got.dtypes) == {"word": "string", "n": "bigint", "n_near": "bigint", "form": "string", "form_n": "bigint", "root": "string"}
+
+
+def test_keys_are_not_sent_whole(spark):
+    """The keys of few words are many more rows than their table: no join may take them for small."""
+    words = spark.createDataFrame([(f"wording{i:03d}", 3 + i % 5) for i in range(200)], "word string, n long")
+    plan = spelling.near_words(words)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
